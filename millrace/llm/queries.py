@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import packing, sharding, token_planes
+from millrace.llm import mixing, ogg, packing, quality, sharding, token_planes, warc
 from millrace.llm.common import table
 
 #: The vocabulary file of the tokenized queries.
@@ -16,13 +16,30 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op3_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg.media_table(table(spark, sf_dir, "documents"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, end_id=1)
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(mixing.mix_sources(table(spark, sf_dir, "documents")))
+
+
 def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.token_plane_table(table(spark, sf_dir, "documents"), TOKENIZER, end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op5_packing, op10_token_planes)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_line_quality, op3_ogg, op4_warc, op5_packing, op8_mixing, op10_token_planes)}
+ORACLES: dict[str, str] = {"op2_line_quality": quality.oracle(), "op4_warc": warc.ORACLE, "op8_mixing": mixing.oracle()}
