@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import licenses, mixing, ogg, packing, quality, sharding, token_planes, toxicity, warc
+from millrace.llm import jaccard, licenses, mixing, ogg, packing, quality, sharding, token_planes, toxicity, warc
 from millrace.llm.common import table
 
 #: The vocabulary file of the tokenized queries.
@@ -33,6 +33,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, end_id=1)
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), percent=80)
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -49,5 +53,5 @@ def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.token_plane_table(table(spark, sf_dir, "documents"), TOKENIZER, end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_line_quality, op3_ogg, op4_warc, op5_packing, op7_licenses, op8_mixing, op9_toxicity, op10_token_planes)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_line_quality, op3_ogg, op4_warc, op5_packing, op6_jaccard, op7_licenses, op8_mixing, op9_toxicity, op10_token_planes)}
 ORACLES: dict[str, str] = {"op2_line_quality": quality.oracle(), "op4_warc": warc.ORACLE, "op8_mixing": mixing.oracle()}
