@@ -128,7 +128,10 @@ def judge_documents(docs: DataFrame, max_lost: float = 0.5, min_words: int = 10,
     judged = with_clean_text(with_base_rates(plain))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     lost = F.col("lost_chars") > F.lit(max_lost) * F.char_length(F.coalesce("text", F.lit("")))
-    return judged.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~lost)
+    # Through a generator, below which the optimizer can't push a filter on the verdict:
+    # it would evaluate all that the verdict rests on again inside that filter.
+    verdict = F.explode(F.array(F.struct(failed.alias("base_failed"), (~failed & ~lost).alias("kept"))))
+    return judged.select("*", verdict.alias("_verdict")).select(*judged.columns, "_verdict.base_failed", "_verdict.kept")
 
 
 def oracle(max_lost: float = 0.5, min_words: int = 10, max_repeat_percent: int = 20) -> str:

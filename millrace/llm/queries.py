@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,5 +54,9 @@ def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.token_plane_table(table(spark, sf_dir, "documents"), TOKENIZER, end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_line_quality, op3_ogg, op4_warc, op5_packing, op6_jaccard, op7_licenses, op8_mixing, op9_toxicity, op10_token_planes)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_line_quality, op3_ogg, op4_warc, op5_packing, op6_jaccard, op7_licenses, op8_mixing, op9_toxicity, op10_token_planes, pipeline)}
 ORACLES: dict[str, str] = {"op2_line_quality": quality.oracle(), "op4_warc": warc.ORACLE, "op8_mixing": mixing.oracle()}

@@ -132,8 +132,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_featur
     return fit(x, rows["toxic"].to_numpy(dtype=np.float64), buckets, seed=seed)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out and score of every row of ``docs``."""
+def with_scores(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with the model's score of every row's text (a column named score is
+    replaced)."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         place = {int(b): k for k, b in enumerate(model.buckets)}
@@ -160,7 +161,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pd.Series(_sigmoid(model.logits(np.array(rows, np.int64), np.array(known, np.int64), len(texts))))
 
     scored = F.pandas_udf(run, "double")
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), scored("text").alias("score"))
+    return docs.withColumn("score", scored("text"))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **training) -> DataFrame:
@@ -171,5 +172,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, *
     null doc_id is never held out; repeated rows get equal scores; repeated labels of a
     document count as 1 if one of them is; an empty table gives no rows.
     """
-    scored = score(docs, train(docs, labels, **training))
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    scored = with_scores(docs.select("doc_id", "text"), train(docs, labels, **training))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
