@@ -1,0 +1,115 @@
+"""Versioned Parquet tables with an atomic commit log.
+
+A version is a manifest that lists folders of Parquet files, some of history and some
+of current rows. Writing makes new folders and then creates the next manifest; the
+file system lets only one writer create it. So readers see whole versions, a failed
+write leaves nothing visible, and a dimension's history is carried over untouched.
+"""
+
+from __future__ import annotations
+
+import json
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+from millrace.functions.types import conform
+from millrace.operators import scd2
+
+
+class ConcurrentWrite(RuntimeError):
+    """Another writer committed this version first."""
+
+
+class Table:
+    """A table under ``path``; any file system that Spark's Hadoop client knows."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        jvm = spark._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _manifest(self, version: int) -> str:
+        return f"{self.path}/_versions/{version:010d}.json"
+
+    def versions(self) -> list[int]:
+        folder = self._path(f"{self.path}/_versions")
+        if not self._fs.exists(folder):
+            return []
+        return sorted(int(s.getPath().getName()[:-5]) for s in self._fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
+
+    def exists(self) -> bool:
+        return bool(self.versions())
+
+    def describe(self, version: int | None = None) -> dict:
+        found = self.versions()
+        if not found:
+            raise FileNotFoundError(f"no table at {self.path}")
+        stream = self._fs.open(self._path(self._manifest(found[-1] if version is None else version)))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _commit(self, manifest: dict) -> int:
+        version = (self.versions() or [0])[-1] + 1
+        if manifest["parent"] != version - 1:
+            raise ConcurrentWrite(f"{self.path}: version {version - 1} came after {manifest['parent']}")
+        try:
+            out = self._fs.create(self._path(self._manifest(version)), False)
+        except Exception as error:
+            raise ConcurrentWrite(f"{self.path}: version {version} exists") from error
+        out.write(bytearray(json.dumps(manifest | {"version": version}).encode()))
+        out.close()
+        return version
+
+    def create(self, schema: T.StructType, comment: str | None = None) -> Table:
+        """Make the table unless there is one."""
+        if not self.exists():
+            self._commit({"parent": 0, "schema": schema.jsonValue(), "comment": comment, "history": [], "current": [], "batches": []})
+        return self
+
+    def schema(self, version: int | None = None) -> T.StructType:
+        return T.StructType.fromJson(self.describe(version)["schema"])
+
+    def read(self, version: int | None = None, only: str | None = None) -> DataFrame:
+        """The rows of a version, or only those of its history or current folders."""
+        manifest = self.describe(version)
+        schema = T.StructType.fromJson(manifest["schema"])
+        folders = [*manifest["history"], *manifest["current"]] if only is None else manifest[only]
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{f}" for f in folders])
+
+    def _write(self, df: DataFrame) -> list[str]:
+        folder = f"data/{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{folder}")
+        return [folder]
+
+    def append(self, df: DataFrame, batch: str | None = None) -> int:
+        """Add rows by name, cast to the table's schema; a batch id seen before adds
+        nothing, so a replayed micro-batch is harmless."""
+        manifest = self.describe()
+        if batch is not None and batch in manifest["batches"]:
+            return manifest["version"]
+        folders = self._write(conform(df, T.StructType.fromJson(manifest["schema"])))
+        return self._commit(manifest | {"parent": manifest["version"], "current": manifest["current"] + folders, "batches": manifest["batches"] + [batch] * (batch is not None)})
+
+    def overwrite(self, df: DataFrame) -> int:
+        manifest = self.describe()
+        folders = self._write(conform(df, T.StructType.fromJson(manifest["schema"])))
+        return self._commit(manifest | {"parent": manifest["version"], "history": [], "current": folders})
+
+    def apply_scd2(self, batch_rows: DataFrame, dim: scd2.Dimension, batch: str | None = None) -> int:
+        """Apply a batch to a dimension: current rows are rewritten, folders of
+        history are kept and one is added."""
+        manifest = self.describe()
+        if batch is not None and batch in manifest["batches"]:
+            return manifest["version"]
+        _, older, current = scd2.apply_parts(self.read(), batch_rows, dim)
+        kept = [f for f in manifest["history"]]
+        loose = manifest["current"] and self.read(only="current").where(f"NOT coalesce({dim.current}, false)")
+        history = self._write(older.unionByName(loose) if manifest["current"] else older)
+        return self._commit(manifest | {"parent": manifest["version"], "history": kept + history, "current": self._write(current), "batches": manifest["batches"] + [batch] * (batch is not None)})
