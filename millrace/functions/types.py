@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import ParseException
 from pyspark.sql import types as T
 
 #: Names whose meaning here differs from Spark's own reading of them.
@@ -15,7 +16,7 @@ def parse_type(text: str) -> T.DataType:
         return OWN[name]
     try:
         return T.StructType.fromDDL(f"c {text}").fields[0].dataType
-    except Exception as error:
+    except ParseException as error:
         raise ValueError(f"unknown type {text!r}") from error
 
 

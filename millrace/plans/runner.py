@@ -82,6 +82,8 @@ class Engine:
         for attempt in range(1, attempts + 1):
             started = time.monotonic()
             self._event(context, name, Status.RUNNING, attempt)
+            # A stream that this thread ran before may have left its own session active.
+            self.spark._jvm.org.apache.spark.sql.classic.SparkSession.setActiveSession(self.spark._jsparkSession)
             try:
                 self._execute(name, node, connections, context)
             except Exception as error:

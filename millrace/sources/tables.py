@@ -54,15 +54,14 @@ class NotAQuery(ValueError):
 def guarded_sql(spark: SparkSession, query: str, **tables: DataFrame) -> DataFrame:
     """Run a query, common table expressions included, in which ``{name}`` stands for
     a DataFrame. Commands and writes are refused by the plan they parse to."""
-    text = re.sub(r"\{(\w+)\}", r"\1", query)
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
-    tree = plan.toString()
-    kind = plan.getClass()
-    while kind is not None:
-        names = [kind.getName(), *[i.getName() for i in kind.getInterfaces()]]
-        if any(name.endswith((".Command", ".ParsedStatement")) or "Insert" in name for name in names):
-            raise NotAQuery(f"only queries may run here, not {plan.nodeName()}")
-        kind = kind.getSuperclass()
-    if "InsertIntoStatement" in tree:
-        raise NotAQuery("a query may not insert")
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(re.sub(r"\{(\w+)\}", r"\1", query))
+    load = plan.getClass().getClassLoader().loadClass
+    refused = [load(f"org.apache.spark.sql.catalyst.plans.logical.{name}") for name in ("Command", "ParsedStatement")]
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        if any(kind.isInstance(node) for kind in refused):
+            raise NotAQuery(f"only queries may run here, not {node.nodeName()}")
+        children = node.children()
+        todo += [children.apply(k) for k in range(children.size())]
     return spark.sql(query, **tables) if tables else spark.sql(query)
