@@ -49,12 +49,13 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     n_chars follows the text; the other columns of a copy are its document's. Documents
     without words have no place in a mix of words.
     """
-    mixed = mixing.mix_sources(docs).select("doc_id", F.explode("placements").alias("copy"))
-    copies = docs.join(mixed.select("doc_id", "copy.words"), "doc_id")
-    words = quality.words_of(F.col("text"))
-    cut = F.when(F.col("words") < F.size(words), F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), " ")).otherwise(F.col("text"))
-    columns = {"text": cut.alias("text"), "n_chars": F.char_length("text").cast("long").alias("n_chars")}
-    return copies.withColumn("text", cut).select(*[columns["n_chars"] if c == "n_chars" else F.col(c) for c in docs.columns])
+    mixed = mixing.mix_sources(docs).select(F.col("doc_id").alias("_id"), F.explode("placements").alias("_copy"))
+    copies = docs.join(mixed, docs["doc_id"] == mixed["_id"])
+    words, taken = quality.words_of(F.col("text")), F.col("_copy.words")
+    copies = copies.withColumn("text", F.when(taken < F.size(words), F.array_join(F.slice(words, F.lit(1), taken.cast("int")), " ")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        copies = copies.withColumn("n_chars", F.char_length("text").cast("long"))
+    return copies.select(*docs.columns)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
