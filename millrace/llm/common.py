@@ -2,47 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.sources.scratch import scratch_path
+
 #: The white space of the word rule ``[^\x20\x09-\x0D]+``.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 
-_local: list[str] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    Only a session in one process, which has no other machine to share with, may
-    leave it unset: it then gets a temporary folder that goes with the process.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    master = spark.conf.get("spark.master", "")
-    if master != "local" and not master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _local:
-        _local.append(tempfile.mkdtemp(prefix="millrace-"))
-        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
-    return _local[0]
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/millrace/{name}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: lineage is cut
     and a lost executor costs no recomputation of what lies before."""
@@ -112,28 +86,28 @@ class WordEncoder:
     def _learn(self, words: set[str]) -> dict[str, bytes]:
         """Ids of each word, none of which is in the young half of the table."""
         found, split, parts, new = {}, [], {"": b""}, {}
+        older, cores, separator, ends = self.words.old.get, self.cores.get, self.SEPARATOR, self.TAIL
         for word in words:
-            if (known := self.words.get(word)) is not None:
+            known = older(word)
+            if known is not None:
                 found[word] = known
+                self.words.put(word, known)
                 continue
-            if self.SEPARATOR in word:
+            if separator in word:
                 found[word] = self._whole(word)
                 continue
-            core = word.rstrip(self.TAIL)
+            core = word.rstrip(ends)
             if not core or not core[-1].isalnum():
                 core = word
             tail = word[len(core) :]
             if core.isascii():
                 core = core.lower()
             split.append((word, core, tail))
-            if core not in parts:
-                parts[core] = known = self.cores.get(core)
-                if known is None:
-                    new[core] = None
-            if tail not in parts:
-                parts[tail] = known = self.cores.get(tail)
-                if known is None:
-                    new[tail] = None
+            for part in (core, tail) if tail else (core,):
+                if part not in parts:
+                    parts[part] = known = cores(part)
+                    if known is None:
+                        new[part] = None
         if new:
             ids = np.array(self.model.encode(f" {self.SEPARATOR} ".join(new), add_special_tokens=False).ids, dtype="<u4")
             ends = [*np.flatnonzero(ids == self.separator).tolist(), len(ids)]
@@ -157,8 +131,8 @@ class WordEncoder:
             text = text.lower()
         words = text.split()
         parts = list(map(self.words.young.get, words))
-        if None in parts:
-            missing = [i for i, p in enumerate(parts) if p is None]
+        missing = [i for i, p in enumerate(parts) if p is None]
+        if missing:
             found = self._learn({words[i] for i in missing})
             for i in missing:
                 parts[i] = found[words[i]]

@@ -134,7 +134,8 @@ def shard_records(docs: DataFrame, shards: int = 16, ranges_per_shard: int = 64,
     return ranged.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.row_number().over(place) - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str) -> None:
-    """Write ``docs`` as one folder per shard, ordered by slot within it."""
-    placed = docs.join(assigned.select("doc_id", "shard", "slot"), "doc_id")
+def write_shards(docs: DataFrame, path: str, **options) -> None:
+    """Write every row of ``docs`` (doc_ids must be unique) once, as one folder per
+    shard, ordered by slot within it; ``options`` are those of :func:`shard_records`."""
+    placed = docs.join(shard_records(docs, **options).select("doc_id", "shard", "slot"), "doc_id")
     placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
