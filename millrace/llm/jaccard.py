@@ -9,12 +9,12 @@ sets are linked at similarity t when that distance is at most
    |x| - ceil(t |x|) + 1 of its shingles in a fixed order of all shingles. Linked
    classes share a region whatever the order; ordering shingles that many prefixes
    share after all others keeps texts apart that share no more than a passage.
-3. Pivots. Each region has a pivot, one of its classes, and the distance of every
-   class of the region to it is settled. Classes within the threshold of their pivot
+3. Pivots. Each region has a pivot, the most central of its classes, and it is settled
+   which classes of the region lie within the threshold of it. Classes within the threshold of their pivot
    form its core, and are one component already.
-4. Windows. Distances from 64 pivot sets, which split all shingles by hash, bound the
-   distance of two classes from below by the triangle inequality; only pairs within
-   the threshold by this bound have their sets compared.
+4. Windows. Distances from 128 pivot sets (more for large sets), which split all
+   shingles by hash, bound the distance of two classes from below by the triangle
+   inequality; only pairs within the threshold by this bound have their sets compared.
 5. Recursion. Regions that hold more than one component are joined again without the
    pairs inside a component; regions of more than ``block`` classes are split into
    blocks, and pairs of blocks joined, each in its own group.
@@ -27,17 +27,16 @@ own copies, so that the windows would copy them into every cell. See the README.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize
+from millrace.llm.common import discard, materialize
 
-PIVOT_SETS = 64
+PIVOT_SETS = 128
 #: Odd 64-bit factors of the words of a shingle, and of the final mixing.
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -79,14 +78,18 @@ def prefix_length(n: int, percent: int) -> int:
 
 def pivot_distances(shingles: np.ndarray) -> bytes:
     """How many shingles lie in each pivot set, up to 255. Differences of these
-    numbers, cut or not, never exceed those of the sets."""
-    counts = np.bincount((shingles & np.uint64(PIVOT_SETS - 1)).astype(np.int64), minlength=PIVOT_SETS)
+    numbers, cut or not, never exceed those of the sets. Larger sets are measured from
+    more pivot sets, each of which is part of one of the ``PIVOT_SETS``."""
+    sets = PIVOT_SETS
+    while 8 * sets < len(shingles):
+        sets *= 2
+    counts = np.bincount((shingles & np.uint64(sets - 1)).astype(np.int64), minlength=sets)
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
 def _sets(docs: DataFrame, percent: int) -> DataFrame:
-    """doc_id, n, set_key, head (the set's lowest hashes: its prefix and half as many
-    more) and coords (its distances from the pivot sets); the last two are null for
+    """doc_id, n, set_key, head (the set's lowest hashes: its prefix and a quarter
+    as many more) and coords (its distances from the pivot sets); the last two are null for
     empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +103,7 @@ def _sets(docs: DataFrame, percent: int) -> DataFrame:
                     m = prefix_length(n, percent)
                     sizes.append(n)
                     keys.append(xxhash.xxh3_128_digest(found.tobytes()) if n else None)
-                    heads.append(found[: m + m // 2 + 8].view(np.int64) if n else None)
+                    heads.append(found[: m + m // 4 + 8].view(np.int64) if n else None)
                     coords.append(pivot_distances(found) if n else None)
                 yield pa.record_batch([part.column(0), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary()), pa.array(heads, pa.list_(pa.int64())), pa.array(coords, pa.binary())], ["doc_id", "n", "set_key", "head", "coords"])
 
@@ -116,70 +119,86 @@ def _members(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     joined = sets.join(several, "set_key", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     own = F.col("n").isNotNull() & F.col("doc_id").isNotNull() & (F.col("rep") == F.col("doc_id")) & (F.col("n") > 0)
     both = materialize(joined.select("doc_id", "n", "rep", F.when(own, F.col("head")).alias("head"), F.when(own, F.col("coords")).alias("coords")), "jaccard-members")
+    discard(sets)
     return both.select("doc_id", "n", "rep"), both.where(F.col("coords").isNotNull()).select("rep", "n", "head", "coords")
 
 
-def _prefixes(classes: DataFrame, docs: DataFrame, hot: np.ndarray, percent: int) -> DataFrame:
-    """(s, rep, n) for the prefix of each class with the shingles in ``hot`` last.
+class _Order:
+    """The order of shingles: by hash, those in ``hot`` after all others."""
 
-    ``head`` nearly always reaches; classes for which hot shingles take up more of it
-    than it has to spare are shingled again from their texts.
-    """
+    def __init__(self, hot: np.ndarray, percent: int):
+        self.hot, self.percent = hot, percent
 
-    def first(n: int, lowest: np.ndarray) -> np.ndarray | None:
-        m = prefix_length(n, percent)
-        if not len(hot) or not len(lowest):
+    def prefix(self, n: int, lowest: np.ndarray) -> np.ndarray | None:
+        """The prefix of a set of n from its lowest hashes; None if they don't reach."""
+        m = prefix_length(n, self.percent)
+        if not len(self.hot):
             return lowest[:m]
-        at = np.minimum(np.searchsorted(hot, lowest), len(hot) - 1)
-        common = hot[at] == lowest
+        at = np.minimum(np.searchsorted(self.hot, lowest), len(self.hot) - 1)
+        common = self.hot[at] == lowest
         cold = lowest[~common]
         if len(cold) >= m:
             return cold[:m]
         return None if len(lowest) < n else np.concatenate([cold, lowest[common]])[:m]
 
-    def rows(found: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
-        counts = [len(f[2]) for f in found]
-        s = np.concatenate([f[2] for f in found]) if found else np.empty(0, np.int64)
-        return pa.record_batch([pa.array(s, pa.int64()), pa.array(np.repeat([f[0] for f in found], counts).astype(np.int64), pa.int64()), pa.array(np.repeat([f[1] for f in found], counts).astype(np.int32), pa.int32())], ["s", "rep", "n"])
+
+def _heads(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
+    for rep, n, head in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+        yield rep, n, head.values.to_numpy()
+
+
+def _postings(found: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+    counts = [len(f[2]) for f in found]
+    s = np.concatenate([f[2] for f in found]) if found else np.empty(0, np.int64)
+    columns = [pa.array(s, pa.int64())]
+    columns += [pa.array(np.repeat(np.array([f[k] for f in found], dtype=np.int64), counts), pa.int64()) for k in (0, 1)]
+    return pa.record_batch(columns, ["s", "rep", "n"])
+
+
+def _prefixes(classes: DataFrame, docs: DataFrame, order: _Order) -> tuple[DataFrame, DataFrame]:
+    """(s, rep, n) for the prefix of each class, and the distinct s that are not among
+    the class's lowest hashes, where prefixes by hash alone lie.
+
+    ``head`` nearly always reaches; classes for which hot shingles take up more of it
+    than it has to spare are shingled again from their texts.
+    """
+    empty = np.empty(0, np.int64)
 
     def from_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for rep, n, head in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                own = first(n, head.values.to_numpy())
-                found.append((rep, n, own if own is not None else np.empty(0, np.int64)))
-            yield rows(found)
+            yield _postings([(rep, n, own if (own := order.prefix(n, head)) is not None else empty) for rep, n, head in _heads(batch)])
 
     def unreached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [first(n, head.values.to_numpy()) is None for n, head in zip(batch.column(1).to_pylist(), batch.column(2), strict=True)]
-            yield pa.record_batch([batch.column(0).filter(pa.array(keep, pa.bool_()))], ["rep"])
+            yield pa.record_batch([pa.array([rep for rep, n, head in _heads(batch) if order.prefix(n, head) is None], pa.int64())], ["rep"])
 
     def from_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for rep, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = _shingler(text).view(np.int64)
-                found.append((rep, len(own), first(len(own), own)))
-            yield rows(found)
+            sets = [(rep, _shingler(text).view(np.int64)) for rep, text in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield _postings([(rep, len(own), order.prefix(len(own), own)) for rep, own in sets])
 
-    reached = classes.select("rep", "n", "head").mapInArrow(from_heads, "s long, rep long, n int")
-    if not len(hot):
-        return reached
-    again = classes.select("rep", "n", "head").mapInArrow(unreached, "rep long")
-    texts = _texts_of(docs, materialize(again, "jaccard-unreached"))
-    return reached.unionByName(texts.mapInArrow(from_texts, "s long, rep long, n int"))
+    def late(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            beyond = [np.setdiff1d(own, head[: prefix_length(n, order.percent)]) for _, n, head in _heads(batch) if (own := order.prefix(n, head)) is not None]
+            yield pa.record_batch([pa.array(np.unique(np.concatenate([empty, *beyond])), pa.int64())], ["s"])
+
+    slim = classes.select("rep", "n", "head")
+    reached = slim.mapInArrow(from_heads, "s long, rep long, n long")
+    texts = _texts_of(docs, materialize(slim.mapInArrow(unreached, "rep long"), "jaccard-unreached"))
+    again = materialize(texts.mapInArrow(from_texts, "s long, rep long, n long"), "jaccard-again")
+    lengthened = slim.mapInArrow(late, "s long").unionByName(again.select("s")).distinct()
+    return reached.unionByName(again), lengthened
 
 
 #: Ids up to this many (8 bytes each) are sent to all tasks; more are joined by shuffle.
-MOST_SENT = 2_000_000
+MOST_SENT = 3_000_000
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(rep, text) of the documents whose doc_ids are in ``ids``."""
     wanted = ids.select(F.col("rep").alias("doc_id")).distinct()
     wanted = F.broadcast(wanted) if ids.count() <= MOST_SENT else wanted
-    return docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).withColumnRenamed("doc_id", "rep")
+    return docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
 
 
 def _regions(classes: DataFrame, docs: DataFrame, percent: int, hot_from: int, most_hot: int) -> DataFrame:
@@ -187,26 +206,49 @@ def _regions(classes: DataFrame, docs: DataFrame, percent: int, hot_from: int, m
 
     def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            heads = [h.values.to_numpy()[: prefix_length(n, percent)] for n, h in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
-            yield pa.record_batch([pa.array(np.concatenate(heads) if heads else np.empty(0, np.int64), pa.int64())], ["s"])
+            yield pa.record_batch([_postings([(rep, n, head[: prefix_length(n, percent)]) for rep, n, head in _heads(batch)]).column(0)], ["s"])
 
-    counted = classes.select("n", "head").mapInArrow(lowest, "s long").groupBy("s").count().where("count > 1")
+    counted = classes.select("rep", "n", "head").mapInArrow(lowest, "s long").groupBy("s").count().where("count > 1")
     counted = materialize(counted, "jaccard-counts")
     common = counted.where(F.col("count") >= hot_from).orderBy(F.desc("count"), "s").limit(most_hot)
     hot = np.sort(np.array([r["s"] for r in common.select("s").toLocalIterator()], dtype=np.int64))
-    prefixes = _prefixes(classes, docs, hot, percent)
+    wanted = counted.select("s")
+    prefixes = classes.select("rep", "n", "head").mapInArrow(lambda batches: (_postings([(rep, n, head[: prefix_length(n, percent)]) for rep, n, head in _heads(b)]) for b in batches), "s long, rep long, n long")
     if len(hot):
-        # Prefixes that hot shingles lengthened may meet at shingles not counted yet.
-        prefixes = materialize(prefixes, "jaccard-prefixes")
-        counted = prefixes.groupBy("s").count().where("count > 1")
-    return materialize(prefixes.join(counted.select("s"), "s"), "jaccard-regions")
-
-
-def _near(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs the sizes and the distances from the pivot sets allow to be linked."""
-    total = na.astype(np.int64) + nb
-    apart = np.abs(a.astype(np.int16) - b).sum(axis=1, dtype=np.int64)
-    return ((100 + percent) * apart <= (100 - percent) * total) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+        prefixes, lengthened = _prefixes(classes, docs, _Order(hot, percent))
+        wanted = materialize(wanted.unionByName(lengthened).distinct(), "jaccard-wanted")
+    met = prefixes.join(F.broadcast(wanted) if wanted.count() <= MOST_SENT else wanted, "s", "left_semi")
+    if not len(hot):
+        return materialize(met, "jaccard-regions")
+    met = materialize(met.dropDuplicates(["s", "rep"]), "jaccard-met")
+    return materialize(met.join(met.groupBy("s").count().where("count > 1").select("s"), "s"), "jaccard-regions")
+
+
+def _coarse(at: bytes, sets: int) -> np.ndarray:
+    """Distances from ``sets`` pivot sets: those from the parts of each, summed."""
+    return np.frombuffer(at, dtype=np.uint8).reshape(-1, sets).sum(axis=0, dtype=np.int32)
+
+
+def _near(at: list[bytes], n: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs (left, right) the sizes and the distances from the pivot sets allow
+    to be linked. Sums of cut counts are cut at most as much as the sets differ."""
+    total = n[left] + n[right]
+    fits = 100 * np.minimum(n[left], n[right]) >= percent * np.maximum(n[left], n[right])
+    sets = np.array([len(x) for x in at])
+    few = np.flatnonzero(sets == PIVOT_SETS)
+    row = np.zeros(len(at), dtype=np.int64)
+    row[few] = np.arange(len(few))
+    matrix = np.frombuffer(b"".join([at[k] for k in few]), dtype=np.uint8).reshape(-1, PIVOT_SETS).astype(np.int16)
+    plain = np.flatnonzero(fits & (sets[left] == PIVOT_SETS) & (sets[right] == PIVOT_SETS))
+    for start in range(0, len(plain), 16_384):
+        part = plain[start : start + 16_384]
+        apart = np.abs(matrix[row[left[part]]] - matrix[row[right[part]]]).sum(axis=1, dtype=np.int64)
+        fits[part] = (100 + percent) * apart <= (100 - percent) * total[part]
+    for k in np.flatnonzero(fits & ((sets[left] > PIVOT_SETS) | (sets[right] > PIVOT_SETS))):
+        common = min(sets[left[k]], sets[right[k]])
+        apart = int(np.abs(_coarse(at[left[k]], common) - _coarse(at[right[k]], common)).sum())
+        fits[k] = (100 + percent) * apart <= (100 - percent) * total[k]
+    return fits
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, percent: int, name: str) -> DataFrame:
@@ -233,7 +275,8 @@ def _linked(pairs: DataFrame, docs: DataFrame, percent: int, name: str) -> DataF
 
     pairs = materialize(pairs, f"{name}-pairs")
     ids = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-    sets = materialize(_texts_of(docs, ids).mapInArrow(shingled, "rep long, shingles binary"), f"{name}-sets")
+    # One exchange of the sets by their class, which drops repeated rows and serves both sides.
+    sets = _texts_of(docs, ids).mapInArrow(shingled, "rep long, shingles binary").groupBy("rep").agg(F.first("shingles").alias("shingles"))
     left, right = (sets.select(F.col("rep").alias(k), F.col("shingles").alias(f"shingles_{k}")) for k in ("a", "b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "shingles_a", "shingles_b")
     return materialize(both.mapInArrow(compared, "a long, b long"), f"{name}-links")
@@ -284,11 +327,16 @@ def jaccard_components(docs: DataFrame, percent: int = 80, hot_from: int = 64, m
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, PIVOT_SETS) for k in (4, 5))
-            keep = pa.array(_near(a, b, batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent), pa.bool_())
+            rows = np.arange(batch.num_rows)
+            at = [*batch.column(4).to_pylist(), *batch.column(5).to_pylist()]
+            n = np.concatenate([batch.column(2).to_numpy(), batch.column(3).to_numpy()]).astype(np.int64)
+            keep = pa.array(_near(at, n, rows, rows + batch.num_rows, percent), pa.bool_())
             yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    pivots = regions.groupBy("s").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep"))).alias("p")).select("s", F.col("p.rep").alias("pivot"))
+    # The pivot is the most central class: the one whose regions hold most classes in all.
+    sizes = regions.groupBy("s").agg(F.count("*").alias("size"))
+    central = materialize(regions.join(sizes, "s").groupBy("rep").agg(F.sum("size").alias("company")), "jaccard-central")
+    pivots = regions.join(central, "rep").groupBy("s").agg(F.max(F.struct("company", F.xxhash64("rep").alias("h"), "rep")).alias("p")).select("s", F.col("p.rep").alias("pivot"))
     to_pivots = regions.join(pivots, "s").where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
     sides = [coords.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("coords").alias(f"coords_{k}")) for k in ("a", "b")]
     placed = to_pivots.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "n_b", "coords_a", "coords_b")
@@ -298,26 +346,26 @@ def jaccard_components(docs: DataFrame, percent: int = 80, hot_from: int = 64, m
     labelled = regions.join(labels, regions.rep == labels.node, "left").select("s", "rep", "n", F.coalesce("label", "rep").alias("label"))
     labelled = materialize(labelled, "jaccard-labelled")
     mixed = labelled.groupBy("s").agg(F.count("*").alias("size"), (F.min("label") != F.max("label")).alias("mixed")).where("mixed AND size > 2").drop("mixed")
-    rest = labelled.join(mixed, "s").join(coords.drop("n"), "rep")
+    rest = materialize(labelled.join(mixed, "s"), "jaccard-mixed")
+    # Of each class the first few of its regions (of a prefix at most): a pair that has
+    # one of them in common before the region at hand is left to that one.
+    lowest = rest.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list("s")), 1, 8).alias("lowest"))
+    rest = rest.join(lowest, "rep").join(coords.drop("n"), "rep")
     blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
     rest = rest.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rest = rest.select("s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "label", "coords")
+    rest = rest.select("s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "label", "coords", "lowest")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
 
         def pairs() -> pa.RecordBatch:
             own, rep, n, label = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(4))
-            at = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint8).reshape(-1, PIVOT_SETS)
             left, right = np.triu_indices(len(rows), 1)
             crossing = (label[left] != label[right]) & ((own[left] != own[right]) if key[1] != key[2] else True)
             left, right = left[crossing], right[crossing]
-            out = []
-            for start in range(0, len(left), 65_536):
-                x, y = left[start : start + 65_536], right[start : start + 65_536]
-                keep = _near(at[x], at[y], n[x], n[y], percent)
-                out.append((rep[x[keep]], rep[y[keep]]))
-            a, b = (np.concatenate([o[k] for o in out]) if out else np.empty(0, np.int64) for k in (0, 1))
+            keep = _near([r[4] for r in rows], n, left, right, percent)
+            kept = [k for k in np.flatnonzero(keep) if min(set(rows[left[k]][5]).intersection(rows[right[k]][5]), default=key[0]) >= key[0]]
+            a, b = rep[left[kept]], rep[right[kept]]
             return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
         for batch in batches:
