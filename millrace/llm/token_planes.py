@@ -152,15 +152,17 @@ def write_token_planes(docs: DataFrame, path: str, tokenizer_path: str, end_id:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, encoder = FileWriter(block_ids, kind, level), word_encoder(tokenizer_path)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for record in writer.add(doc_id, np.frombuffer(encoder.encode(text) + end, dtype="<u4")):
-                    yield pa.record_batch([pa.array([record], pa.binary())], ["record"])
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    for record in writer.add(doc_id, np.frombuffer(encoder.encode(text) + end, dtype="<u4")):
+                        yield pa.record_batch([pa.array([record], pa.binary())], ["record"])
         if writer.ids:
             for record in writer.close():
                 yield pa.record_batch([pa.array([record], pa.binary())], ["record"])
 
     spread = docs.select("doc_id", "text")
-    spread = spread.repartitionByRange(files, "doc_id", "text") if files else spread.repartitionByRange("doc_id", "text")
+    spread = spread.repartitionByRange(files, "doc_id") if files else spread.repartitionByRange("doc_id")
     records = spread.sortWithinPartitions("doc_id", "text").mapInArrow(encode, "record binary")
     records.select(F.col("record").cast("string").alias("value")).write.option("compression", "none").text(path)
 
