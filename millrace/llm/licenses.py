@@ -3,7 +3,8 @@
 A notice with at most k errors, cut into k + 1 pieces, holds at least one piece
 unchanged (the pigeonhole principle). An Aho-Corasick automaton finds all pieces of all
 notices in one pass over a text; around each hit the regex library's bounded-error
-matching decides, and gives the span and the number of errors.
+matching decides, and gives the span and the number of errors. Where one word tells a
+notice from others, the errors are for the words before it, and it stands exactly.
 """
 
 from __future__ import annotations
@@ -29,14 +30,23 @@ class Notice:
     label: str
     phrase: str
     errors: int
+    #: The last word of the phrase, if other notices differ in nothing else.
+    telling: str = ""
 
+    @property
+    def stem(self) -> str:
+        return self.phrase.removesuffix(f" {self.telling}") if self.telling else self.phrase
+
+
+#: Words that may stand side by side in place of one telling word, as in BY-NC-SA.
+TELLING = ("nc", "nd", "sa")
 
 #: Words of well-known notices as they stand after folding, and the errors allowed.
 NOTICES = (
     Notice("apache-2.0", "licensed under the apache license version 2 0", 4),
     Notice("bsd", "redistribution and use in source and binary forms", 4),
-    Notice("cc-by-nc", "licensed under cc by nc", 2),
-    Notice("cc-by-sa", "licensed under cc by sa", 2),
+    Notice("cc-by-nc", "licensed under cc by nc", 2, "nc"),
+    Notice("cc-by-sa", "licensed under cc by sa", 2, "sa"),
     Notice("cc0", "dedicated to the public domain", 3),
     Notice("gnu-gpl", "gnu general public license", 2),
     Notice("isc", "permission to use copy modify and or distribute this software", 5),
@@ -73,12 +83,20 @@ def pieces(phrase: str, errors: int) -> list[tuple[int, str]]:
 
 
 class Searcher:
-    def __init__(self, notices: tuple[Notice, ...] = NOTICES):
+    """All notices within their errors; with ``telling``, errors are for the stem, and
+    the telling word stands exactly, after at most two others of ``TELLING``."""
+
+    def __init__(self, notices: tuple[Notice, ...] = NOTICES, telling: bool = False):
         self.notices = notices
-        self.patterns = [regex.compile(f"(?e)(?:{regex.escape(n.phrase, literal_spaces=True)}){{e<={n.errors}}}") for n in notices]
+        self.fuzzy = [n.stem if telling else n.phrase for n in notices]
+        others = f"(?: (?:{'|'.join(TELLING)})){{0,{len(TELLING) - 1}}}?"
+        exact = [f"{others} {n.telling}(?= )" if telling and n.telling else "" for n in notices]
+        self.patterns = [regex.compile(f"(?e)(?:{regex.escape(f, literal_spaces=True)}){{e<={n.errors}}}{x}") for n, f, x in zip(notices, self.fuzzy, exact, strict=True)]
+        #: Characters that a match may need beyond its fuzzy part.
+        self.beyond = [len(TELLING) * (max(map(len, TELLING)) + 1) + 1 if x else 0 for x in exact]
         seeds: dict[str, list[tuple[int, int]]] = {}
         for k, notice in enumerate(notices):
-            for offset, piece in pieces(notice.phrase, notice.errors):
+            for offset, piece in pieces(self.fuzzy[k], notice.errors):
                 seeds.setdefault(piece, []).append((k, offset))
         self.automaton = ahocorasick.Automaton()
         for piece, uses in seeds.items():
@@ -93,7 +111,7 @@ class Searcher:
             for k, offset in uses:
                 notice = self.notices[k]
                 first = end + 1 - length - offset
-                out.setdefault(k, []).append([max(0, first - notice.errors), min(len(folded), first + len(notice.phrase) + notice.errors)])
+                out.setdefault(k, []).append([max(0, first - notice.errors), min(len(folded), first + len(self.fuzzy[k]) + notice.errors + self.beyond[k])])
         merged: dict[int, list[tuple[int, int]]] = {}
         for k, parts in out.items():
             parts.sort()
@@ -124,7 +142,7 @@ class Searcher:
 
 @lru_cache(maxsize=1)
 def searcher() -> Searcher:
-    return Searcher()
+    return Searcher(telling=True)
 
 
 SCANNED = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"

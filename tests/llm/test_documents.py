@@ -319,6 +319,26 @@ def test_notice_spans():
     assert licenses.scan("CC BY cc-by")[1:5] == (2, 0, 2, "cc-by")
 
 
+@pytest.mark.parametrize(
+    ("line", "labels"),
+    [
+        ("Licensed under CC BY 4.0.", "cc-by"),
+        ("Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc"),
+        ("Licensed under CC BY-SA 4.0.", "cc-by,cc-by-sa"),
+        ("Licensed under CC BY-ND 4.0.", "cc-by"),
+        ("Licensed under CC BY-NC-SA 4.0.", "cc-by,cc-by-nc,cc-by-sa"),
+        ("Licnsed undr CC BY-NC-SA", "cc-by,cc-by-nc,cc-by-sa"),
+        ("Licensd unde CC BY-SA", "cc-by,cc-by-sa"),
+        ("Licensed under CCBY NC", "cc-by-nc"),
+        ("Licensed under CC BY-ND. Licensed under CC BY-SA.", "cc-by,cc-by-sa"),
+        ("Licensed under CC BY-NCX", "cc-by"),
+    ],
+)
+def test_telling_words(line, labels):
+    assert licenses.scan(line)[5] == labels
+    assert licenses.scan(f"Foo bar. {line} All done. " * 3)[5] == labels
+
+
 # 8
 
 
