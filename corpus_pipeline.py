@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import jaccard, mixing, packing, quality, toxicity
-from millrace.llm.common import materialize, table
+from millrace.llm.common import SPACES, materialize, table
 
 #: A score from which a document counts as toxic.
 TOXIC = 0.7
@@ -34,12 +34,38 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return toxicity.with_scores(docs, model).where(F.col("score") < TOXIC).select(*docs.columns)
 
 
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``docs`` doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def _numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows with a number of their own each, stored so that it stays, and the
+    number's column; doc_ids may be null or repeated."""
+    row = _fresh(docs, "_row")
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), name), row
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the Jaccard join at 0.8: the one with the
-    smallest doc_id. Documents without words are in no group and stay; rows repeated
-    with one doc_id become one row."""
-    kept = jaccard.jaccard_components(docs).where("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each component of the Jaccard join at 0.8: the one with the smallest
+    doc_id, null last.
+
+    The join takes rows, not doc_ids: rows whose texts are unlike stay whether their
+    doc_ids are null, the same or different, and copies go likewise. Rows without words
+    are in no group; of those, rows with one doc_id and text become one row.
+    """
+    rows, row = _numbered(docs, "distinct-rows")
+    found = jaccard.jaccard_components(rows.select(F.col(row).alias("doc_id"), "text"))
+    found = found.select(F.col("doc_id").alias("row"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component"))
+    blank = F.when(F.btrim(F.coalesce("text", F.lit("")), F.lit(SPACES)) == "", F.col("text"))
+    slim = rows.select(F.col(row).alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), blank.alias("blank")).join(found, "row")
+    single = F.when(F.col("component").isNull(), F.col("doc_id"))
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "row")).alias("best")
+    kept = slim.groupBy("component", single.alias("single"), "blank").agg(best).select(F.col("best.row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from millrace.llm.common import tokenizer
 from pyspark.sql import functions as F
+from tests.llm.conftest import ODD, PROSE
 from tests.llm.test_documents import brute_components, brute_quality, texts
 
 
@@ -54,3 +55,16 @@ def test_odd_rows_pass_every_stage(spark, sf_dir, odd, clashing, empty, tmp_path
         kept = spark.read.parquet(str(tmp_path / f"{k}-near_duplicates"))
         ids = [r.doc_id for r in kept.collect()]
         assert len(ids) == len(set(ids))
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark, sf_dir, odd):
+    text = lambda k: " ".join(f"t{k}w{j}" for j in range(60))
+    near = text(2) + " more"
+    rows = [(None, text(k)) for k in range(5)] + [(7, text(k)) for k in range(4, 9)]
+    rows += [(3, near), (None, near), (7, text(8)), (9, text(8)), (None, ""), (None, ""), (None, " "), (None, None), (5, ""), (5, ""), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    stay = [(None, text(k)) for k in (0, 1, 3)] + [(3, near)] + [(7, text(k)) for k in range(4, 9)]
+    stay += [(None, ""), (None, " "), (None, None), (5, ""), (5, None)]
+    assert Counter(texts(corpus_pipeline.near_duplicates(spark, docs, sf_dir))) == Counter(stay)
+    copies = [(2, PROSE), (2, PROSE), (None, PROSE), (10, "one two three")]
+    assert Counter(texts(corpus_pipeline.near_duplicates(spark, odd, sf_dir))) == Counter(r[:2] for r in ODD) - Counter(copies)
