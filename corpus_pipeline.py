@@ -73,11 +73,14 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     the last of a source's stream cut to the words that reach its target.
 
     n_chars follows the text; the other columns of a copy are its document's. Documents
-    without words have no place in a mix of words.
+    without words have no place in a mix of words. Rows with null or repeated doc_ids
+    are documents of their own: a placement returns the row that it was made for.
     """
-    mixed = mixing.mix_sources(docs).select(F.col("doc_id").alias("_id"), F.explode("placements").alias("_copy"))
-    copies = docs.join(mixed, docs["doc_id"] == mixed["_id"])
-    words, taken = quality.words_of(F.col("text")), F.col("_copy.words")
+    rows, row = _numbered(docs, "mixing-rows")
+    copy = _fresh(rows, "_copy")
+    mixed = mixing.mix_sources(rows, carry=(row,)).select(row, F.explode("placements").alias(copy))
+    copies = rows.join(mixed, row)
+    words, taken = quality.words_of(F.col("text")), F.col(copy)["words"]
     copies = copies.withColumn("text", F.when(taken < F.size(words), F.array_join(F.slice(words, F.lit(1), taken.cast("int")), " ")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         copies = copies.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -82,7 +82,7 @@ def _stride(n: int) -> int:
 PLACED = "array<struct<epoch:int,words:long,shard:int,place:long>>"
 
 
-def mix_sources(docs: DataFrame, shards: int = 64, block_words: int = 4096, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: int = 11) -> DataFrame:
+def mix_sources(docs: DataFrame, shards: int = 64, block_words: int = 4096, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: int = 11, carry: tuple[str, ...] = ()) -> DataFrame:
     """How often the mix takes each document, and where it puts it.
 
     One row per row of ``docs``: doc_id, size (words of the text), source_size, target
@@ -92,13 +92,14 @@ def mix_sources(docs: DataFrame, shards: int = 64, block_words: int = 4096, weig
 
     Null texts have no words, and documents without words no placements; a null source
     is a source of its own, the last; repeated rows are documents of their own; an
-    empty table gives no rows; other columns are left out. Words before a document in
+    empty table gives no rows; other columns are left out, but for those in ``carry``,
+    which come last and decide ties of doc_id and size. Words before a document in
     its source's stream are sums over 4096 hash ranges of the source and then within
     the range, so a source of any size is spread over tasks. The source table itself
     (a few numbers per source, of which the quotas are drawn) goes to the driver.
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = materialize(docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), key.alias("key")), "mixing-sizes")
+    sized = materialize(docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), key.alias("key"), *carry), "mixing-sizes")
     targets = materialize(source_targets(sized, weights, most), "mixing-targets")
     ranged = sized.withColumn("range", F.substring("key", 1, 3))
     sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("words"))
@@ -107,7 +108,7 @@ def mix_sources(docs: DataFrame, shards: int = 64, block_words: int = 4096, weig
     sums = sums.join(targets, sums.source.eqNullSafe(targets.source)).drop(targets.source)
     same = ranged.source.eqNullSafe(sums.source) & (ranged.range == sums.range)
     joined = ranged.join(sums, same).drop(sums.source).drop(sums.range)
-    within = Window.partitionBy("rank", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("rank", "range").orderBy("key", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, -1)
     streamed = joined.withColumn("before", F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
 
     rows = targets.select("rank", "source_size", "target").toPandas().sort_values("rank")
@@ -133,7 +134,7 @@ def mix_sources(docs: DataFrame, shards: int = 64, block_words: int = 4096, weig
                 out[k].append({"epoch": epoch, "words": int(taken[k]), "shard": shard, "place": place})
         return pd.Series(out)
 
-    return streamed.select("doc_id", "size", "source_size", "target", placed("rank", "before", "size", "source_size", "key").alias("placements"))
+    return streamed.select("doc_id", "size", "source_size", "target", placed("rank", "before", "size", "source_size", "key").alias("placements"), *carry)
 
 
 def taken_words(mixed: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """The stages, each against brute force on its own input."""
 
+import hashlib
 from collections import Counter, defaultdict
 
 import corpus_pipeline
@@ -68,3 +69,24 @@ def test_near_duplicates_of_null_and_repeated_ids(spark, sf_dir, odd):
     assert Counter(texts(corpus_pipeline.near_duplicates(spark, docs, sf_dir))) == Counter(stay)
     copies = [(2, PROSE), (2, PROSE), (None, PROSE), (10, "one two three")]
     assert Counter(texts(corpus_pipeline.near_duplicates(spark, odd, sf_dir))) == Counter(r[:2] for r in ODD) - Counter(copies)
+
+
+def test_source_mix_of_null_and_repeated_ids(spark, sf_dir):
+    ids = [None, None, None, 1, 1, 1, 2, 3, None, 4]
+    docs = [("a", d, 30 + k) for k, d in enumerate(ids)] + [("b", d, 20 + k) for k, d in enumerate(ids)]
+    docs = [(d, " ".join(f"{s}{n}w{j}" for j in range(n)), s, n) for s, d, n in docs]
+    total = sum(n for *_, n in docs)
+    expected = Counter()
+    for source, share in (("a", 1 / 3), ("b", 2 / 3)):
+        own = sorted((hashlib.md5(f"11:{'' if d is None else d}".encode()).hexdigest(), n, d, t) for d, t, s, n in docs if s == source)
+        size, before = sum(n for _, n, _, _ in own), 0
+        for _, n, d, t in own:
+            for epoch in range(3):
+                taken = min(n, round(total * share) - before - epoch * size)
+                if taken > 0:
+                    expected[(d, " ".join(t.split()[:taken]), source)] += 1
+            before += n
+    mix = corpus_pipeline.source_mix(spark, spark.createDataFrame(docs, "doc_id long, text string, source string, n_chars long").repartition(3), sf_dir)
+    found = mix.collect()
+    assert Counter((r.doc_id, r.text, r.source) for r in found) == expected
+    assert all(r.n_chars == len(r.text) for r in found)
