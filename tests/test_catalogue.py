@@ -22,3 +22,10 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir, capsys):
     plan = capsys.readouterr().out
     assert "GreaterThan(o_totalprice" in plan and "EqualTo(o_orderstatus,O)" in plan
     assert "o_orderdate" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_run_status_reads_all_events(spark, sf_dir):
+    found = catalogue.QUERIES["run_status"](spark, sf_dir).toPandas()
+    runs = database(sf_dir).sql("SELECT DISTINCT user_id, CAST(ts AS DATE) FROM events").df()
+    assert len(found) == found.run_id.nunique() == len(runs)
+    assert set(found.status) == {"failed", "running", "success", "unknown"}
