@@ -29,3 +29,12 @@ def test_run_status_reads_all_events(spark, sf_dir):
     runs = database(sf_dir).sql("SELECT DISTINCT user_id, CAST(ts AS DATE) FROM events").df()
     assert len(found) == found.run_id.nunique() == len(runs)
     assert set(found.status) == {"failed", "running", "success", "unknown"}
+
+
+def test_join_full_and_filter_null_read_whole_tables(spark, sf_dir):
+    joined = catalogue.QUERIES["join_full"](spark, sf_dir).toPandas()
+    suppliers, customers = (spark.read.parquet(f"{sf_dir}/{t}.parquet").toPandas() for t in ("supplier", "customer"))
+    assert sorted(joined.s_suppkey.dropna()) == sorted(suppliers.s_suppkey)
+    assert sorted(joined.c_custkey.dropna()) == sorted(customers.c_custkey)
+    assert joined.s_suppkey.isna().any() and joined.c_custkey.isna().any() and joined.notna().all(axis=1).any()
+    assert sorted(catalogue.QUERIES["filter_null"](spark, sf_dir).toPandas().c_custkey) == sorted(customers.c_custkey)
