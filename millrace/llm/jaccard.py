@@ -15,9 +15,10 @@ sets are linked at similarity t when that distance is at most
 4. Windows. Distances from 128 pivot sets (more for large sets), which split all
    shingles by hash, bound the distance of two classes from below by the triangle
    inequality; only pairs within the threshold by this bound have their sets compared.
-5. Recursion. Regions that hold more than one component are joined again without the
-   pairs inside a component; regions of more than ``block`` classes are split into
-   blocks, and pairs of blocks joined, each in its own group.
+5. Blocks, in place of recursion. Regions that hold more than one component are joined
+   once more, all pairs but those inside a component and without new pivots; regions of
+   more than ``block`` classes are split into blocks, and pairs of blocks joined, each
+   in its own group.
 
 Voronoi cells of whole documents, the usual form of this join, don't serve at a
 threshold of 0.8: nearly all documents are at distance 1 from every pivot but their
@@ -288,7 +289,7 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     Each round turns every node's larger neighbours to its smallest, and then its
     smaller ones, until nothing changes; both are joins on nodes and minima that
     combine before the shuffle, so no neighbourhood is gathered. Rounds grow with the
-    logarithm of a component's size.
+    logarithm of a component's size; an error is raised if ``rounds`` don't suffice.
     """
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "components")
     before = None
@@ -304,6 +305,8 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components have not settled after {rounds} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
 

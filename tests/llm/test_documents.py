@@ -282,6 +282,12 @@ def test_components(spark):
     assert {tuple(r) for r in found.collect()} == {(k, 0) for k in range(41)} | {(k, 100) for k in range(100, 160)}
 
 
+def test_components_that_have_not_settled(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError, match="2 rounds"):
+        jaccard.components(chain, rounds=2)
+
+
 # 7
 
 
