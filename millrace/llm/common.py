@@ -1,10 +1,16 @@
-"""Tables, scratch storage and tokenizers shared by the operators."""
+"""Tables, scratch storage, words and tokenizers shared by the operators."""
 
 from __future__ import annotations
 
-from functools import lru_cache
+import json
+import os
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.sources.scratch import scratch_path
@@ -35,111 +41,204 @@ def discard(*stored: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-@lru_cache(maxsize=4)
-def tokenizer(path: str):
-    from tokenizers import Tokenizer
+class Workspace:
+    """The intermediate tables of one computation; :meth:`clear` deletes them once a
+    result that doesn't read them is stored."""
 
-    return Tokenizer.from_file(path)
+    def __init__(self):
+        self.tables: list[DataFrame] = []
 
+    def materialize(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(materialize(df, name))
+        return self.tables[-1]
 
-class _Recent:
-    """A look-up table of recently used keys: of two halves, the older is dropped
-    when the younger is full."""
+    def clear(self) -> None:
+        discard(*self.tables)
+        self.tables = []
 
-    def __init__(self, capacity: int):
-        self.half, self.young, self.old = capacity // 2, {}, {}
 
-    def get(self, key):
-        found = self.young.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
-            self.put(key, found)
-        return found
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+# Words of Arrow columns, a bounded slice at a time
+
+#: Bytes of text that are worked on at once; a longer text is a slice of its own.
+SLICE_BYTES = 4 << 20
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch, each of one row or of at most ``most`` bytes in
+    the column."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    start, held = 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        if k > start and held + n > most:
+            yield batch.slice(start, k - start)
+            start, held = k, 0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
+@dataclass(frozen=True)
+class Words:
+    """The words of several texts: ``distinct`` ones, for each word its place among
+    those, and for each text the number of words up to its end."""
+
+    distinct: pa.Array
+    which: np.ndarray
+    ends: np.ndarray
+
+    def spans(self) -> Iterator[tuple[int, int]]:
+        start = 0
+        for end in self.ends.tolist():
+            yield start, end
+            start = end
 
-    def put(self, key, value) -> None:
-        if len(self.young) >= self.half:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
 
+def split_words(texts: pa.Array) -> Words:
+    """The words ``[^\\x20\\x09-\\x0D]+`` of each text; a null has none."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    ends = lists.offsets.to_numpy()[1:].astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    which = coded.indices.to_numpy()
+    blank = pc.index(coded.dictionary, "").as_py()
+    if blank >= 0:  # what the kernel has before leading and after trailing white space
+        stays = which != blank
+        ends = np.concatenate([[0], np.cumsum(stays)])[ends]
+        which = which[stays]
+    return Words(coded.dictionary, which, ends)
 
-class WordEncoder:
-    """Ids of whole texts from a tokenizer that drops white space.
 
-    ``word_bpe_49k.json`` splits at white space, and again between a letter or digit
-    and the punctuation after it, so the ids of a text are those of its words in
-    order. Words met lately are looked up; new ones of a text are encoded in one
-    call, between separators. ``capacity`` bounds each look-up table.
+# What a Python worker keeps between tasks
+
+_kept: dict = {}
+
+
+def per_worker(make: Callable, *args):
+    """``make(*args)``, kept in this Python worker until something else is asked for:
+    Spark reuses its workers, so whatever they keep stays in an executor's memory."""
+    key = (make.__module__, make.__qualname__, *args)
+    if _kept.get("key") != key:
+        _kept.clear()
+        _kept.update(key=key, value=make(*args))
+    return _kept["value"]
+
+
+# Tokenizers
+
+#: The parts of a vocabulary file, as ``word_bpe_49k.json`` has them, under
+#: which the ids of a text are those of its white-space-free words in order. Nothing is
+#: composed, lower-cased or matched across white space, which itself gives no ids.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+class TextEncoder:
+    """Ids of texts by the tokenizers library.
+
+    Where the vocabulary file says that words without white space are encoded one by
+    one (see ``NORMALIZERS`` and following), the ids that the library gave for whole
+    words are kept, at most about ``memo_bytes`` of them, the longest unused going
+    first. Texts of any other vocabulary are encoded whole.
     """
 
-    TAIL = ".,;:!?"
-    #: White space to ``str.split`` but not to the tokenizer: such texts are encoded whole.
-    UNLIKE = "\x1c\x1d\x1e\x1f"
     SEPARATOR = "|"
-
-    def __init__(self, path: str, capacity: int = 800_000):
-        self.model = tokenizer(path)
-        self.words, self.cores = _Recent(capacity), _Recent(capacity)
-        (self.separator,) = self.model.encode(self.SEPARATOR, add_special_tokens=False).ids
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of each word, none of which is in the young half of the table."""
-        found, split, parts, new = {}, [], {"": b""}, {}
-        older, cores, separator, ends = self.words.old.get, self.cores.get, self.SEPARATOR, self.TAIL
-        for word in words:
-            known = older(word)
-            if known is not None:
-                found[word] = known
-                self.words.put(word, known)
-                continue
-            if separator in word:
-                found[word] = self._whole(word)
-                continue
-            core = word.rstrip(ends)
-            if not core or not core[-1].isalnum():
-                core = word
-            tail = word[len(core) :]
-            if core.isascii():
-                core = core.lower()
-            split.append((word, core, tail))
-            for part in (core, tail) if tail else (core,):
-                if part not in parts:
-                    parts[part] = known = cores(part)
-                    if known is None:
-                        new[part] = None
-        if new:
-            ids = np.array(self.model.encode(f" {self.SEPARATOR} ".join(new), add_special_tokens=False).ids, dtype="<u4")
-            ends = [*np.flatnonzero(ids == self.separator).tolist(), len(ids)]
-            start, raw = 0, ids.tobytes()
-            for part, end in zip(new, ends, strict=True):
-                parts[part] = raw[4 * start : 4 * end]
-                self.cores.put(part, parts[part])
-                start = end + 1
-        for word, core, tail in split:
-            found[word] = parts[core] + parts[tail]
-            if core not in new:  # seen before, so worth a place
-                self.words.put(word, found[word])
+    #: Bytes that an entry takes besides its word and ids.
+    ENTRY = 160
+
+    def __init__(self, path: str, memo_bytes: int = 64 << 20):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has the cores
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_file(path)
+        self.half, self.held, self.young, self.old = memo_bytes // 2, 0, {}, {}
+
+    @cached_property
+    def by_words(self) -> bool:
+        spec = json.loads(self.model.to_str())
+        parts = [(spec["normalizer"] or {}).get("normalizers"), (spec["pre_tokenizer"] or {}).get("pretokenizers"), spec["post_processor"], spec["truncation"], spec["padding"], spec["model"].get("dropout")]
+        added = [t for t in spec["added_tokens"] if t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or self.SEPARATOR not in t["content"] or t["content"].split() != [t["content"]]]
+        return parts == [NORMALIZERS, [SPLIT, BYTES], None, None, None, None] and not added and len(self._ids(self.SEPARATOR)) == 1
+
+    def _ids(self, text: str) -> list[int]:
+        return self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, by a few calls of the library: in one text between
+        separators, or, for words of a to z, which neither normalizer nor pre-tokenizer
+        alters, from its model."""
+        found: list[bytes | None] = [None] * len(words)
+        letters = [k for k, w in enumerate(words) if w.isascii() and w.isalpha() and w.islower()]
+        flat, ends, tokenize = [], [0], self.model.model.tokenize
+        for k in letters:
+            flat += [token.id for token in tokenize(words[k])]
+            ends.append(4 * len(flat))
+        raw = np.array(flat, dtype="<u4").tobytes()
+        for k, start, end in zip(letters, ends, ends[1:], strict=False):
+            found[k] = raw[start:end]
+        others = []
+        for k in range(len(words)):
+            if found[k] is None:
+                if self.SEPARATOR in words[k]:
+                    found[k] = np.array(self._ids(words[k]), dtype="<u4").tobytes()
+                else:
+                    others.append(k)
+        (separator,) = self._ids(self.SEPARATOR)
+        for first in range(0, len(others), 64):
+            part = others[first : first + 64]
+            ids = np.array(self._ids(f" {self.SEPARATOR} ".join([words[k] for k in part])), dtype="<u4")
+            raw, ends, at = ids.tobytes(), [*np.flatnonzero(ids == separator).tolist(), len(ids)], 0
+            for k, end in zip(part, ends, strict=True):
+                found[k] = raw[4 * at : 4 * end]
+                at = end + 1
         return found
 
-    def encode(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        text = text or ""
-        if any(c in text for c in self.UNLIKE):
-            return self._whole(text)
-        if text.isascii() and self.SEPARATOR not in text:
-            text = text.lower()
-        words = text.split()
-        parts = list(map(self.words.young.get, words))
-        missing = [i for i, p in enumerate(parts) if p is None]
-        if missing:
-            found = self._learn({words[i] for i in missing})
-            for i in missing:
-                parts[i] = found[words[i]]
-        return b"".join(parts)
-
-
-@lru_cache(maxsize=2)
-def word_encoder(path: str) -> WordEncoder:
-    """One per Python worker; it is kept from task to task."""
-    return WordEncoder(path)
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each of distinct words."""
+        parts = list(map(self.young.get, words))
+        gaps = [k for k, ids in enumerate(parts) if ids is None]
+        if gaps:
+            lost = [words[k] for k in gaps]
+            found = list(map(self.old.get, lost))
+            new = [j for j, ids in enumerate(found) if ids is None]
+            for j, ids in zip(new, self._learn([lost[j] for j in new]), strict=True):
+                found[j] = ids
+            for k, ids in zip(gaps, found, strict=True):
+                parts[k] = ids
+            self.young.update(zip(lost, found, strict=True))
+            self.held += sum(map(len, lost)) + sum(map(len, found)) + self.ENTRY * len(lost)
+            if self.held > self.half:
+                self.old, self.young, self.held = self.young, {}, 0
+        return parts
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and the number of ids up to the
+        end of each text. A null text has none."""
+        if not self.by_words:
+            found = [np.array(self._ids(t) if t else [], dtype="<u4") for t in texts.to_pylist()]
+            return np.concatenate([np.empty(0, "<u4"), *found]), np.cumsum([len(ids) for ids in found], dtype=np.int64)
+        words = split_words(texts)
+        ids = pa.array(self._of_words(words.distinct.to_pylist()), pa.binary()).take(pa.array(words.which))
+        _, offsets, data = ids.buffers()
+        upto = np.frombuffer(offsets, dtype=np.int32, count=len(ids) + 1)
+        return np.frombuffer(data or b"", dtype="<u4", count=upto[-1] // 4), upto[words.ends].astype(np.int64) // 4
+
+    def encode_documents(self, texts: pa.Array, end_id: int) -> pa.Array:
+        """For each text its ids and ``end_id``, as little-endian unsigned 32-bit
+        integers; a null text has only ``end_id``."""
+        ids, ends = self.encode(texts)
+        whole = np.insert(ids, ends, end_id).astype("<u4", copy=False)
+        offsets = 4 * np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(whole)])
+
+
+def text_encoder(path: str) -> TextEncoder:
+    """The one of this Python worker."""
+    return per_worker(TextEncoder, path)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from millrace.llm.common import word_encoder
+from millrace.llm.common import materialize, slices, text_encoder
 from millrace.sources.scratch import scratch_path
 
 MAGIC = b"MRPLANE1"
@@ -66,22 +66,35 @@ def from_planes(planes: list[bytes], n: int, kind: str) -> np.ndarray:
 
 
 class FileWriter:
-    """The records of one file, in order; ``documents`` is kept until the end."""
+    """The records of one file, in order; the documents' lengths are kept until the end.
 
-    def __init__(self, block_ids: int, kind: str, level: int):
-        self.block_ids, self.kind = block_ids, kind
+    A file with ``file_chunks`` chunks is full, and has ``file_chunks`` + 2 records: its
+    first chunks but one are a record each, and all others together one, so that files
+    end with a document although a document may fill several chunks.
+    """
+
+    def __init__(self, block_ids: int, kind: str, level: int, file_chunks: int):
+        self.block_ids, self.kind, self.file_chunks = block_ids, kind, file_chunks
         self.compress = zstandard.ZstdCompressor(level=level).compress
         self.offset, self.chunks, self.ids, self.lengths = 0, [], [], []
-        self.buffer, self.held = [], 0
+        self.buffer, self.held, self.last = [], 0, []
+
+    @property
+    def full(self) -> bool:
+        return len(self.chunks) >= self.file_chunks
 
     def _record(self, body: bytes) -> bytes:
         self.offset += len(body) + 1
         return body
 
-    def _chunk(self, ids: np.ndarray) -> bytes:
+    def _chunk(self, ids: np.ndarray) -> Iterator[bytes]:
         planes = [self.compress(p) for p in to_planes(ids, self.kind)]
         self.chunks.append([self.offset, len(ids), [len(p) for p in planes]])
-        return self._record(b"".join(planes))
+        if not self.full:
+            yield self._record(b"".join(planes))
+        else:
+            self.last += planes
+            self.offset += sum(map(len, planes))
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> Iterator[bytes]:
         self.ids.append(NULL_ID if doc_id is None else doc_id)
@@ -92,12 +105,15 @@ class FileWriter:
             held = np.concatenate(self.buffer)
             full = len(held) // self.block_ids * self.block_ids
             for start in range(0, full, self.block_ids):
-                yield self._chunk(held[start : start + self.block_ids])
+                yield from self._chunk(held[start : start + self.block_ids])
             self.buffer, self.held = [held[full:]], len(held) - full
 
     def close(self) -> Iterator[bytes]:
         if self.held:
-            yield self._chunk(np.concatenate(self.buffer))
+            yield from self._chunk(np.concatenate(self.buffer))
+        if self.last:
+            self.offset += 1
+            yield b"".join(self.last)
         columns = [self.compress(np.array(c, dtype="<i8").tobytes()) for c in (self.ids, self.lengths)]
         documents = [self.offset, [len(c) for c in columns]]
         yield self._record(b"".join(columns))
@@ -141,30 +157,37 @@ class FileReader:
             held = held[n:]
 
 
-def write_token_planes(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, files: int | None = None, block_ids: int = 65_536, kind: str = "byte", level: int = 3) -> None:
+def write_token_planes(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, files: int | None = None, block_ids: int = 65_536, kind: str = "byte", level: int = 3, file_chunks: int = 256) -> None:
     """Tokenize ``text`` of each row, append ``end_id``, and write the ids in
-    ascending doc_id order: files in the order of their names, documents in order
+    ascending doc_id order: files in the order of their numbers, documents in order
     within a file. Null texts count as empty, null doc_ids come first, rows with
-    the same doc_id are ordered by their text, other columns are left out.
+    the same doc_id are ordered by a hash of their text, other columns are left out.
+
+    A range of doc_ids is cut by rows, also among repeated rows, and its task begins
+    another file after ``file_chunks`` chunks, so neither task nor file grows with the
+    rows of a doc_id.
     """
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, encoder = FileWriter(block_ids, kind, level), word_encoder(tokenizer_path)
+        encoder, writer = text_encoder(tokenizer_path), FileWriter(block_ids, kind, level, file_chunks)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    for record in writer.add(doc_id, np.frombuffer(encoder.encode(text) + end, dtype="<u4")):
+            for part in slices(batch, 1):
+                for doc_id, raw in zip(part.column(0).to_pylist(), encoder.encode_documents(part.column(1), end_id).to_pylist(), strict=True):
+                    records = list(writer.add(doc_id, np.frombuffer(raw, dtype="<u4")))
+                    if writer.full:
+                        records += writer.close()
+                        writer = FileWriter(block_ids, kind, level, file_chunks)
+                    for record in records:
                         yield pa.record_batch([pa.array([record], pa.binary())], ["record"])
         if writer.ids:
             for record in writer.close():
                 yield pa.record_batch([pa.array([record], pa.binary())], ["record"])
 
-    spread = docs.select("doc_id", "text")
-    spread = spread.repartitionByRange(files, "doc_id") if files else spread.repartitionByRange("doc_id")
-    records = spread.sortWithinPartitions("doc_id", "text").mapInArrow(encode, "record binary")
-    records.select(F.col("record").cast("string").alias("value")).write.option("compression", "none").text(path)
+    order = ["doc_id", "text_hash"]
+    spread = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("row"))
+    spread = spread.repartitionByRange(files, *order, "row") if files else spread.repartitionByRange(*order, "row")
+    records = spread.sortWithinPartitions(*order, "text").select("doc_id", "text").mapInArrow(encode, "record binary")
+    records.select(F.col("record").cast("string").alias("value")).write.option("compression", "none").option("maxRecordsPerFile", file_chunks + 2).text(path)
 
 
 DOCUMENTS = T.StructType([T.StructField("file", T.StringType()), T.StructField("doc_id", T.LongType()), T.StructField("local_start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
@@ -202,27 +225,18 @@ def read_token_planes(spark: SparkSession, path: str, digest: bool = False) -> D
     return named.mapInArrow(decode, schema)
 
 
-def with_global_start(documents: DataFrame, footers: DataFrame) -> DataFrame:
+def with_global_start(documents: DataFrame) -> DataFrame:
     """Add ``start``, the ids of all documents in earlier files and before it in its
-    own. ``footers`` has one row per file (file, file_ids), so its running sum and
-    its join are small whatever the number of documents."""
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    bases = footers.select("file", F.coalesce(F.sum("file_ids").over(before), F.lit(0)).alias("base"))
+    own. Files follow each other by task and then by number in the task; their sizes are
+    one row each, so the running sum and the join are small whatever the number of
+    documents."""
+    number = [F.regexp_extract("file", r"^part-(\d+)-.*-c(\d+)", k).cast("long") for k in (1, 2)]
+    before = Window.orderBy(*number).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = documents.groupBy("file").agg(F.max(F.col("local_start") + F.col("n_tokens")).alias("size"))
+    bases = sizes.select("file", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
     return documents.join(bases, "file").withColumn("start", F.col("base") + F.col("local_start")).drop("base")
 
 
-def read_footers(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file with its number of ids, from its chunk index."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            totals = [sum(c[1] for c in FileReader(x.as_buffer()).index["chunks"]) for x in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(totals, pa.int64())], ["file", "file_ids"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").mapInArrow(count, "file string, file_ids long")
-
-
 def token_plane_table(docs: DataFrame, tokenizer_path: str, end_id: int = 2, **layout) -> DataFrame:
     """Write ``docs`` in the format above to the shared scratch folder, read the
     files back, and return doc_id, start, n_tokens and ids_crc32 per document.
@@ -233,5 +247,5 @@ def token_plane_table(docs: DataFrame, tokenizer_path: str, end_id: int = 2, **l
     spark = docs.sparkSession
     path = scratch_path(spark, "token-planes")
     write_token_planes(docs, path, tokenizer_path, end_id, **layout)
-    found = with_global_start(read_token_planes(spark, path, digest=True), read_footers(spark, path))
-    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+    stored = materialize(read_token_planes(spark, path, digest=True), "token-plane-digests")
+    return with_global_start(stored).select("doc_id", "start", "n_tokens", "ids_crc32")
