@@ -10,7 +10,8 @@ documents, and a full window of a shorter tier is a sequence of that power of tw
 Documents meet in blocks by a hash of their doc_id and text, each of about
 ``block_docs`` documents: blocks are independent of each other and of the layout of
 the input, and a block is packed in buffers that hold a bounded number of documents
-and ids, so no task gathers more than a buffer.
+and ids, so no task gathers more than a buffer. Only rows that are repeated more than
+``block_docs`` times, which have no other difference, are dealt to all blocks by number.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import word_encoder
+from millrace.llm.common import slices, text_encoder
 
 TIERS = (256, 512, 1024, 2048)
 
@@ -117,22 +118,19 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit) and text_hash of every document;
-    a null text is empty and has only ``end_id``."""
-    end = np.array([end_id], dtype="<u4").tobytes()
+    """doc_id, own (a hash of doc_id and text) and ids (little-endian unsigned 32-bit) of
+    every document; a null text is empty and has only ``end_id``."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_encoder(tokenizer_path)
+        encoder = text_encoder(tokenizer_path)
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                ids = [encoder.encode(x) + end for x in part.column(1).to_pylist()]
-                yield pa.record_batch([part.column(0), part.column(2), pa.array(ids, pa.binary())], ["doc_id", "text_hash", "ids"])
+            for part in slices(batch, 1):
+                yield pa.record_batch([part.column(0), part.column(2), encoder.encode_documents(part.column(1), end_id)], ["doc_id", "own", "ids"])
 
-    return docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).mapInArrow(encode, "doc_id long, text_hash long, ids binary")
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("own")).mapInArrow(encode, "doc_id long, own long, ids binary")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, tiers: tuple[int, ...] = TIERS, block_docs: int = 4096, buffer_ids: int = 16_000_000, step_windows: int = 64, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, tiers: tuple[int, ...] = TIERS, block_docs: int = 4096, buffer_ids: int = 8_000_000, step_windows: int = 64, with_ids: bool = False) -> DataFrame:
     """Pack every document's ids, ``end_id`` appended, into sequences of at most
     ``tiers[-1]`` ids; see the module's text.
 
@@ -142,7 +140,11 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, tiers:
     ``with_ids`` also the ids. Null texts are empty; a null doc_id stays null; repeated
     rows are packed separately; an empty table gives no rows.
     """
-    blocks = -(-docs.count() // block_docs) or 1
+    own = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    rows = docs.select(own.alias("own")).groupBy("own").count().agg(F.sum("count").alias("all"), F.sort_array(F.collect_list(F.when(F.col("count") > block_docs, F.col("own")))).alias("hot")).first()
+    blocks = -(-(rows["all"] or 0) // block_docs) or 1
+    # At most one in ``block_docs`` rows is the first of such a group.
+    dealt = F.col("own").isin(rows["hot"]) if rows["hot"] else F.lit(False)
     schema = PIECES + (", ids binary" if with_ids else "")
 
     def flush(rows: list, base: int) -> tuple[pa.RecordBatch, int]:
@@ -163,8 +165,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, tiers:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, base, rows, held = None, 0, [], 0
-        for batch in batches:
-            for b, doc_id, ids in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        for part in (part for batch in batches for part in slices(batch, 2)):
+            for b, doc_id, ids in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
                 if rows and (b != block or len(rows) >= 2 * block_docs or held >= buffer_ids):
                     out, base = flush(rows, base)
                     yield out
@@ -177,5 +179,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, tiers:
             yield flush(rows, base)[0]
 
     ids = tokenized(docs, tokenizer_path, end_id)
-    dealt = ids.select(F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(blocks)).alias("block"), "doc_id", "ids", "text_hash")
-    return dealt.repartition("block").sortWithinPartitions("block", "doc_id", "text_hash").drop("text_hash").mapInArrow(pack, schema)
+    block = F.pmod(F.when(dealt, F.xxhash64(F.monotonically_increasing_id())).otherwise(F.col("own")), F.lit(blocks))
+    placed = ids.select(block.alias("block"), "doc_id", "ids", "own")
+    return placed.repartition("block").sortWithinPartitions("block", "doc_id", "own").drop("own").mapInArrow(pack, schema)
