@@ -31,11 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import discard, materialize
+from millrace.llm.common import Workspace, discard, materialize, slices, split_words
 
 PIVOT_SETS = 128
 #: Odd 64-bit factors of the words of a shingle, and of the final mixing.
@@ -43,34 +44,27 @@ FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
-class Shingler:
-    """Sorted distinct 64-bit hashes of a text's shingles of five words."""
-
-    def __init__(self, capacity: int = 500_000):
-        self.capacity, self.hashes = capacity, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().lower().split()  # both ASCII only, as the word rule has it
-        known = self.hashes
-        found = list(map(known.get, words))
-        if None in found:
-            if len(known) > self.capacity:
-                known.clear()
-            for k, h in enumerate(found):
-                if h is None:
-                    found[k] = known[words[k]] = xxhash.xxh64_intdigest(words[k])
-        h = np.array(found, dtype=np.uint64)
-        n, size = len(h), len(FACTORS)
-        if n < size:
-            return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=1)], dtype=np.uint64) if n else h
-        mixed = sum((h[k : n - size + 1 + k] * FACTORS[k] for k in range(1, size)), h[: n - size + 1] * FACTORS[0])
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= MIX
-        mixed ^= mixed >> np.uint64(32)
-        return np.unique(mixed)
-
-
-_shingler = Shingler()
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """For each text its sorted distinct 64-bit hashes of shingles of five words, or of
+    all its words if they are fewer."""
+    words = split_words(pc.ascii_lower(texts))
+    distinct = words.distinct.cast(pa.binary()).to_pylist()
+    h = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))[words.which]
+    size = len(FACTORS)
+    m = max(0, len(h) - size + 1)
+    mixed = h[:m] * FACTORS[0]
+    for k in range(1, size):
+        mixed += h[k : m + k] * FACTORS[k]
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= MIX
+    mixed ^= mixed >> np.uint64(32)
+    for start, end in words.spans():
+        if end - start >= size:
+            yield np.unique(mixed[start : end - size + 1])
+        elif end > start:
+            yield np.array([xxhash.xxh64_intdigest(b" ".join([distinct[k] for k in words.which[start:end]]), seed=1)], dtype=np.uint64)
+        else:
+            yield np.empty(0, np.uint64)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -95,11 +89,9 @@ def _sets(docs: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
+            for part in slices(batch, 1):
                 sizes, keys, heads, coords = [], [], [], []
-                for text in part.column(1).to_pylist():
-                    found = _shingler(text)
+                for found in shingle_sets(part.column(1)):
                     n = len(found)
                     m = prefix_length(n, percent)
                     sizes.append(n)
@@ -111,16 +103,16 @@ def _sets(docs: DataFrame, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, set_key binary, head array<long>, coords binary")
 
 
-def _members(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _members(docs: DataFrame, percent: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, rep) of every row, and the classes: rep, n, head, coords."""
-    sets = materialize(_sets(docs, percent), "jaccard-sets")
+    sets = work.materialize(_sets(docs, percent), "jaccard-sets")
     reps = sets.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    # Sets that occur once name themselves; only the keys of the others are joined.
-    several = reps.where("copies > 1").drop("copies")
+    # Sets that occur once name themselves; only the keys of the others are joined. They
+    # are stored, so that the join can split the rows of a set that very many texts have.
+    several = work.materialize(reps.where("copies > 1").drop("copies"), "jaccard-copies")
     joined = sets.join(several, "set_key", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     own = F.col("n").isNotNull() & F.col("doc_id").isNotNull() & (F.col("rep") == F.col("doc_id")) & (F.col("n") > 0)
     both = materialize(joined.select("doc_id", "n", "rep", F.when(own, F.col("head")).alias("head"), F.when(own, F.col("coords")).alias("coords")), "jaccard-members")
-    discard(sets)
     return both.select("doc_id", "n", "rep"), both.where(F.col("coords").isNotNull()).select("rep", "n", "head", "coords")
 
 
@@ -156,7 +148,7 @@ def _postings(found: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
     return pa.record_batch(columns, ["s", "rep", "n"])
 
 
-def _prefixes(classes: DataFrame, docs: DataFrame, order: _Order) -> tuple[DataFrame, DataFrame]:
+def _prefixes(classes: DataFrame, docs: DataFrame, order: _Order, work: Workspace) -> tuple[DataFrame, DataFrame]:
     """(s, rep, n) for the prefix of each class, and the distinct s that are not among
     the class's lowest hashes, where prefixes by hash alone lie.
 
@@ -175,8 +167,9 @@ def _prefixes(classes: DataFrame, docs: DataFrame, order: _Order) -> tuple[DataF
 
     def from_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [(rep, _shingler(text).view(np.int64)) for rep, text in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            yield _postings([(rep, len(own), order.prefix(len(own), own)) for rep, own in sets])
+            for part in slices(batch, 1):
+                sets = zip(part.column(0).to_pylist(), shingle_sets(part.column(1)), strict=True)
+                yield _postings([(rep, len(own), order.prefix(len(own), own.view(np.int64))) for rep, own in sets])
 
     def late(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,14 +178,14 @@ def _prefixes(classes: DataFrame, docs: DataFrame, order: _Order) -> tuple[DataF
 
     slim = classes.select("rep", "n", "head")
     reached = slim.mapInArrow(from_heads, "s long, rep long, n long")
-    texts = _texts_of(docs, materialize(slim.mapInArrow(unreached, "rep long"), "jaccard-unreached"))
-    again = materialize(texts.mapInArrow(from_texts, "s long, rep long, n long"), "jaccard-again")
+    texts = _texts_of(docs, work.materialize(slim.mapInArrow(unreached, "rep long"), "jaccard-unreached"))
+    again = work.materialize(texts.mapInArrow(from_texts, "s long, rep long, n long"), "jaccard-again")
     lengthened = slim.mapInArrow(late, "s long").unionByName(again.select("s")).distinct()
     return reached.unionByName(again), lengthened
 
 
 #: Ids up to this many (8 bytes each) are sent to all tasks; more are joined by shuffle.
-MOST_SENT = 3_000_000
+MOST_SENT = 1_000_000
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -202,7 +195,7 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
 
 
-def _regions(classes: DataFrame, docs: DataFrame, percent: int, hot_from: int, most_hot: int) -> DataFrame:
+def _regions(classes: DataFrame, docs: DataFrame, percent: int, hot_from: int, most_hot: int, work: Workspace) -> DataFrame:
     """(s, rep, n) of all regions of two classes or more."""
 
     def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,19 +203,20 @@ def _regions(classes: DataFrame, docs: DataFrame, percent: int, hot_from: int, m
             yield pa.record_batch([_postings([(rep, n, head[: prefix_length(n, percent)]) for rep, n, head in _heads(batch)]).column(0)], ["s"])
 
     counted = classes.select("rep", "n", "head").mapInArrow(lowest, "s long").groupBy("s").count().where("count > 1")
-    counted = materialize(counted, "jaccard-counts")
+    counted = work.materialize(counted, "jaccard-counts")
     common = counted.where(F.col("count") >= hot_from).orderBy(F.desc("count"), "s").limit(most_hot)
     hot = np.sort(np.array([r["s"] for r in common.select("s").toLocalIterator()], dtype=np.int64))
     wanted = counted.select("s")
     prefixes = classes.select("rep", "n", "head").mapInArrow(lambda batches: (_postings([(rep, n, head[: prefix_length(n, percent)]) for rep, n, head in _heads(b)]) for b in batches), "s long, rep long, n long")
     if len(hot):
-        prefixes, lengthened = _prefixes(classes, docs, _Order(hot, percent))
-        wanted = materialize(wanted.unionByName(lengthened).distinct(), "jaccard-wanted")
+        prefixes, lengthened = _prefixes(classes, docs, _Order(hot, percent), work)
+        wanted = work.materialize(wanted.unionByName(lengthened).distinct(), "jaccard-wanted")
     met = prefixes.join(F.broadcast(wanted) if wanted.count() <= MOST_SENT else wanted, "s", "left_semi")
     if not len(hot):
-        return materialize(met, "jaccard-regions")
-    met = materialize(met.dropDuplicates(["s", "rep"]), "jaccard-met")
-    return materialize(met.join(met.groupBy("s").count().where("count > 1").select("s"), "s"), "jaccard-regions")
+        return work.materialize(met, "jaccard-regions")
+    met = work.materialize(met.dropDuplicates(["s", "rep"]), "jaccard-met")
+    shared = work.materialize(met.groupBy("s").count().where("count > 1").select("s"), "jaccard-shared")
+    return work.materialize(met.join(shared, "s"), "jaccard-regions")
 
 
 def _coarse(at: bytes, sets: int) -> np.ndarray:
@@ -252,35 +246,27 @@ def _near(at: list[bytes], n: np.ndarray, left: np.ndarray, right: np.ndarray, p
     return fits
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, percent: int, name: str) -> DataFrame:
+def _linked(pairs: DataFrame, docs: DataFrame, percent: int, name: str, work: Workspace) -> DataFrame:
     """Those of the distinct (a, b) whose sets are similar enough, by their whole sets."""
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                found = [_shingler(t).tobytes() for t in part.column(1).to_pylist()]
-                yield pa.record_batch([part.column(0), pa.array(found, pa.binary())], ["rep", "shingles"])
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                both = np.concatenate([a, b])
-                both.sort()
-                shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * shared >= percent * (len(a) + len(b) - shared))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+            for part in slices(batch, 1):
+                found = [own.view(np.int64) for own in shingle_sets(part.column(1))]
+                keys = [xxhash.xxh3_64_intdigest(own.tobytes()) >> 1 for own in found]
+                yield pa.record_batch([part.column(0), pa.array(keys, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["rep", "k", "shingles"])
 
-    pairs = materialize(pairs, f"{name}-pairs")
+    pairs = work.materialize(pairs, f"{name}-pairs")
     ids = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-    # One exchange of the sets by their class, which drops repeated rows and serves both sides.
-    sets = _texts_of(docs, ids).mapInArrow(shingled, "rep long, shingles binary").groupBy("rep").agg(F.first("shingles").alias("shingles"))
+    # Repeated rows are dropped; a doc_id with several texts stays as several sets, each
+    # compared. Stored, so that the join can split the pairs of a class that has very many.
+    sets = _texts_of(docs, ids).mapInArrow(shingled, "rep long, k long, shingles array<long>").dropDuplicates(["rep", "k"])
+    sets = work.materialize(sets, f"{name}-sets")
     left, right = (sets.select(F.col("rep").alias(k), F.col("shingles").alias(f"shingles_{k}")) for k in ("a", "b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "shingles_a", "shingles_b")
-    return materialize(both.mapInArrow(compared, "a long, b long"), f"{name}-links")
+    both = pairs.join(left, "a").join(right, "b")
+    shared = F.size(F.array_intersect("shingles_a", "shingles_b"))  # 100 shared >= percent * (sizes - shared)
+    alike = both.where(F.lit(100 + percent) * shared >= F.lit(percent) * (F.size("shingles_a") + F.size("shingles_b")))
+    return work.materialize(alike.select("a", "b").distinct(), f"{name}-links")
 
 
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
@@ -288,19 +274,25 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
 
     Each round turns every node's larger neighbours to its smallest, and then its
     smaller ones, until nothing changes; both are joins on nodes and minima that
-    combine before the shuffle, so no neighbourhood is gathered. Rounds grow with the
-    logarithm of a component's size; an error is raised if ``rounds`` don't suffice.
+    combine before the shuffle, so no neighbourhood is gathered, and the minima are
+    stored, so that a join can split the neighbours of a node that has very many. Rounds
+    grow with the logarithm of a component's size; an error is raised if ``rounds``
+    don't suffice.
     """
+    work = Workspace()
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "components")
     before = None
     for _ in range(rounds):
         ways = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = ways.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = work.materialize(ways.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "components-least")
         large = ways.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = work.materialize(large, "components-large")
+        lowest = work.materialize(large.groupBy("u").agg(F.min("v").alias("m")), "components-lowest")
         met = large.join(lowest, "u")
         small = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        work.tables.append(edges)
         edges = materialize(small, "components")
+        work.clear()
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             break
@@ -308,7 +300,9 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     else:
         raise RuntimeError(f"components have not settled after {rounds} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
+    labels = materialize(edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots), "components-labels")
+    discard(edges)
+    return labels
 
 
 def jaccard_components(docs: DataFrame, percent: int = 80, hot_from: int = 64, most_hot: int = 1_000_000, block: int = 256) -> DataFrame:
@@ -324,8 +318,9 @@ def jaccard_components(docs: DataFrame, percent: int = 80, hot_from: int = 64, m
 
     ``hot_from``, ``most_hot`` and ``block`` change the cost only, never the result.
     """
-    members, classes = _members(docs, percent)
-    regions = _regions(classes, docs, percent, hot_from, most_hot)
+    work = Workspace()
+    members, classes = _members(docs, percent, work)
+    regions = _regions(classes, docs, percent, hot_from, most_hot, work)
     coords = classes.select("rep", "n", "coords")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,19 +332,22 @@ def jaccard_components(docs: DataFrame, percent: int = 80, hot_from: int = 64, m
             yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     # The pivot is the most central class: the one whose regions hold most classes in all.
-    sizes = regions.groupBy("s").agg(F.count("*").alias("size"))
-    central = materialize(regions.join(sizes, "s").groupBy("rep").agg(F.sum("size").alias("company")), "jaccard-central")
+    sizes = work.materialize(regions.groupBy("s").agg(F.count("*").alias("size")), "jaccard-sizes")
+    central = work.materialize(regions.join(sizes, "s").groupBy("rep").agg(F.sum("size").alias("company")), "jaccard-central")
     pivots = regions.join(central, "rep").groupBy("s").agg(F.max(F.struct("company", F.xxhash64("rep").alias("h"), "rep")).alias("p")).select("s", F.col("p.rep").alias("pivot"))
+    pivots = work.materialize(pivots, "jaccard-pivots")
     to_pivots = regions.join(pivots, "s").where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
     sides = [coords.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("coords").alias(f"coords_{k}")) for k in ("a", "b")]
     placed = to_pivots.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "n_b", "coords_a", "coords_b")
-    cores = _linked(placed.mapInArrow(near, "a long, b long"), docs, percent, "jaccard-cores")
+    cores = _linked(placed.mapInArrow(near, "a long, b long"), docs, percent, "jaccard-cores", work)
 
-    labels = materialize(components(cores), "jaccard-labels")
+    labels = components(cores)
+    work.tables.append(labels)
     labelled = regions.join(labels, regions.rep == labels.node, "left").select("s", "rep", "n", F.coalesce("label", "rep").alias("label"))
-    labelled = materialize(labelled, "jaccard-labelled")
+    labelled = work.materialize(labelled, "jaccard-labelled")
     mixed = labelled.groupBy("s").agg(F.count("*").alias("size"), (F.min("label") != F.max("label")).alias("mixed")).where("mixed AND size > 2").drop("mixed")
-    rest = materialize(labelled.join(mixed, "s"), "jaccard-mixed")
+    mixed = work.materialize(mixed, "jaccard-mixed-regions")
+    rest = work.materialize(labelled.join(mixed, "s"), "jaccard-mixed")
     # Of each class the first few of its regions (of a prefix at most): a pair that has
     # one of them in common before the region at hand is left to that one.
     lowest = rest.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list("s")), 1, 8).alias("lowest"))
@@ -382,7 +380,8 @@ def jaccard_components(docs: DataFrame, percent: int = 80, hot_from: int = 64, m
             yield pairs()
 
     crossing = rest.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j").mapInArrow(joined, "a long, b long").where("a <> b").distinct()
-    late = _linked(crossing.join(cores, ["a", "b"], "left_anti"), docs, percent, "jaccard-late")
-    final = materialize(components(cores.unionByName(late)), "jaccard-components")
+    late = _linked(crossing.join(cores, ["a", "b"], "left_anti"), docs, percent, "jaccard-late", work)
+    final = components(cores.unionByName(late))
+    work.clear()
     found = members.join(final, members.rep == final.node, "left")
     return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
