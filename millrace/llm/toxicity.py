@@ -14,29 +14,50 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize
+from millrace.llm.common import discard, materialize, slices, split_words
 
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6)
 ENDS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "…“”«»¿¡"
 
 
-def word_buckets(word: str) -> list[int]:
-    bare = word.strip(ENDS)
-    if not bare:
-        return []
-    terms = [bare, *(f"{bare[:n]}\x00" for n in PREFIXES if len(bare) >= n)]
-    return [zlib.crc32(t.encode()) % BUCKETS for t in terms]
-
-
-def text_buckets(text: str | None) -> list[int]:
-    """The distinct hashed terms of a text, in order."""
-    return sorted({b for w in set((text or "").lower().split()) for b in word_buckets(w)})
+def word_buckets(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bucket) for every hashed term of each word, in order of words."""
+    bare = pc.utf8_trim(words, characters=ENDS)
+    length = pc.utf8_length(bare).to_numpy()
+    owner, buckets = [], []
+    for n in (0, *PREFIXES):
+        terms = (pc.utf8_slice_codeunits(bare, 0, n) if n else bare).dictionary_encode()
+        hashed = [zlib.crc32(t + b"\x00" * (n > 0)) for t in terms.dictionary.cast(pa.binary()).to_pylist()]
+        stays = np.flatnonzero(length >= max(1, n))
+        owner.append(stays)
+        buckets.append((np.array(hashed, dtype=np.int64) % BUCKETS)[terms.indices.to_numpy()[stays]])
+    owner, buckets = np.concatenate(owner), np.concatenate(buckets)
+    order = np.argsort(owner, kind="stable")
+    return owner[order], buckets[order]
+
+
+def text_buckets(texts: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, bucket) for every distinct hashed term of each text, in order; only of
+    those in ``known`` (sorted), then given by their places in it."""
+    words = split_words(pc.utf8_lower(texts))
+    owner, terms = word_buckets(words.distinct)
+    if known is not None:
+        at = np.searchsorted(known, terms)
+        stays = at < len(known)
+        stays[stays] = known[at[stays]] == terms[stays]
+        owner, terms = owner[stays], at[stays]
+    sizes = np.bincount(owner, minlength=len(words.distinct))
+    # Each word of a text, and then each of the word's terms.
+    text = np.repeat(np.arange(len(texts)), np.diff(words.ends, prepend=0))
+    n = sizes[words.which]
+    place = np.repeat((np.cumsum(sizes) - sizes)[words.which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    return tuple(np.divmod(np.unique(np.repeat(text, n) * BUCKETS + terms[place]), BUCKETS))
 
 
 @dataclass(frozen=True)
@@ -95,7 +116,8 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features: int = 512, least_z: float = 4.0, seed: int = 5) -> Model:
     """Fit on at most ``max_rows`` labelled documents, those with the lowest hashes of
-    their doc_ids among the rows not held out.
+    their doc_ids among the rows not held out. Of rows with one doc_id, that counts
+    whose terms come first; so the bound is one of rows.
 
     Terms are counted over that sample by Spark; the ``max_features`` whose shares in
     the two classes differ most, by ``least_z`` standard errors or more, are kept. To
@@ -108,11 +130,15 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_featur
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [text_buckets(t) for t in batch.column(2).to_pylist()]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "toxic", "buckets"])
+            for part in slices(batch, 2):
+                text, buckets = text_buckets(part.column(2))
+                ends = np.cumsum(np.bincount(text, minlength=part.num_rows))
+                found = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(buckets, pa.int32()))
+                yield pa.record_batch([part.column(0), part.column(1), found], ["doc_id", "toxic", "buckets"])
 
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_rows small rows
-    sample = materialize(sample.select("doc_id", F.col("toxic").cast("int"), "text").mapInArrow(hashed, "doc_id long, toxic int, buckets array<int>"), "toxicity-sample")
+    sample = sample.select("doc_id", F.col("toxic").cast("int"), "text").mapInArrow(hashed, "doc_id long, toxic int, buckets array<int>")
+    sample = materialize(sample.groupBy("doc_id", "toxic").agg(F.min("buckets").alias("buckets")), "toxicity-sample")
     sizes = {int(r["toxic"]): r["count"] for r in sample.groupBy("toxic").count().collect()}
     none, some = sizes.get(0, 0), sizes.get(1, 0)
     if not none or not some:
@@ -132,36 +158,19 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_featur
     return fit(x, rows["toxic"].to_numpy(dtype=np.float64), buckets, seed=seed)
 
 
-def with_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with the model's score of every row's text (a column named score is
-    replaced)."""
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        place = {int(b): k for k, b in enumerate(model.buckets)}
-        cache: dict[str, tuple[int, ...]] = {}
-
-        def features(word: str) -> tuple[int, ...]:
-            if len(cache) > 500_000:
-                cache.clear()
-            found = cache[word] = tuple(place[b] for b in word_buckets(word) if b in place)
-            return found
+def with_scores(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``docs`` with the model's score of every row's text as column ``name``."""
 
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            rows, known = [], []
-            for k, text in enumerate(texts):
-                found: set[int] = set()
-                for word in set((text or "").lower().split()):
-                    own = cache.get(word)
-                    if own is None:
-                        own = features(word)
-                    if own:
-                        found.update(own)
-                known += sorted(found)
-                rows += [k] * len(found)
-            yield pd.Series(_sigmoid(model.logits(np.array(rows, np.int64), np.array(known, np.int64), len(texts))))
-
-    scored = F.pandas_udf(run, "double")
-    return docs.withColumn("score", scored("text"))
+            found = [np.empty(0)]
+            for part in slices(pa.record_batch([texts], ["text"]), 0):
+                rows, features = text_buckets(part.column(0), model.buckets)
+                found.append(_sigmoid(model.logits(rows, features, part.num_rows)))
+            yield pa.array(np.concatenate(found), pa.float64())
+
+    return docs.select("*", scored("text").alias(name))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **training) -> DataFrame:
