@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize
+from millrace.llm.common import materialize, slices
 from millrace.sources.scratch import scratch_path
 
 SALTS = 16
@@ -53,8 +53,13 @@ def with_record_types(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     return met.withColumn("record_type", F.when(revisits, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisits, F.col("target"))).drop("target")
 
 
-def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 6000) -> None:
-    """Write three records per row of ``pages`` (page_id, url, html)."""
+def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", bundle_bytes: int = 1 << 20, bundles_per_file: int = 64) -> None:
+    """Write three records per row of ``pages`` (page_id, url, html).
+
+    Records go to the text writer in bundles of at most ``bundle_bytes``, or of one
+    longer record; a file has at most ``bundles_per_file``, so its size is bounded by
+    bytes and not by records. Each file is one gzip member.
+    """
     typed = with_record_types(pages.select("page_id", "url", "html"))
     uri = F.coalesce(F.regexp_replace("url", r"[\r\n]", ""), F.lit(""))
     own = _record_id("capture", F.col("page_id"), F.col("payload_digest"))
@@ -67,35 +72,91 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     request = _record([("WARC-Type", "request"), ("WARC-Record-ID", _record_id("request", F.col("page_id"), F.col("payload_digest"))), *common, ("WARC-Concurrent-To", own), ("Content-Type", "application/http;msgtype=request")], F.concat(F.lit("GET "), uri, F.lit(" HTTP/1.1\r\n\r\n")))
     metadata = _record([("WARC-Type", "metadata"), ("WARC-Record-ID", _record_id("metadata", F.col("page_id"), F.col("payload_digest"))), *common, ("WARC-Concurrent-To", own), ("Content-Type", "application/warc-fields")], F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\r\n")))
     records = typed.select(F.explode(F.array(request, F.when(F.col("record_type") == "revisit", revisit).otherwise(response), metadata)).alias("value"))
-    records.write.option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+
+    def bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for part in slices(batch, 0, bundle_bytes):
+                for record in part.column(0).to_pylist():
+                    if held and size + len(record) >= bundle_bytes:
+                        yield pa.record_batch([pa.array(["\n".join(held)])], ["value"])
+                        held, size = [], 0
+                    held.append(record)
+                    size += len(record) + 1
+        if held:
+            yield pa.record_batch([pa.array(["\n".join(held)])], ["value"])
+
+    records.mapInArrow(bundled, "value string").write.option("compression", "gzip").option("maxRecordsPerFile", bundles_per_file).text(path)
+
+
+def inflated(content: bytes, piece: int = 1 << 16) -> Iterator[bytes]:
+    """An archive's bytes in pieces, plain or gzipped in one or many members."""
+    view, at = memoryview(content), 0
+    if content[:2] != b"\x1f\x8b":
+        yield from (bytes(view[k : k + piece]) for k in range(0, len(view), piece))
+        return
+    while at < len(view):
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            if at >= len(view):
+                raise ValueError("a gzip member breaks off")
+            part = view[at : at + piece]
+            yield member.decompress(part)
+            at += len(part) - len(member.unused_data)
+
+
+class _Source:
+    """Bytes that come in pieces, taken from the front."""
+
+    def __init__(self, parts: Iterator[bytes]):
+        self.parts, self.held, self.place, self.taken = parts, b"", 0, 0
+
+    def more(self, n: int = 1) -> bool:
+        """Hold n bytes more than now, or all that are left; whether there were any."""
+        parts, have = [], 0
+        while have < n and (part := next(self.parts, None)) is not None:
+            parts.append(part)
+            have += len(part)
+        self.held, self.place = b"".join([self.held[self.place :], *parts]), 0
+        return have > 0
+
+    @property
+    def left(self) -> int:
+        return len(self.held) - self.place
+
+    def find(self, mark: bytes) -> int:
+        """The bytes before the mark, or -1."""
+        while (found := self.held.find(mark, self.place)) < 0:
+            if not self.more(max(1, self.left)):
+                return -1
+        return found - self.place
+
+    def take(self, n: int) -> bytes:
+        if n > self.left:
+            self.more(n - self.left)
+        out = self.held[self.place : self.place + n]
+        self.place += len(out)
+        self.taken += len(out)
+        return out
 
 
 def parse_records(content: bytes) -> Iterator[tuple[dict[str, list[str]], bytes]]:
     """Headers (lower-case names, values in order) and block of each record of an
-    archive, plain or gzipped in one or many members."""
-    if content[:2] == b"\x1f\x8b":
-        parts, rest = [], content
-        while rest:
-            member = zlib.decompressobj(31)
-            parts.append(member.decompress(rest))
-            if not member.eof:
-                raise ValueError("a gzip member breaks off")
-            rest = member.unused_data
-        content = b"".join(parts)
-    at = 0
-    while at < len(content):
-        end = content.find(b"\r\n\r\n", at)
-        if not content.startswith(b"WARC/", at) or end < 0:
-            raise ValueError(f"no record at byte {at}")
+    archive, plain or gzipped; what is inflated ahead is about one record."""
+    source = _Source(inflated(content))
+    while source.left or source.more():
+        end = source.find(b"\r\n\r\n")
+        head = source.take(end + 4)
+        if end < 0 or not head.startswith(b"WARC/"):
+            raise ValueError(f"no record at byte {source.taken - len(head)}")
         headers: dict[str, list[str]] = {}
-        for line in content[at:end].split(b"\r\n")[1:]:
+        for line in head[:-4].split(b"\r\n")[1:]:
             name, _, value = line.decode().partition(":")
             headers.setdefault(name.strip().lower(), []).append(value.strip())
-        start, length = end + 4, int(headers["content-length"][0])
-        at = start + length + 4
-        if content[at - 4 : at] != b"\r\n\r\n":
-            raise ValueError(f"a record breaks off at byte {start + length}")
-        yield headers, content[start : start + length]
+        block = source.take(int(headers["content-length"][0]))
+        if source.take(4) != b"\r\n\r\n":
+            raise ValueError(f"a record breaks off before byte {source.taken}")
+        yield headers, block
 
 
 RECORDS = "record_id string, warc_type string, target_uri string, warc_date string, concurrent_to array<string>, refers_to string, payload_bytes long, payload_digest string, fields string"
