@@ -3,21 +3,22 @@
 A notice with at most k errors, cut into k + 1 pieces, holds at least one piece
 unchanged (the pigeonhole principle). An Aho-Corasick automaton finds all pieces of all
 notices in one pass over a text; around each hit the regex library's bounded-error
-matching decides, and gives the span and the number of errors. Where one word tells a
-notice from others, the errors are for the words before it, and it stands exactly.
+matching decides, and gives the span and the number of errors. Where a word tells a
+notice from others, it stands exactly, and the errors are for the words beside it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from millrace.llm.common import per_worker, slices
+
 #: Lower-cases A-Z; all other ASCII but digits and lower-case letters ends a word.
 _FOLD = bytes(k + 32 if 65 <= k <= 90 else k if 48 <= k <= 57 or 97 <= k <= 122 or k > 127 else 32 for k in range(256))
 
@@ -32,6 +33,8 @@ class Notice:
     errors: int
     #: The last word of the phrase, if other notices differ in nothing else.
     telling: str = ""
+    #: Words of the phrase that a match must have as they are.
+    exact: tuple[str, ...] = ()
 
     @property
     def stem(self) -> str:
@@ -43,16 +46,16 @@ TELLING = ("nc", "nd", "sa")
 
 #: Words of well-known notices as they stand after folding, and the errors allowed.
 NOTICES = (
-    Notice("apache-2.0", "licensed under the apache license version 2 0", 4),
+    Notice("apache-2.0", "licensed under the apache license version 2 0", 4, exact=("apache", "2", "0")),
     Notice("bsd", "redistribution and use in source and binary forms", 4),
     Notice("cc-by-nc", "licensed under cc by nc", 2, "nc"),
     Notice("cc-by-sa", "licensed under cc by sa", 2, "sa"),
     Notice("cc0", "dedicated to the public domain", 3),
-    Notice("gnu-gpl", "gnu general public license", 2),
+    Notice("gnu-gpl", "gnu general public license", 2, exact=("gnu",)),
     Notice("isc", "permission to use copy modify and or distribute this software", 5),
-    Notice("mit", "released under the mit license", 3),
+    Notice("mit", "released under the mit license", 3, exact=("mit",)),
     Notice("mit", "permission is hereby granted free of charge to any person obtaining a copy", 6),
-    Notice("mpl-2.0", "subject to the terms of the mozilla public license", 4),
+    Notice("mpl-2.0", "subject to the terms of the mozilla public license", 4, exact=("mozilla",)),
     Notice("rights-notice", "all rights reserved", 1),
     Notice("unlicense", "free and unencumbered software released into the public domain", 5),
 )
@@ -82,12 +85,36 @@ def pieces(phrase: str, errors: int) -> list[tuple[int, str]]:
     return [(a, phrase[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def distance(a: str, b: str) -> int:
+    """The fewest insertions, deletions and substitutions that turn a into b."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        left, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+    return row[-1]
+
+
+def confusable(a: Notice, b: Notice) -> bool:
+    """Whether one text could be within the errors of both notices, although their
+    labels differ and no exact word tells them apart."""
+    own, other = {a.telling, *a.exact} - {""}, {b.telling, *b.exact} - {""}
+    told = own - set(b.phrase.split()) or other - set(a.phrase.split())
+    return a.label != b.label and not told and distance(a.phrase, b.phrase) <= a.errors + b.errors
+
+
 class Searcher:
-    """All notices within their errors; with ``telling``, errors are for the stem, and
-    the telling word stands exactly, after at most two others of ``TELLING``."""
+    """All notices within their errors; with ``telling``, errors are for the stem, the
+    telling word stands exactly, after at most two others of ``TELLING``, and so do the
+    exact words. Notices that one text could be within the errors of raise ValueError."""
 
     def __init__(self, notices: tuple[Notice, ...] = NOTICES, telling: bool = False):
         self.notices = notices
+        self.exact = [frozenset(n.exact) if telling else frozenset() for n in notices]
+        for k, notice in enumerate(notices if telling else ()):
+            for other in notices[:k]:
+                if confusable(notice, other):
+                    raise ValueError(f"{notice.label} and {other.label} are too alike for their errors")
         self.fuzzy = [n.stem if telling else n.phrase for n in notices]
         others = f"(?: (?:{'|'.join(TELLING)})){{0,{len(TELLING) - 1}}}?"
         exact = [f"{others} {n.telling}(?= )" if telling and n.telling else "" for n in notices]
@@ -131,8 +158,12 @@ class Searcher:
         for k, parts in self.windows(folded).items():
             notice = self.notices[k]
             for a, b in parts:
-                for match in self.patterns[k].finditer(folded, a, b):
+                while (match := self.patterns[k].search(folded, a, b)) is not None:
                     text = match.group()
+                    if not self.exact[k].issubset(folded[max(0, match.start() - 1) : match.end() + 1].split()):
+                        a = match.start() + 1  # a true match may begin inside this one
+                        continue
+                    a = max(match.end(), match.start() + 1)
                     errors = sum(match.fuzzy_counts)
                     first = match.start() + len(text) - len(text.lstrip())
                     words = len(text.split())
@@ -140,18 +171,18 @@ class Searcher:
         return sorted(found, key=lambda s: (s[1], s[0]))
 
 
-@lru_cache(maxsize=1)
-def searcher() -> Searcher:
-    return Searcher(telling=True)
+def searcher(notices: tuple[Notice, ...] = NOTICES) -> Searcher:
+    """The one of this Python worker."""
+    return per_worker(Searcher, notices, True)
 
 
 SCANNED = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 SPANS = "array<struct<label:string,first_word:long,words:int,errors:int,likeness:double>>"
 
 
-def scan(text: str | None) -> tuple:
+def scan(text: str | None, found: Searcher) -> tuple:
     folded = fold(text)
-    base, spans = base_places(folded), searcher().spans(folded)
+    base, spans = base_places(folded), found.spans(folded)
     starts = [word for word, _ in base]
     base_labels = {label for _, label in base}
     labels = base_labels | {s[0] for s in spans}
@@ -159,9 +190,9 @@ def scan(text: str | None) -> tuple:
     return max(0, folded.count(" ") - 1), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), score, spans
 
 
-def scan_licenses(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: the columns of ``SCANNED`` and ``spans``, the
-    notices found with the word at which each begins, its words, errors and likeness.
+def scan_licenses(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES) -> DataFrame:
+    """One row per row of ``docs``: the columns of ``SCANNED`` and ``spans``, those of
+    ``notices`` found with the word at which each begins, its words, errors and likeness.
 
     score is 1 where a base phrase stands, else the best likeness of a notice, else 0.
     Null and empty texts have no words, no places and empty labels; repeated rows stay;
@@ -172,9 +203,10 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     span = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("words", pa.int32()), ("errors", pa.int32()), ("likeness", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [scan(text) for text in batch.column(1).to_pylist()]
-            columns = [batch.column(0)] + [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds[1:])]
+        search = searcher(notices)
+        for part in (part for batch in batches for part in slices(batch, 1)):
+            rows = [scan(text, search) for text in part.column(1).to_pylist()]
+            columns = [part.column(0)] + [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds[1:])]
             fields = ("label", "first_word", "words", "errors", "likeness")
             spans = pa.array([[dict(zip(fields, s, strict=True)) for s in r[7]] for r in rows], span)
             yield pa.record_batch([*columns, spans], [*names, "spans"])
