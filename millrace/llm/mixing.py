@@ -5,21 +5,19 @@ often as its target needs. The stream is cut into blocks of equal numbers of wor
 binary tree over the output shards splits the vector of block quotas: at each node the
 left half draws its share from the multivariate hypergeometric distribution, so that
 every quota is met exactly and no shard depends on another. Each source's blocks, in
-a pseudo-random order, are then dealt to the shards by those quotas, and each shard is
-shuffled by itself.
+the order of a seeded permutation, are then dealt to the shards by those quotas, and each
+shard is shuffled by itself.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from millrace.llm.common import materialize
+from millrace.llm.common import fresh_name, materialize
 from millrace.llm.quality import words_of
 
 MOST_REPEATS = 3
@@ -71,12 +69,25 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def _stride(n: int) -> int:
-    """A step that visits all of n places, about the golden section of n apart."""
-    step = max(1, int(n * 0.6180339887498949))
-    while math.gcd(step, n) != 1:
-        step += 1
-    return step
+def permuted(places: np.ndarray, n: np.ndarray, seed: int) -> np.ndarray:
+    """Each of 0 to n - 1 at its place in a permutation of them that the seed and n
+    decide: a Feistel network over the next power of four, walked until it ends below n.
+    Nothing of the size of n is held."""
+    out, todo = places.astype(np.uint64), np.arange(len(places))
+    half = np.array([max(1, (int(x - 1).bit_length() + 1) // 2) for x in n.tolist()], dtype=np.uint64)
+    keys = np.random.default_rng(seed).integers(1, 1 << 62, 4).astype(np.uint64)
+    while len(todo):
+        x, bits, limit = out[todo], half[todo], n[todo].astype(np.uint64)
+        mask = (np.uint64(1) << bits) - np.uint64(1)
+        left, right = x >> bits, x & mask
+        for key in keys:
+            mixed = (right + key + limit) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+            mixed *= np.uint64(0xBF58476D1CE4E5B9)
+            left, right = right, left ^ ((mixed >> np.uint64(32)) & mask)
+        out[todo] = (left << bits) | right
+        todo = todo[out[todo] >= limit]
+    return out.astype(np.int64)
 
 
 PLACED = "array<struct<epoch:int,words:long,shard:int,place:long>>"
@@ -96,7 +107,8 @@ def mix_sources(docs: DataFrame, shards: int = 64, block_words: int = 4096, weig
     which come last and decide ties of doc_id and size. Words before a document in
     its source's stream are sums over 4096 hash ranges of the source and then within
     the range, so a source of any size is spread over tasks. The source table itself
-    (a few numbers per source, of which the quotas are drawn) goes to the driver.
+    goes to the driver, which draws the quotas and sends them to the tasks: 8 bytes per
+    source and shard, so 51 MB for 100,000 sources and 64 shards.
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sized = materialize(docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), key.alias("key"), *carry), "mixing-sizes")
@@ -115,7 +127,6 @@ def mix_sources(docs: DataFrame, shards: int = 64, block_words: int = 4096, weig
     words = np.rint(rows["target"].to_numpy()).astype(np.int64)
     quotas = -(-words // block_words)
     upto = np.cumsum(split_quotas(quotas, shards, seed), axis=0).T
-    strides = np.array([_stride(int(q)) if q else 1 for q in quotas], dtype=np.int64)
 
     @F.pandas_udf(PLACED)
     def placed(rank: pd.Series, before: pd.Series, size: pd.Series, total: pd.Series, key: pd.Series) -> pd.Series:
@@ -125,11 +136,11 @@ def mix_sources(docs: DataFrame, shards: int = 64, block_words: int = 4096, weig
         for epoch in range(most):
             first = start + epoch * whole
             taken = np.clip(words[s] - first, 0, n)
-            block = first // block_words
-            for k in np.flatnonzero(taken):
-                source = s[k]
-                slot = int(block[k]) * int(strides[source]) % int(quotas[source])
-                shard = int(np.searchsorted(upto[source], slot, "right"))
+            chosen = np.flatnonzero(taken)
+            # The block in which a copy begins, at its drawn place among its source's blocks.
+            slots = permuted(first[chosen] // block_words, quotas[s[chosen]], seed)
+            for k, slot in zip(chosen.tolist(), slots.tolist(), strict=True):
+                shard = int(np.searchsorted(upto[s[k]], slot, "right"))
                 place = (int(mixed[k]) * 2654435761 + slot * 40503 + epoch * 97) % (1 << 61)
                 out[k].append({"epoch": epoch, "words": int(taken[k]), "shard": shard, "place": place})
         return pd.Series(out)
@@ -138,21 +149,43 @@ def mix_sources(docs: DataFrame, shards: int = 64, block_words: int = 4096, weig
 
 
 def taken_words(mixed: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target and taken, the words of all placements."""
+    """doc_id, size, source_size, target, taken (the words of all placements), copies,
+    and shards and places of the copies, in the order of their epochs."""
     taken = F.aggregate("placements", F.lit(0).cast("long"), lambda total, x: total + x["words"])
-    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.size("placements").alias("copies"), F.col("placements.shard").alias("shards"), F.col("placements.place").alias("places"))
+
+
+def mixed_copies(docs: DataFrame, **options) -> tuple[DataFrame, str]:
+    """The copies of the rows of ``docs`` that the mix takes, with the mix's place of
+    each as a struct column whose name comes second. Rows are met by a number of their
+    own, so null and repeated doc_ids do no harm. ``options`` are those of
+    :func:`mix_sources`."""
+    row, copy = fresh_name(docs, "_row"), fresh_name(docs, "_copy")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "mixing-rows")
+    placed = mix_sources(rows, carry=(row,), **options).select(row, F.explode("placements").alias(copy))
+    copies = rows.join(placed, row)
+    words, taken = words_of(F.col("text")), F.col(copy)["words"]
+    cut = F.when(taken < F.size(words), F.array_join(F.slice(words, F.lit(1), taken.cast("int")), " ")).otherwise(F.col("text"))
+    return copies.withColumn("text", cut).drop(row), copy
+
+
+def in_order(copies: DataFrame, copy: str) -> DataFrame:
+    """Ranges of shards, each in its shuffled order."""
+    order = [F.col(copy)["shard"], F.col(copy)["place"]]
+    return copies.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def write_mix(docs: DataFrame, mixed: DataFrame, path: str) -> None:
-    """Write the copies of the documents that the mix takes (doc_ids must be unique),
-    one folder per shard, each in its shuffled order."""
-    copies = mixed.select("doc_id", F.explode("placements").alias("copy")).select("doc_id", "copy.*")
-    full = copies.join(docs, "doc_id").withColumn("text", F.when(F.col("words") < F.size(words_of(F.col("text"))), F.array_join(F.slice(words_of(F.col("text")), F.lit(1), F.col("words").cast("int")), " ")).otherwise(F.col("text")))
-    full.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place").drop("place", "words").write.partitionBy("shard").parquet(path)
+def write_mix(docs: DataFrame, path: str, **options) -> None:
+    """Write the copies of the documents that the mix takes, one folder per shard, each
+    in its shuffled order."""
+    copies, copy = mixed_copies(docs, **options)
+    shard = fresh_name(docs, "shard")
+    in_order(copies, copy).withColumn(shard, F.col(copy)["shard"]).drop(copy).write.partitionBy(shard).parquet(path)
 
 
 def oracle(weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: int = 11) -> str:
-    """:func:`taken_words` of ``documents`` in DuckDB SQL."""
+    """doc_id, size, source_size, target and taken of :func:`taken_words` over
+    ``documents`` in DuckDB SQL, which has no draws for shards and places."""
     weight = " ".join(f"WHEN {k} THEN {float(w)}" for k, w in enumerate(weights))
     return f"""
 WITH sized AS (
