@@ -22,7 +22,7 @@ ODD = [
     (11, "\n".join(["Same line here.", "Other line there."] * 20), "de", "c", 1),
 ]
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())])
-CLASHING = ["shard", "size", "n", "rep", "s", "score", "kept", "n_words", "ids", "key", "range", "rank", "media", "toxic", "h", "i", "block", "record_type", "label", "node", "copy", "words"]
+CLASHING = ["shard", "size", "n", "rep", "s", "score", "kept", "n_words", "ids", "key", "range", "rank", "media", "toxic", "h", "i", "block", "record_type", "label", "node", "copy", "words", "_x", "_row", "_copy", "_id", "_score", "_verdict", "row", "own", "text_hash", "c0", "c1", "verdict", "place", "cleaned"]
 
 
 @pytest.fixture(scope="session")

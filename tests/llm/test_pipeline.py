@@ -4,11 +4,9 @@ import hashlib
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-import public_tokenizers
-from millrace.llm.common import tokenizer
 from pyspark.sql import functions as F
 from tests.llm.conftest import ODD, PROSE
-from tests.llm.test_documents import brute_components, brute_quality, texts
+from tests.llm.test_documents import TOKENIZER, brute_components, brute_quality, texts
 
 
 def stages(spark, docs, sf_dir, tmp_path):
@@ -22,7 +20,8 @@ def stages(spark, docs, sf_dir, tmp_path):
 def test_stages(spark, sf_dir, documents, tmp_path):
     docs, clean, civil, single, mix, packed = stages(spark, documents, sf_dir, tmp_path)
     assert all(df.dtypes == docs.dtypes for df in (clean, civil, single, mix))
-    assert Counter(texts(clean)) == Counter((d, t) for d, t in texts(docs) if brute_quality(t)[6])
+    assert Counter(texts(clean)) == Counter((d, brute_quality(t)[7]) for d, t in texts(docs) if brute_quality(t)[6])
+    assert all(r.n_chars == len(r.text) for r in clean.collect())
     assert not Counter(texts(civil)) - Counter(texts(clean))
     assert Counter(texts(single)) == Counter(r for r, (d, _, c) in zip(texts(civil), brute_components(texts(civil)), strict=True) if d == c)
 
@@ -37,8 +36,7 @@ def test_stages(spark, sf_dir, documents, tmp_path):
     assert cut <= single.select("source").distinct().count()
     assert abs(sum(taken.values()) - sum(map(len, whole.values()))) <= single.select("source").distinct().count()
 
-    model = tokenizer(public_tokenizers.path("word_bpe_49k.json"))
-    tokens = sum(len(model.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in texts(mix))
+    tokens = sum(len(TOKENIZER.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in texts(mix))
     assert packed.agg(F.sum("length")).first()[0] == tokens
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
 
@@ -58,6 +56,24 @@ def test_odd_rows_pass_every_stage(spark, sf_dir, odd, clashing, empty, tmp_path
         assert len(ids) == len(set(ids))
 
 
+def test_stages_keep_whole_rows(spark, sf_dir, clashing, odd):
+    """Columns of any name pass as they are; only the text and its length may change."""
+    others = [c for c in clashing.columns if c not in ("text", "n_chars")]
+    for stage, _ in ((corpus_pipeline.quality_rules, 0), (corpus_pipeline.toxicity_filter, 0), (corpus_pipeline.near_duplicates, 0), (corpus_pipeline.source_mix, 2)):
+        found, plain = stage(spark, clashing, sf_dir), stage(spark, odd, sf_dir)
+        assert found.columns == clashing.columns
+        assert Counter(map(tuple, found.select(*odd.columns).collect())) == Counter(map(tuple, plain.collect()))
+        assert all(r[c] == "x" for r in found.collect() for c in others if c not in odd.columns)
+
+
+def test_mix_is_in_order(spark, sf_dir, documents):
+    """The copies lie as the mix places them: shard by shard, shuffled in each."""
+    from millrace.llm import mixing
+
+    placed = mixing.mix_sources(documents).select("doc_id", F.explode("placements").alias("p")).select("doc_id", "p.shard", "p.place").orderBy("shard", "place")
+    assert [r.doc_id for r in corpus_pipeline.source_mix(spark, documents, sf_dir).collect()] == [r.doc_id for r in placed.collect()]
+
+
 def test_near_duplicates_of_null_and_repeated_ids(spark, sf_dir, odd):
     text = lambda k: " ".join(f"t{k}w{j}" for j in range(60))
     near = text(2) + " more"
