@@ -12,40 +12,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import jaccard, mixing, packing, quality, toxicity
-from millrace.llm.common import SPACES, materialize, table
+from millrace.llm.common import SPACES, fresh_name, materialize, table
 
 #: A score from which a document counts as toxic.
 TOXIC = 0.7
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that line-first cleaning keeps, as they are.
+    """Documents that line-first cleaning keeps, without the lines that it removes.
 
-    The verdict counts the lines that fail; documents that pass keep their whole text,
-    for a document is kept or goes. Null and empty texts go; repeated rows stay alike.
+    n_chars follows the text; the other columns stay. Null and empty texts go; repeated
+    rows stay alike.
     """
-    return quality.judge_documents(docs).where("kept").select(*docs.columns)
+    verdict = fresh_name(docs, "_verdict")
+    kept = quality.with_verdict(docs, verdict).where(F.col(verdict)["kept"])
+    kept = kept.withColumn("text", F.col(verdict)["cleaned"])
+    return _counted(kept).select(*docs.columns)
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """With n_chars, where there is such a column, that of the text."""
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine, trained on the labelled ones among
     them, scores below ``TOXIC``. Null texts have only the model's bias."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.with_scores(docs, model).where(F.col("score") < TOXIC).select(*docs.columns)
-
-
-def _fresh(docs: DataFrame, name: str) -> str:
-    """A column name like ``name`` that ``docs`` doesn't have."""
-    taken = {c.lower() for c in docs.columns}
-    while name in taken:
-        name = f"_{name}"
-    return name
+    model, score = toxicity.train(docs, table(spark, sf_dir, "labels")), fresh_name(docs, "_score")
+    return toxicity.with_scores(docs, model, score).where(F.col(score) < TOXIC).select(*docs.columns)
 
 
 def _numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
     """The rows with a number of their own each, stored so that it stays, and the
     number's column; doc_ids may be null or repeated."""
-    row = _fresh(docs, "_row")
+    row = fresh_name(docs, "_row")
     return materialize(docs.withColumn(row, F.monotonically_increasing_id()), name), row
 
 
@@ -70,21 +70,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The copies of documents that the mix takes: none to three rows per document,
-    the last of a source's stream cut to the words that reach its target.
+    the last of a source's stream cut to the words that reach its target, in the order
+    of the mix's shards and of the places in each.
 
     n_chars follows the text; the other columns of a copy are its document's. Documents
     without words have no place in a mix of words. Rows with null or repeated doc_ids
     are documents of their own: a placement returns the row that it was made for.
     """
-    rows, row = _numbered(docs, "mixing-rows")
-    copy = _fresh(rows, "_copy")
-    mixed = mixing.mix_sources(rows, carry=(row,)).select(row, F.explode("placements").alias(copy))
-    copies = rows.join(mixed, row)
-    words, taken = quality.words_of(F.col("text")), F.col(copy)["words"]
-    copies = copies.withColumn("text", F.when(taken < F.size(words), F.array_join(F.slice(words, F.lit(1), taken.cast("int")), " ")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        copies = copies.withColumn("n_chars", F.char_length("text").cast("long"))
-    return copies.select(*docs.columns)
+    copies, copy = mixing.mixed_copies(docs)
+    return mixing.in_order(_counted(copies), copy).select(*docs.columns)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
