@@ -11,7 +11,8 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.sources.scratch import scratch_path
 
@@ -42,14 +43,18 @@ def discard(*stored: DataFrame) -> None:
 
 
 class Workspace:
-    """The intermediate tables of one computation; :meth:`clear` deletes them once a
-    result that doesn't read them is stored."""
+    """The intermediate tables of one computation, each of ``files`` files at most;
+    :meth:`clear` deletes them once a result that doesn't read them is stored."""
 
-    def __init__(self):
-        self.tables: list[DataFrame] = []
+    def __init__(self, files: int):
+        self.files, self.tables = files, []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """A table that stays."""
+        return materialize(df.coalesce(self.files), name)
 
     def materialize(self, df: DataFrame, name: str) -> DataFrame:
-        self.tables.append(materialize(df, name))
+        self.tables.append(self.write(df, name))
         return self.tables[-1]
 
     def clear(self) -> None:
@@ -57,6 +62,13 @@ class Workspace:
         self.tables = []
 
 
+def apart(key: str) -> Column:
+    """A long key in other words, for joins with rows that are grouped by it. The planner
+    then exchanges both sides for the join alone, and adaptive execution may split the
+    rows of a key that has very many; it can't where a group-by shares the exchange."""
+    return F.bitwise_not(F.col(key)).alias("apart")
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}

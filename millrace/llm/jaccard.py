@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Workspace, discard, materialize, slices, split_words
+from millrace.llm.common import Workspace, apart, discard, slices, split_words
 
 PIVOT_SETS = 128
 #: Odd 64-bit factors of the words of a shingle, and of the final mixing.
@@ -107,12 +107,11 @@ def _members(docs: DataFrame, percent: int, work: Workspace) -> tuple[DataFrame,
     """(doc_id, n, rep) of every row, and the classes: rep, n, head, coords."""
     sets = work.materialize(_sets(docs, percent), "jaccard-sets")
     reps = sets.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    # Sets that occur once name themselves; only the keys of the others are joined. They
-    # are stored, so that the join can split the rows of a set that very many texts have.
-    several = work.materialize(reps.where("copies > 1").drop("copies"), "jaccard-copies")
-    joined = sets.join(several, "set_key", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    # Sets that occur once name themselves; only the keys of the others are joined.
+    several = reps.where("copies > 1").select(F.hex("set_key").alias("apart"), "rep")
+    joined = sets.withColumn("apart", F.hex("set_key")).join(several, "apart", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     own = F.col("n").isNotNull() & F.col("doc_id").isNotNull() & (F.col("rep") == F.col("doc_id")) & (F.col("n") > 0)
-    both = materialize(joined.select("doc_id", "n", "rep", F.when(own, F.col("head")).alias("head"), F.when(own, F.col("coords")).alias("coords")), "jaccard-members")
+    both = work.write(joined.select("doc_id", "n", "rep", F.when(own, F.col("head")).alias("head"), F.when(own, F.col("coords")).alias("coords")), "jaccard-members")
     return both.select("doc_id", "n", "rep"), both.where(F.col("coords").isNotNull()).select("rep", "n", "head", "coords")
 
 
@@ -215,8 +214,8 @@ def _regions(classes: DataFrame, docs: DataFrame, percent: int, hot_from: int, m
     if not len(hot):
         return work.materialize(met, "jaccard-regions")
     met = work.materialize(met.dropDuplicates(["s", "rep"]), "jaccard-met")
-    shared = work.materialize(met.groupBy("s").count().where("count > 1").select("s"), "jaccard-shared")
-    return work.materialize(met.join(shared, "s"), "jaccard-regions")
+    shared = met.groupBy("s").count().where("count > 1").select(apart("s"))
+    return work.materialize(met.withColumn("apart", apart("s")).join(shared, "apart").drop("apart"), "jaccard-regions")
 
 
 def _coarse(at: bytes, sets: int) -> np.ndarray:
@@ -259,39 +258,40 @@ def _linked(pairs: DataFrame, docs: DataFrame, percent: int, name: str, work: Wo
     pairs = work.materialize(pairs, f"{name}-pairs")
     ids = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
     # Repeated rows are dropped; a doc_id with several texts stays as several sets, each
-    # compared. Stored, so that the join can split the pairs of a class that has very many.
+    # compared.
     sets = _texts_of(docs, ids).mapInArrow(shingled, "rep long, k long, shingles array<long>").dropDuplicates(["rep", "k"])
-    sets = work.materialize(sets, f"{name}-sets")
-    left, right = (sets.select(F.col("rep").alias(k), F.col("shingles").alias(f"shingles_{k}")) for k in ("a", "b"))
-    both = pairs.join(left, "a").join(right, "b")
+    left, right = (sets.select(apart("rep"), F.col("shingles").alias(f"shingles_{k}")) for k in ("a", "b"))
+    both = pairs.select("a", "b", apart("a")).join(left, "apart").select("a", "b", "shingles_a", apart("b")).join(right, "apart")
     shared = F.size(F.array_intersect("shingles_a", "shingles_b"))  # 100 shared >= percent * (sizes - shared)
     alike = both.where(F.lit(100 + percent) * shared >= F.lit(percent) * (F.size("shingles_a") + F.size("shingles_b")))
     return work.materialize(alike.select("a", "b").distinct(), f"{name}-links")
 
 
+#: Small rows: so many, or documents with all their rows, for each file of a table.
+EDGES_PER_FILE, DOCS_PER_FILE = 200_000, 10_000
+
+
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, label): the smallest node that links reach, for every node of a link.
 
     Each round turns every node's larger neighbours to its smallest, and then its
-    smaller ones, until nothing changes; both are joins on nodes and minima that
-    combine before the shuffle, so no neighbourhood is gathered, and the minima are
-    stored, so that a join can split the neighbours of a node that has very many. Rounds
-    grow with the logarithm of a component's size; an error is raised if ``rounds``
-    don't suffice.
+    smaller ones, until nothing changes; both are joins on nodes, which can split the
+    neighbours of a node that has very many, and minima that combine before the shuffle,
+    so no neighbourhood is gathered. Rounds grow with the logarithm of a component's
+    size; an error is raised if ``rounds`` don't suffice.
     """
-    work = Workspace()
-    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "components")
+    work = Workspace(1 + links.count() // EDGES_PER_FILE)
+    edges = work.write(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "components")
     before = None
     for _ in range(rounds):
         ways = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = work.materialize(ways.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "components-least")
-        large = ways.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = work.materialize(large, "components-large")
-        lowest = work.materialize(large.groupBy("u").agg(F.min("v").alias("m")), "components-lowest")
-        met = large.join(lowest, "u")
+        least = ways.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).select(apart("u"), "m")
+        large = ways.where("v > u").select("v", apart("u")).join(least, "apart").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        met = large.select("v", apart("u")).join(lowest.select("m", apart("u")), "apart")
         small = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         work.tables.append(edges)
-        edges = materialize(small, "components")
+        edges = work.write(small, "components")
         work.clear()
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
@@ -300,7 +300,7 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     else:
         raise RuntimeError(f"components have not settled after {rounds} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
-    labels = materialize(edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots), "components-labels")
+    labels = work.write(edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots), "components-labels")
     discard(edges)
     return labels
 
@@ -318,7 +318,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, hot_from: int = 64, m
 
     ``hot_from``, ``most_hot`` and ``block`` change the cost only, never the result.
     """
-    work = Workspace()
+    work = Workspace(max(16, docs.count() // DOCS_PER_FILE))
     members, classes = _members(docs, percent, work)
     regions = _regions(classes, docs, percent, hot_from, most_hot, work)
     coords = classes.select("rep", "n", "coords")
@@ -332,11 +332,10 @@ def jaccard_components(docs: DataFrame, percent: int = 80, hot_from: int = 64, m
             yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     # The pivot is the most central class: the one whose regions hold most classes in all.
-    sizes = work.materialize(regions.groupBy("s").agg(F.count("*").alias("size")), "jaccard-sizes")
-    central = work.materialize(regions.join(sizes, "s").groupBy("rep").agg(F.sum("size").alias("company")), "jaccard-central")
-    pivots = regions.join(central, "rep").groupBy("s").agg(F.max(F.struct("company", F.xxhash64("rep").alias("h"), "rep")).alias("p")).select("s", F.col("p.rep").alias("pivot"))
-    pivots = work.materialize(pivots, "jaccard-pivots")
-    to_pivots = regions.join(pivots, "s").where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+    sizes = regions.groupBy("s").agg(F.count("*").alias("size")).select(apart("s"), "size")
+    central = work.materialize(regions.select("rep", apart("s")).join(sizes, "apart").groupBy("rep").agg(F.sum("size").alias("company")), "jaccard-central")
+    pivots = regions.join(central, "rep").groupBy("s").agg(F.max(F.struct("company", F.xxhash64("rep").alias("h"), "rep")).alias("p")).select(apart("s"), F.col("p.rep").alias("pivot"))
+    to_pivots = regions.select("rep", apart("s")).join(pivots, "apart").where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
     sides = [coords.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("coords").alias(f"coords_{k}")) for k in ("a", "b")]
     placed = to_pivots.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "n_b", "coords_a", "coords_b")
     cores = _linked(placed.mapInArrow(near, "a long, b long"), docs, percent, "jaccard-cores", work)
@@ -345,9 +344,8 @@ def jaccard_components(docs: DataFrame, percent: int = 80, hot_from: int = 64, m
     work.tables.append(labels)
     labelled = regions.join(labels, regions.rep == labels.node, "left").select("s", "rep", "n", F.coalesce("label", "rep").alias("label"))
     labelled = work.materialize(labelled, "jaccard-labelled")
-    mixed = labelled.groupBy("s").agg(F.count("*").alias("size"), (F.min("label") != F.max("label")).alias("mixed")).where("mixed AND size > 2").drop("mixed")
-    mixed = work.materialize(mixed, "jaccard-mixed-regions")
-    rest = work.materialize(labelled.join(mixed, "s"), "jaccard-mixed")
+    mixed = labelled.groupBy("s").agg(F.count("*").alias("size"), (F.min("label") != F.max("label")).alias("mixed")).where("mixed AND size > 2").select(apart("s"), "size")
+    rest = work.materialize(labelled.withColumn("apart", apart("s")).join(mixed, "apart").drop("apart"), "jaccard-mixed")
     # Of each class the first few of its regions (of a prefix at most): a pair that has
     # one of them in common before the region at hand is left to that one.
     lowest = rest.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list("s")), 1, 8).alias("lowest"))

@@ -112,7 +112,7 @@ def mix_sources(docs: DataFrame, shards: int = 64, block_words: int = 4096, weig
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sized = materialize(docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), key.alias("key"), *carry), "mixing-sizes")
-    targets = materialize(source_targets(sized, weights, most), "mixing-targets")
+    targets = materialize(source_targets(sized, weights, most).coalesce(1), "mixing-targets")
     ranged = sized.withColumn("range", F.substring("key", 1, 3))
     sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)

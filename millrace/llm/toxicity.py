@@ -138,7 +138,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_featur
 
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_rows small rows
     sample = sample.select("doc_id", F.col("toxic").cast("int"), "text").mapInArrow(hashed, "doc_id long, toxic int, buckets array<int>")
-    sample = materialize(sample.groupBy("doc_id", "toxic").agg(F.min("buckets").alias("buckets")), "toxicity-sample")
+    sample = sample.groupBy("doc_id", "toxic").agg(F.min("buckets").alias("buckets"))
+    sample = materialize(sample.coalesce(1 + max_rows // 2500), "toxicity-sample")
     sizes = {int(r["toxic"]): r["count"] for r in sample.groupBy("toxic").count().collect()}
     none, some = sizes.get(0, 0), sizes.get(1, 0)
     if not none or not some:
@@ -155,6 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_featur
     x = np.zeros((len(rows), len(buckets)), dtype=np.uint8)
     for k, found in enumerate(rows["key"]):
         x[k, np.searchsorted(buckets, np.array(found, dtype=np.int64))] = 1
+    discard(sample)
     return fit(x, rows["toxic"].to_numpy(dtype=np.float64), buckets, seed=seed)
 
 
