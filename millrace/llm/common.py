@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import itertools
 import json
 import os
+import threading
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -130,11 +134,16 @@ def split_words(texts: pa.Array) -> Words:
 # What a Python worker keeps between tasks
 
 _kept: dict = {}
+_tasks = itertools.count()
+_last = {"task": -1}
+#: Seconds after which a worker without a task drops what it has kept.
+IDLE = 2.0
 
 
 def per_worker(make: Callable, *args):
-    """``make(*args)``, kept in this Python worker until something else is asked for:
-    Spark reuses its workers, so whatever they keep stays in an executor's memory."""
+    """``make(*args)``, kept in this Python worker for the next tasks, until something
+    else is asked for or no task has come for a while: Spark reuses its workers, so
+    whatever they keep stays in an executor's memory."""
     key = (make.__module__, make.__qualname__, *args)
     if _kept.get("key") != key:
         _kept.clear()
@@ -142,6 +151,36 @@ def per_worker(make: Callable, *args):
     return _kept["value"]
 
 
+def _give_back() -> None:
+    """Memory that is free again, to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # of the GNU C library only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _drop(task: int) -> None:
+    if _last["task"] == task:
+        _kept.clear()
+        _give_back()
+
+
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function on batches for workers that wait for other tasks afterwards: it gives
+    free memory back, and later what :func:`per_worker` keeps."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        task = _last["task"] = next(_tasks)
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+            idle = threading.Timer(IDLE, _drop, [task])
+            idle.daemon = True
+            idle.start()
+
+    return wrapped
+
+
 # Tokenizers
 
 #: The parts of a vocabulary file, as ``word_bpe_49k.json`` has them, under
@@ -165,7 +204,7 @@ class TextEncoder:
     #: Bytes that an entry takes besides its word and ids.
     ENTRY = 160
 
-    def __init__(self, path: str, memo_bytes: int = 64 << 20):
+    def __init__(self, path: str, memo_bytes: int = 48 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has the cores
         from tokenizers import Tokenizer
 

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Workspace, apart, discard, slices, split_words
+from millrace.llm.common import Workspace, apart, discard, releasing, slices, split_words
 
 PIVOT_SETS = 128
 #: Odd 64-bit factors of the words of a shingle, and of the final mixing.
@@ -100,7 +100,7 @@ def _sets(docs: DataFrame, percent: int) -> DataFrame:
                     coords.append(pivot_distances(found) if n else None)
                 yield pa.record_batch([part.column(0), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary()), pa.array(heads, pa.list_(pa.int64())), pa.array(coords, pa.binary())], ["doc_id", "n", "set_key", "head", "coords"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, set_key binary, head array<long>, coords binary")
+    return docs.select("doc_id", "text").mapInArrow(releasing(run), "doc_id long, n int, set_key binary, head array<long>, coords binary")
 
 
 def _members(docs: DataFrame, percent: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
@@ -176,9 +176,9 @@ def _prefixes(classes: DataFrame, docs: DataFrame, order: _Order, work: Workspac
             yield pa.record_batch([pa.array(np.unique(np.concatenate([empty, *beyond])), pa.int64())], ["s"])
 
     slim = classes.select("rep", "n", "head")
-    reached = slim.mapInArrow(from_heads, "s long, rep long, n long")
+    reached = slim.mapInArrow(releasing(from_heads), "s long, rep long, n long")
     texts = _texts_of(docs, work.materialize(slim.mapInArrow(unreached, "rep long"), "jaccard-unreached"))
-    again = work.materialize(texts.mapInArrow(from_texts, "s long, rep long, n long"), "jaccard-again")
+    again = work.materialize(texts.mapInArrow(releasing(from_texts), "s long, rep long, n long"), "jaccard-again")
     lengthened = slim.mapInArrow(late, "s long").unionByName(again.select("s")).distinct()
     return reached.unionByName(again), lengthened
 
@@ -201,7 +201,7 @@ def _regions(classes: DataFrame, docs: DataFrame, percent: int, hot_from: int, m
         for batch in batches:
             yield pa.record_batch([_postings([(rep, n, head[: prefix_length(n, percent)]) for rep, n, head in _heads(batch)]).column(0)], ["s"])
 
-    counted = classes.select("rep", "n", "head").mapInArrow(lowest, "s long").groupBy("s").count().where("count > 1")
+    counted = classes.select("rep", "n", "head").mapInArrow(releasing(lowest), "s long").groupBy("s").count().where("count > 1")
     counted = work.materialize(counted, "jaccard-counts")
     common = counted.where(F.col("count") >= hot_from).orderBy(F.desc("count"), "s").limit(most_hot)
     hot = np.sort(np.array([r["s"] for r in common.select("s").toLocalIterator()], dtype=np.int64))
@@ -259,7 +259,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, percent: int, name: str, work: Wo
     ids = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
     # Repeated rows are dropped; a doc_id with several texts stays as several sets, each
     # compared.
-    sets = _texts_of(docs, ids).mapInArrow(shingled, "rep long, k long, shingles array<long>").dropDuplicates(["rep", "k"])
+    sets = _texts_of(docs, ids).mapInArrow(releasing(shingled), "rep long, k long, shingles array<long>").dropDuplicates(["rep", "k"])
     left, right = (sets.select(apart("rep"), F.col("shingles").alias(f"shingles_{k}")) for k in ("a", "b"))
     both = pairs.select("a", "b", apart("a")).join(left, "apart").select("a", "b", "shingles_a", apart("b")).join(right, "apart")
     shared = F.size(F.array_intersect("shingles_a", "shingles_b"))  # 100 shared >= percent * (sizes - shared)
@@ -338,7 +338,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, hot_from: int = 64, m
     to_pivots = regions.select("rep", apart("s")).join(pivots, "apart").where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
     sides = [coords.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("coords").alias(f"coords_{k}")) for k in ("a", "b")]
     placed = to_pivots.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "n_b", "coords_a", "coords_b")
-    cores = _linked(placed.mapInArrow(near, "a long, b long"), docs, percent, "jaccard-cores", work)
+    cores = _linked(placed.mapInArrow(releasing(near), "a long, b long"), docs, percent, "jaccard-cores", work)
 
     labels = components(cores)
     work.tables.append(labels)
@@ -377,7 +377,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, hot_from: int = 64, m
         if len(rows) > 1:
             yield pairs()
 
-    crossing = rest.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j").mapInArrow(joined, "a long, b long").where("a <> b").distinct()
+    crossing = rest.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j").mapInArrow(releasing(joined), "a long, b long").where("a <> b").distinct()
     late = _linked(crossing.join(cores, ["a", "b"], "left_anti"), docs, percent, "jaccard-late", work)
     final = components(cores.unionByName(late))
     work.clear()

@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from millrace.llm.common import per_worker, slices
+from millrace.llm.common import per_worker, releasing, slices
 
 #: Lower-cases A-Z; all other ASCII but digits and lower-case letters ends a word.
 _FOLD = bytes(k + 32 if 65 <= k <= 90 else k if 48 <= k <= 57 or 97 <= k <= 122 or k > 127 else 32 for k in range(256))
@@ -211,4 +211,4 @@ def scan_licenses(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES) -> Dat
             spans = pa.array([[dict(zip(fields, s, strict=True)) for s in r[7]] for r in rows], span)
             yield pa.record_batch([*columns, spans], [*names, "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"{SCANNED}, spans {SPANS}")
+    return docs.select("doc_id", "text").mapInArrow(releasing(run), f"{SCANNED}, spans {SPANS}")

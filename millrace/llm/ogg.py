@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize
+from millrace.llm.common import materialize, releasing
 
 RATE = 8000
 PACKET = 960
@@ -172,7 +172,7 @@ def write_media(docs: DataFrame) -> DataFrame:
                 part = batch.slice(start, 256)
                 yield pa.record_batch([part.column(0), pa.array([encode(*padded(x)) for x in part.column(1).to_pylist()], pa.binary())], ["doc_id", "media"])
 
-    return materialize(docs.select("doc_id", F.col("text")).mapInArrow(written, "doc_id long, media binary"), "ogg-media")
+    return materialize(docs.select("doc_id", F.col("text")).mapInArrow(releasing(written), "doc_id long, media binary"), "ogg-media")
 
 
 READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -192,7 +192,7 @@ def read_media(media: DataFrame) -> DataFrame:
                 kinds = [pa.string() if " string" in f else pa.int64() for f in READ.split(", ")]
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [f.split()[0] for f in READ.split(", ")])
 
-    return media.select("doc_id", "media").mapInArrow(read, READ)
+    return media.select("doc_id", "media").mapInArrow(releasing(read), READ)
 
 
 def media_table(docs: DataFrame) -> DataFrame:

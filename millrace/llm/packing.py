@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import slices, text_encoder
+from millrace.llm.common import releasing, slices, text_encoder
 
 TIERS = (256, 512, 1024, 2048)
 
@@ -127,7 +127,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
             for part in slices(batch, 1):
                 yield pa.record_batch([part.column(0), part.column(2), encoder.encode_documents(part.column(1), end_id)], ["doc_id", "own", "ids"])
 
-    return docs.select("doc_id", "text", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("own")).mapInArrow(encode, "doc_id long, own long, ids binary")
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("own")).mapInArrow(releasing(encode), "doc_id long, own long, ids binary")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, tiers: tuple[int, ...] = TIERS, block_docs: int = 4096, buffer_ids: int = 8_000_000, step_windows: int = 64, with_ids: bool = False) -> DataFrame:
@@ -181,4 +181,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, tiers:
     ids = tokenized(docs, tokenizer_path, end_id)
     block = F.pmod(F.when(dealt, F.xxhash64(F.monotonically_increasing_id())).otherwise(F.col("own")), F.lit(blocks))
     placed = ids.select(block.alias("block"), "doc_id", "ids", "own")
-    return placed.repartition("block").sortWithinPartitions("block", "doc_id", "own").drop("own").mapInArrow(pack, schema)
+    return placed.repartition("block").sortWithinPartitions("block", "doc_id", "own").drop("own").mapInArrow(releasing(pack), schema)

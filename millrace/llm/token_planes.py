@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from millrace.llm.common import materialize, slices, text_encoder
+from millrace.llm.common import materialize, releasing, slices, text_encoder
 from millrace.sources.scratch import scratch_path
 
 MAGIC = b"MRPLANE1"
@@ -186,7 +186,7 @@ def write_token_planes(docs: DataFrame, path: str, tokenizer_path: str, end_id:
     order = ["doc_id", "text_hash"]
     spread = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("row"))
     spread = spread.repartitionByRange(files, *order, "row") if files else spread.repartitionByRange(*order, "row")
-    records = spread.sortWithinPartitions(*order, "text").select("doc_id", "text").mapInArrow(encode, "record binary")
+    records = spread.sortWithinPartitions(*order, "text").select("doc_id", "text").mapInArrow(releasing(encode), "record binary")
     records.select(F.col("record").cast("string").alias("value")).write.option("compression", "none").option("maxRecordsPerFile", file_chunks + 2).text(path)
 
 
@@ -222,7 +222,7 @@ def read_token_planes(spark: SparkSession, path: str, digest: bool = False) -> D
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     named = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    return named.mapInArrow(decode, schema)
+    return named.mapInArrow(releasing(decode), schema)
 
 
 def with_global_start(documents: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import discard, materialize, slices, split_words
+from millrace.llm.common import discard, materialize, releasing, slices, split_words
 
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6)
@@ -137,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_featur
                 yield pa.record_batch([part.column(0), part.column(1), found], ["doc_id", "toxic", "buckets"])
 
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_rows small rows
-    sample = sample.select("doc_id", F.col("toxic").cast("int"), "text").mapInArrow(hashed, "doc_id long, toxic int, buckets array<int>")
+    sample = sample.select("doc_id", F.col("toxic").cast("int"), "text").mapInArrow(releasing(hashed), "doc_id long, toxic int, buckets array<int>")
     sample = sample.groupBy("doc_id", "toxic").agg(F.min("buckets").alias("buckets"))
     sample = materialize(sample.coalesce(1 + max_rows // 2500), "toxicity-sample")
     sizes = {int(r["toxic"]): r["count"] for r in sample.groupBy("toxic").count().collect()}
@@ -163,8 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_featur
 def with_scores(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """``docs`` with the model's score of every row's text as column ``name``."""
 
-    @F.arrow_udf("double")
-    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             found = [np.empty(0)]
             for part in slices(pa.record_batch([texts], ["text"]), 0):
@@ -172,6 +171,10 @@ def with_scores(docs: DataFrame, model: Model, name: str = "score") -> DataFrame
                 found.append(_sigmoid(model.logits(rows, features, part.num_rows)))
             yield pa.array(np.concatenate(found), pa.float64())
 
+    @F.arrow_udf("double")
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from releasing(run)(texts)
+
     return docs.select("*", scored("text").alias(name))
 
 

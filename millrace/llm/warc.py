@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize, slices
+from millrace.llm.common import materialize, releasing, slices
 from millrace.sources.scratch import scratch_path
 
 SALTS = 16
@@ -86,7 +86,7 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
         if held:
             yield pa.record_batch([pa.array(["\n".join(held)])], ["value"])
 
-    records.mapInArrow(bundled, "value string").write.option("compression", "gzip").option("maxRecordsPerFile", bundles_per_file).text(path)
+    records.mapInArrow(releasing(bundled), "value string").write.option("compression", "gzip").option("maxRecordsPerFile", bundles_per_file).text(path)
 
 
 def inflated(content: bytes, piece: int = 1 << 16) -> Iterator[bytes]:
@@ -201,7 +201,7 @@ def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataF
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc,txt}").load(path)
-    return files.select("content").mapInArrow(read, schema)
+    return files.select("content").mapInArrow(releasing(read), schema)
 
 
 def assemble(records: DataFrame) -> DataFrame:
