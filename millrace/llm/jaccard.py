@@ -184,7 +184,7 @@ def _prefixes(classes: DataFrame, docs: DataFrame, order: _Order, work: Workspac
 
 
 #: Ids up to this many (8 bytes each) are sent to all tasks; more are joined by shuffle.
-MOST_SENT = 1_000_000
+MOST_SENT = 200_000
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
