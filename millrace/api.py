@@ -34,6 +34,10 @@ class Warehouse:
         fields = self.table(database, name).schema().fields
         return self.spark.createDataFrame([(f.name, f.dataType.simpleString(), f.metadata.get("comment")) for f in fields], "column_name string, data_type string, comment string")
 
+    def preview(self, database: str, name: str, rows: int = 20) -> DataFrame:
+        """Some rows of a table, to look at."""
+        return self.table(database, name).read().limit(rows)
+
     def sql(self, query: str, **names: str) -> DataFrame:
         """A query in which ``{alias}`` stands for the table given as
         ``alias="database.table"``."""

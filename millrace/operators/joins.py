@@ -28,6 +28,14 @@ def nearest(value: Column, lookup: list[tuple[str, float]]) -> Column:
     return F.least(*best)["name"] if len(best) > 1 else best[0]["name"]
 
 
+def nearest_point(x: Column, y: Column, lookup: list[tuple[str, float, float]]) -> Column:
+    """The name of the lookup point with the least squared distance to (x, y), the first
+    of equals; null where x or y is."""
+    best = [F.struct(((x - F.lit(float(a))) * (x - F.lit(float(a))) + (y - F.lit(float(b))) * (y - F.lit(float(b)))).alias("distance"), F.lit(k).alias("k"), F.lit(name).alias("name")) for k, (name, a, b) in enumerate(lookup)]
+    found = F.least(*best)["name"] if len(best) > 1 else best[0]["name"]
+    return F.when(x.isNotNull() & y.isNotNull(), found)
+
+
 def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:
     """Pairs with low <= point < high, met in buckets of ``width`` instead of all
     against all: a range is copied to each bucket that it touches."""

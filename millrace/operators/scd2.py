@@ -109,26 +109,45 @@ def new_current(expired: DataFrame, ranked: DataFrame, dim: Dimension) -> DataFr
     return _version(latest.join(still, same, "left_anti"), dim, F.lit(None), True)
 
 
-def apply_parts(target: DataFrame, batch: DataFrame, dim: Dimension) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(untouched history, rows written as history, rows written as current); only
-    current rows of the target take part in the join that compares values."""
+def rewritten(target: DataFrame, batch: DataFrame, dim: Dimension) -> DataFrame:
+    """The rows that a batch makes or touches: the target's current rows, ended where the
+    batch replaces them, and the batch's new versions, historical and current.
+
+    Each key's latest version meets the target's current row (one at most) in one full
+    outer join, which gives both the row that stays or ends and the new one. Of the
+    target's history only keys and begins are read, to leave out versions it has.
+    """
     dim = dim.of(batch)
     types = dict(target.dtypes)
-    ranked = rank_batch(batch.withColumn(dim.event_time, F.col(dim.event_time).try_cast(types[dim.begin])) if dict(batch.dtypes)[dim.event_time] != types[dim.begin] else batch, dim)
+    batch = batch.withColumn(dim.event_time, F.col(dim.event_time).try_cast(types[dim.begin])) if dict(batch.dtypes)[dim.event_time] != types[dim.begin] else batch
+    ranked = rank_batch(batch, dim)
     now = F.coalesce(F.col(dim.current), F.lit(False))
-    past, current = target.where(~now), target.where(now)
-    expired = expire(current, ranked, dim)
-    shape = lambda df: df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(types[c]).alias(c) for c in target.columns])
-    older = shape(historical(target, ranked, dim))
-    newest = shape(new_current(expired, ranked, dim))
-    return past, expired.where(~F.col(dim.current)).unionByName(older), expired.where(F.col(dim.current)).unionByName(newest)
+    current = target.where(now)
+    same = reduce(lambda a, b: a & b, [F.col(f"s.{k}") == F.col(f"t.{k}") for k in dim.keys])
+
+    # Latest versions and current rows: each side's rows without a partner stay.
+    met = ranked.where("_rank = 1").withColumn("_is", F.lit(True)).alias("s").join(current.withColumn("_is", F.lit(True)).alias("t"), same, "full")
+    held, fresh = F.col("t._is").isNotNull(), F.col("s._is").isNotNull()
+    replaced = held & fresh & dim.changed("t", "s")
+    if dim.reject_late:
+        replaced = replaced & F.coalesce(F.col(f"s.{dim.event_time}") >= F.col(f"t.{dim.begin}"), F.lit(False))
+    ended = F.col("s._first") if dim.contiguous else F.col(f"s.{dim.event_time}")
+    old = {c: F.col(f"t.{c}") for c in target.columns}
+    old[dim.end] = F.when(replaced, ended.cast(types[dim.end])).otherwise(old[dim.end])
+    old[dim.current] = F.when(replaced, F.lit(False)).otherwise(old[dim.current])
+    new = {c: F.col(f"s.{c}") for c in dim.columns} | {dim.begin: F.col(f"s.{dim.event_time}"), dim.end: F.lit(None), dim.current: F.lit(True)}
+    row = lambda values: F.struct(*[values.get(c, F.lit(None)).cast(types[c]).alias(c) for c in target.columns])
+    rows = F.array_compact(F.array(F.when(held, row(old)), F.when(fresh & (~held | replaced), row(new))))
+    latest = met.select(F.explode(rows).alias("row")).select("row.*")
+    older = historical(target, ranked, dim)
+    return latest.unionByName(older.select(*[(F.col(c) if c in older.columns else F.lit(None)).cast(types[c]).alias(c) for c in target.columns]))
 
 
 def apply_batch(target: DataFrame, batch: DataFrame, dim: Dimension) -> DataFrame:
     """The whole target after the batch. Applying a batch twice changes nothing more,
     except for rows whose key or event time is null, which never match."""
-    past, older, current = apply_parts(target, batch, dim)
-    return past.unionByName(older).unionByName(current)
+    past = target.where(~F.coalesce(F.col(dim.current), F.lit(False)))
+    return past.unionByName(rewritten(target, batch, dim))
 
 
 def at_time(target: DataFrame, dim: Dimension, moment: Column) -> DataFrame:

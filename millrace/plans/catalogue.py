@@ -164,6 +164,15 @@ def paginate_counts(spark, sf_dir):
     return tables.pages(read(spark, sf_dir, "lineitem"), PAGE_KEYS, 1000).groupBy("page").agg(F.count("*").alias("n"))
 
 
+ROW_KEYS = [*PAGE_KEYS, "l_discount", "l_tax", "l_shipdate"]
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, CAST(floor((row_number() OVER (ORDER BY {', '.join(ROW_KEYS)}) - 1) / 1000) AS BIGINT) AS page FROM lineitem")
+def paginate_rows(spark, sf_dir):
+    """With columns that are no keys."""
+    return tables.pages(read(spark, sf_dir, "lineitem"), ROW_KEYS, 1000).select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "page")
+
+
 # Rows, tables, connectors
 
 
@@ -210,6 +219,15 @@ def nearest_lookup(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", joins.nearest(F.col("p_retailprice"), LOOKUP).alias("nearest"))
 
 
+PLACES = [("north", 3.0, 8000.0), ("middle", 12.0, 4000.0), ("south", 20.0, 500.0)]
+
+
+@query("""SELECT c_custkey, (SELECT name FROM (VALUES ('north', 0, 3.0, 8000.0), ('middle', 1, 12.0, 4000.0), ('south', 2, 20.0, 500.0)) AS v(name, k, x, y)
+ORDER BY (c_nationkey - x) * (c_nationkey - x) + (c_acctbal - y) * (c_acctbal - y), k LIMIT 1) AS place FROM customer""")
+def nearest_place(spark, sf_dir):
+    return read(spark, sf_dir, "customer").select("c_custkey", joins.nearest_point(F.col("c_nationkey"), F.col("c_acctbal"), PLACES).alias("place"))
+
+
 @query("SELECT o_orderkey, c_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey")
 def multi_input_join(spark, sf_dir):
     inputs = {"orders": read(spark, sf_dir, "orders"), "customers": read(spark, sf_dir, "customer")}
@@ -418,10 +436,9 @@ def fn_map(spark, sf_dir):
 def udf_map_batches(spark, sf_dir):
     def gross(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            rows = rows[rows["l_quantity"] > 25]
             yield pd.DataFrame({"l_orderkey": rows["l_orderkey"], "l_linenumber": rows["l_linenumber"], "gross": rows["l_extendedprice"] * (1 + rows["l_tax"])})
 
-    items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax")
+    items = read(spark, sf_dir, "lineitem").where("l_quantity > 25").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_tax")
     return items.mapInPandas(gross, "l_orderkey long, l_linenumber int, gross double").withColumn("gross", F.round("gross", 5))
 
 
@@ -452,6 +469,12 @@ def _drained(spark, df: DataFrame, name: str, aggregate: bool = True) -> DataFra
     return spark.read.parquet(f"{path}/rows")
 
 
+def _updated(spark, windows: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    path = scratch_path(spark, name)
+    streams.drain_updates(windows, f"{path}/rows", f"{path}/checkpoint")
+    return streams.read_updates(spark, f"{path}/rows", keys).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 @query("SELECT event_id, user_id, event_type, value FROM events WHERE event_type <> 'error'")
 def stream_passthrough(spark, sf_dir):
     return _drained(spark, _event_stream(spark, sf_dir).where("event_type <> 'error'").select("event_id", "user_id", "event_type", "value"), "passthrough", False)
@@ -469,14 +492,23 @@ def stream_fanout(spark, sf_dir):
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def stream_window_tumbling(spark, sf_dir):
-    windows = streams.tumbling(_zoned(_event_stream(spark, sf_dir)), "ts", "1 hour", ["event_type"], F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
-    return _drained(spark, windows, "tumbling").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    events = streams.timed(_event_stream(spark, sf_dir), "ts", "1 day")
+    windows = streams.tumbling(events, "ts", "1 hour", ["event_type"], F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    return _updated(spark, windows, "tumbling", ["window_start", "event_type"])
 
 
 @query("SELECT w AS window_start, count(*) AS n FROM (SELECT unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS w FROM events) GROUP BY 1")
 def stream_window_sliding(spark, sf_dir):
-    windows = streams.sliding(_zoned(_event_stream(spark, sf_dir)), "ts", "2 hours", "1 hour", [], F.count("*").alias("n"))
-    return _drained(spark, windows, "sliding").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    windows = streams.sliding(streams.timed(_event_stream(spark, sf_dir), "ts", "1 day"), "ts", "2 hours", "1 hour", [], F.count("*").alias("n"))
+    return _updated(spark, windows, "sliding", ["window_start"])
+
+
+@query("""SELECT c.event_id AS click_id, p.event_id AS purchase_id FROM events c JOIN events p
+ON c.user_id = p.user_id AND c.event_type = 'click' AND p.event_type = 'purchase' AND p.ts >= c.ts AND p.ts <= c.ts + INTERVAL 6 HOUR""")
+def stream_join(spark, sf_dir):
+    of = lambda kind, name: streams.timed(_event_stream(spark, sf_dir), "ts", "1 day").where(F.col("event_type") == kind).select(F.col("event_id").alias(name), "user_id", "ts")
+    pairs = streams.joined_within(of("click", "click_id"), of("purchase", "purchase_id"), ["user_id"], "ts", "ts", "6 HOURS")
+    return _drained(spark, pairs.select("click_id", "purchase_id"), "stream-join", False)
 
 
 @query("""WITH marked AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS opens FROM events),

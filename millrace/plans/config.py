@@ -5,21 +5,27 @@ from __future__ import annotations
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.functions.types import schema_of
 from millrace.plans.dag import Graph, InvalidPipeline, compile_graph, methods_of
+from millrace.sources import files
 
 CONNECTIONS = {"warehouse": {"path"}, "api": {"base_url"}, "stream": {"path"}}
 
 
-def load(source: str | Path | dict) -> dict:
-    """A configuration from YAML text, a file or a mapping, validated."""
+def load(source: str | Path | dict, spark: SparkSession | None = None) -> dict:
+    """A configuration from YAML text, a file or a mapping, validated. With a session,
+    a file given as a string is on any file system that Spark knows."""
     import yaml
 
     if isinstance(source, dict):
         config = source
     else:
-        text = Path(source).read_text() if isinstance(source, Path) or "\n" not in source else source
+        if isinstance(source, str) and "\n" in source:
+            text = source
+        else:
+            text = files.read_text(spark, source) if spark and isinstance(source, str) else Path(source).read_text()
         try:
             config = yaml.safe_load(text)
         except yaml.YAMLError as error:
@@ -69,11 +75,28 @@ def connections(config: dict, faults: list[str] | None = None) -> dict[str, dict
     return out
 
 
+def registry(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per configuration in a folder: its file, and its :func:`summary`."""
+    found = [name for ending in (".yml", ".yaml") for name in files.names(spark, folder, ending)]
+    rows = [(name, *_summary(load(f"{folder}/{name}", spark))) for name in sorted(found)]
+    return spark.createDataFrame(rows, "file string, pipeline string, layers long, nodes long, connections long")
+
+
+def from_registry(spark: SparkSession, folder: str, pipeline: str) -> dict:
+    """The configuration of that name in a folder."""
+    for row in registry(spark, folder).where(F.col("pipeline") == pipeline).collect():
+        return load(f"{folder}/{row.file}", spark)
+    raise KeyError(pipeline)
+
+
+def _summary(config: dict) -> tuple:
+    layers = config.get("layers") or []
+    return config.get("name"), len(layers), sum(len(layer.get("nodes") or []) for layer in layers), len(config.get("connections") or [])
+
+
 def summary(spark: SparkSession, config: dict) -> DataFrame:
     """One row: layers, nodes and connections of a configuration."""
-    layers = config.get("layers") or []
-    row = (config.get("name"), len(layers), sum(len(layer.get("nodes") or []) for layer in layers), len(config.get("connections") or []))
-    return spark.createDataFrame([row], "pipeline string, layers long, nodes long, connections long")
+    return spark.createDataFrame([_summary(config)], "pipeline string, layers long, nodes long, connections long")
 
 
 def endpoints(spark: SparkSession, config: dict) -> DataFrame:

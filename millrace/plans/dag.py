@@ -53,8 +53,13 @@ class Graph:
         return {n: Status.SKIPPED if not c.get("enabled", True) else Status.SCHEDULED if c.get("type") == "scheduled" else Status.PENDING for n, c in self.nodes.items()}
 
     def ready(self, status: dict[str, Status]) -> list[str]:
-        """Pending nodes all of whose parents succeeded or are live."""
-        return [n for n, s in status.items() if s == Status.PENDING and all(status[p] in (Status.SUCCESS, Status.LIVE) for p in self.parents[n])]
+        """Pending nodes all of whose parents are met."""
+        return [n for n, s in status.items() if s == Status.PENDING and all(self.met(p, status) for p in self.parents[n])]
+
+    def met(self, name: str, status: dict[str, Status]) -> bool:
+        """Whether children of a node may run: it succeeded, is live, or failed although
+        the pipeline is to continue."""
+        return status[name] in (Status.SUCCESS, Status.LIVE) or status[name] == Status.FAILED and self.nodes[name].get("on_failure") == "continue"
 
     def complete(self, status: dict[str, Status]) -> bool:
         return all(s in SETTLED for s in status.values())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +35,8 @@ def node_summary(checkpoints: DataFrame, node: str = "node_id", measures: tuple[
     """Sums, averages and share of the measures by node, slowest first; nulls are 0."""
     sums = [F.round(F.sum(F.coalesce(m, F.lit(0.0))), 3).alias(f"sum_{m}") for m in measures]
     averages = [F.round(F.avg(F.coalesce(m, F.lit(0.0))), 3).alias(f"avg_{m}") for m in measures]
-    return checkpoints.groupBy(node).agg(F.count("*").alias("batches"), *sums, *averages)
+    total = reduce(lambda a, b: a + b, [F.col(f"sum_{m}") for m in measures])
+    return checkpoints.groupBy(node).agg(F.count("*").alias("batches"), *sums, *averages).orderBy(total.desc(), node)
 
 
 def filter_logs(logs: DataFrame, level: str | None = None, since=None, component: str | None = None, message: str | None = None) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import time
 import traceback
 import uuid
 from collections.abc import Callable
 from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
@@ -18,15 +20,25 @@ from millrace.functions.types import schema_of
 from millrace.operators.scd2 import Dimension
 from millrace.plans import config as configs
 from millrace.plans.dag import Status, methods_of
-from millrace.sources import rest, tables
+from millrace.plans.metrics import MEASURES
+from millrace.sources import files, rest, tables
 from millrace.sources.store import Table
 from millrace.streaming import streams
 
 Function = Callable[[dict[str, DataFrame], dict], DataFrame]
-EVENTS = "run_id string, node_id string, status string, at timestamp, attempt int, seconds double, error_type string, error_message string"
+EVENTS = "run_id string, node_id string, status string, level string, at timestamp, attempt int, pre_seconds double, function_seconds double, post_seconds double, error_type string, error_message string"
 MAX_ATTEMPTS = 3
 
 
+@contextmanager
+def _clock(spent: dict, part: str):
+    began = time.monotonic()
+    try:
+        yield
+    finally:
+        spent[part] = spent.get(part, 0.0) + time.monotonic() - began
+
+
 @dataclass
 class Engine:
     """Node functions get ``{alias: DataFrame}`` and a context and return a DataFrame;
@@ -39,6 +51,9 @@ class Engine:
     events_path: str | None = None
     workers: int = 4
     log: list[tuple] = field(default_factory=list)
+    #: Streaming queries of live nodes, and how to start them.
+    queries: dict = field(default_factory=dict)
+    starts: dict = field(default_factory=dict)
 
     def node(self, name: str) -> Callable[[Function], Function]:
         def register(function: Function) -> Function:
@@ -49,8 +64,9 @@ class Engine:
 
     def run(self, source, run_id: str | None = None) -> dict[str, Status]:
         """Run every node once its parents are done, several at a time, and return
-        the nodes' statuses. Live nodes run while there is input and end as ``live``."""
-        pipeline = configs.load(source)
+        the nodes' statuses; one that fails is FAILED, whatever follows from it. Live
+        nodes go on as streaming queries until :meth:`pause` or :meth:`stop`."""
+        pipeline = configs.load(source, self.spark)
         graph, run_id = configs.validate(pipeline), run_id or uuid.uuid4().hex
         connections, status = configs.connections(pipeline), graph.initial()
         context = {"pipeline": pipeline.get("name") or "pipeline", "run_id": run_id}
@@ -65,66 +81,97 @@ class Engine:
                     break
                 for done in wait(running, return_when=FIRST_COMPLETED).done:
                     status[running.pop(done)] = done.result()
-        self._flush()
         return status
 
     def _settle(self, graph, status: dict[str, Status]) -> None:
-        """Nodes below a failed or skipped one are skipped, unless that one's
-        ``on_failure`` is continue: then it counts as done."""
+        """Nodes below one that is skipped, or failed and stops the pipeline, are skipped."""
         for name in graph.order():
-            if status[name] == Status.FAILED and graph.nodes[name].get("on_failure") == "continue":
-                status[name] = Status.SUCCESS
-            if status[name] == Status.PENDING and any(status[p] in (Status.FAILED, Status.SKIPPED) for p in graph.parents[name]):
+            if status[name] == Status.PENDING and any(status[p] in (Status.FAILED, Status.SKIPPED) and not graph.met(p, status) for p in graph.parents[name]):
                 status[name] = Status.SKIPPED
 
     def _attempts(self, name: str, node: dict, connections: dict, context: dict) -> Status:
         attempts = MAX_ATTEMPTS if node.get("on_failure") == "retry" else 1
         for attempt in range(1, attempts + 1):
-            started = time.monotonic()
-            self._event(context, name, Status.RUNNING, attempt)
+            spent: dict[str, float] = {}
+            self._event(context, name, Status.RUNNING, attempt, spent)
             # A stream that this thread ran before may have left its own session active.
             self.spark._jvm.org.apache.spark.sql.classic.SparkSession.setActiveSession(self.spark._jsparkSession)
             try:
-                self._execute(name, node, connections, context)
+                self._execute(name, node, connections, context, spent)
             except Exception as error:
-                self._event(context, name, Status.FAILED, attempt, time.monotonic() - started, type(error).__name__, f"{error}\n{traceback.format_exc()}"[:4000])
+                self._event(context, name, Status.FAILED, attempt, spent, type(error).__name__, f"{error}\n{traceback.format_exc()}"[:4000])
             else:
                 done = Status.LIVE if node.get("type") == "live" else Status.SUCCESS
-                self._event(context, name, done, attempt, time.monotonic() - started)
+                self._event(context, name, done, attempt, spent)
                 return done
         return Status.FAILED
 
-    def _event(self, context: dict, name: str, status: Status, attempt: int, seconds: float | None = None, kind: str | None = None, message: str | None = None) -> None:
-        self.log.append((context["run_id"], name, status.value, datetime.now(timezone.utc), attempt, seconds, kind, message))
-
-    def _flush(self) -> None:
-        if self.events_path and self.log:
-            self.spark.createDataFrame(self.log, EVENTS).coalesce(1).write.mode("append").parquet(self.events_path)
-            self.log.clear()
+    def _event(self, context: dict, name: str, status: Status, attempt: int, spent: dict, kind: str | None = None, message: str | None = None) -> None:
+        """An event is a small file of its own, written when it happens, so a crash loses
+        none; without an events path it is kept in memory."""
+        level = "ERROR" if status == Status.FAILED else "INFO"
+        row = (context["run_id"], name, status.value, level, datetime.now(timezone.utc), attempt, *[spent.get(m) for m in MEASURES], kind, message)
+        self.log.append(row)
+        if self.events_path:
+            names = [f.split()[0] for f in EVENTS.split(", ")]
+            text = json.dumps(dict(zip(names, row, strict=True)), default=lambda at: at.isoformat())
+            files.write_text(self.spark, f"{self.events_path}/{context['run_id']}-{uuid.uuid4().hex}.json", text)
 
     def events(self) -> DataFrame:
-        """Run events of this and earlier runs, newest last."""
-        found = self.spark.createDataFrame(self.log, EVENTS)
-        return found.unionByName(self.spark.read.schema(EVENTS).parquet(self.events_path)) if self.events_path else found
-
-    def _execute(self, name: str, node: dict, connections: dict, context: dict) -> None:
+        """Run events: those of this and earlier runs under the events path."""
+        if self.events_path and files.names(self.spark, self.events_path, ".json"):
+            return self.spark.read.schema(EVENTS).json(f"{self.events_path}/*.json")
+        return self.spark.createDataFrame(self.log, EVENTS)
+
+    def logs(self) -> DataFrame:
+        """The events as log rows, for :func:`millrace.plans.metrics.filter_logs`."""
+        text = F.concat_ws(" ", "node_id", "status", F.concat(F.lit("attempt "), "attempt"), F.concat(F.lit("- "), "error_message"))
+        return self.events().select(F.col("at").alias("timestamp"), "level", F.col("node_id").alias("component"), text.alias("message"), "run_id")
+
+    def resume(self, name: str) -> None:
+        """Start a live node's query again, from the place in its checkpoint."""
+        if name not in self.queries or not self.queries[name].isActive:
+            self.queries[name] = self.starts[name]()
+
+    def pause(self, name: str) -> None:
+        """End a live node's query after the batch at hand; :meth:`resume` goes on."""
+        self.queries[name].stop()
+
+    def stop(self) -> None:
+        for name in self.queries:
+            self.pause(name)
+
+    def _execute(self, name: str, node: dict, connections: dict, context: dict, spent: dict) -> None:
         inputs, stream = {}, None
-        for part in node.get("inputs") or []:
-            for method in part.get("methods") or []:
-                df, is_stream = self._read(part, method, connections, context)
-                inputs[part.get("alias") or part.get("ref") or "input"] = df
-                stream = df if is_stream else stream
-                break
+        with _clock(spent, "pre_seconds"):
+            for part in node.get("inputs") or []:
+                for method in part.get("methods") or []:
+                    df, is_stream = self._read(part, method, connections, context)
+                    inputs[part.get("alias") or part.get("ref") or "input"] = df
+                    stream = df if is_stream else stream
+                    break
         call = self.functions.get(name) or self.functions.get("*") or (lambda given, _: next(iter(given.values())))
         layer, _, bare = name.partition(".")
         about = context | {"node_id": name, "layer": layer, "node": bare}
+
+        def run(given: dict[str, DataFrame], batch: str | None = None) -> None:
+            with _clock(spent, "function_seconds"):
+                made = call(given, about)
+            with _clock(spent, "post_seconds"):
+                self._write(made, node, connections, about, batch)
+
         if stream is None:
-            self._write(call(inputs, about), node, connections, about)
+            run(inputs)
             return
         key = next(k for k, v in inputs.items() if v is stream)
         path = connections[self._first(node, "stream").get("connection")]["path"] if self._first(node, "stream").get("connection") else self.events_path
         checkpoint = f"{path}/_checkpoints/{context['pipeline']}/{name}"
-        streams.drain_batches(stream, lambda rows, k: self._write(call(inputs | {key: rows}, about), node, connections, about, f"{checkpoint}#{k}"), checkpoint)
+        each = lambda rows, k: run(inputs | {key: rows}, f"{checkpoint}#{k}")
+        if node.get("type") == "live":
+            self.starts[name] = lambda: streams.follow_batches(stream, each, checkpoint, node.get("every") or "1 second")
+            self.resume(name)
+        else:
+            streams.drain_batches(stream, each, checkpoint)
 
     @staticmethod
     def _first(node: dict, kind: str) -> dict:
@@ -135,7 +182,10 @@ class Engine:
         if kind == "stream":
             path = f"{connection['path']}/{context['pipeline']}/{method.get('stream_name') or part['ref']}"
             schema = self.spark.read.parquet(path).schema
-            return streams.read_log(self.spark, path, schema, method.get("files_per_trigger")), True
+            found = streams.read_log(self.spark, path, schema, method.get("files_per_trigger"))
+            if method.get("window") and method.get("event_time"):
+                found = streams.in_windows(found, method["event_time"], f"{method['window']} seconds")
+            return found, True
         if kind == "api":
             url = connection["base_url"].rstrip("/") + "/" + (method.get("endpoint") or "").lstrip("/")
             auth = connection.get("authentication") or {}

@@ -1,9 +1,10 @@
 """Versioned Parquet tables with an atomic commit log.
 
 A version is a manifest that lists folders of Parquet files, some of history and some
-of current rows. Writing makes new folders and then creates the next manifest; the
-file system lets only one writer create it. So readers see whole versions, a failed
-write leaves nothing visible, and a dimension's history is carried over untouched.
+of current rows. Writing makes new folders and then renames the next manifest to its
+name, which only one writer can. So readers see whole versions, a writer that fails at
+any moment leaves nothing visible, and a dimension's history is carried over untouched.
+It stands for a table format, and promises what its file system's rename does.
 """
 
 from __future__ import annotations
@@ -12,10 +13,12 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.types import conform
 from millrace.operators import scd2
+from millrace.sources import files
 
 
 class ConcurrentWrite(RuntimeError):
@@ -27,18 +30,12 @@ class Table:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _manifest(self, version: int) -> str:
         return f"{self.path}/_versions/{version:010d}.json"
 
     def versions(self) -> list[int]:
-        folder = self._path(f"{self.path}/_versions")
-        if not self._fs.exists(folder):
-            return []
-        return sorted(int(s.getPath().getName()[:-5]) for s in self._fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
+        return [int(name[:-5]) for name in files.names(self.spark, f"{self.path}/_versions", ".json")]
 
     def exists(self) -> bool:
         return bool(self.versions())
@@ -47,22 +44,16 @@ class Table:
         found = self.versions()
         if not found:
             raise FileNotFoundError(f"no table at {self.path}")
-        stream = self._fs.open(self._path(self._manifest(found[-1] if version is None else version)))
-        try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        return json.loads(files.read_text(self.spark, self._manifest(found[-1] if version is None else version)))
 
     def _commit(self, manifest: dict) -> int:
         version = (self.versions() or [0])[-1] + 1
         if manifest["parent"] != version - 1:
             raise ConcurrentWrite(f"{self.path}: version {version - 1} came after {manifest['parent']}")
         try:
-            out = self._fs.create(self._path(self._manifest(version)), False)
-        except Exception as error:
+            files.write_text(self.spark, self._manifest(version), json.dumps(manifest | {"version": version}))
+        except files.FileExists as error:
             raise ConcurrentWrite(f"{self.path}: version {version} exists") from error
-        out.write(bytearray(json.dumps(manifest | {"version": version}).encode()))
-        out.close()
         return version
 
     def create(self, schema: T.StructType, comment: str | None = None) -> Table:
@@ -108,8 +99,12 @@ class Table:
         manifest = self.describe()
         if batch is not None and batch in manifest["batches"]:
             return manifest["version"]
-        _, older, current = scd2.apply_parts(self.read(), batch_rows, dim)
-        kept = [f for f in manifest["history"]]
-        loose = manifest["current"] and self.read(only="current").where(f"NOT coalesce({dim.current}, false)")
-        history = self._write(older.unionByName(loose) if manifest["current"] else older)
-        return self._commit(manifest | {"parent": manifest["version"], "history": kept + history, "current": self._write(current), "batches": manifest["batches"] + [batch] * (batch is not None)})
+        # One plan gives all rows to write, so the batch is ranked once; current rows and
+        # history are then folders of one write.
+        folder = f"data/{uuid.uuid4().hex}"
+        written = scd2.rewritten(self.read(), batch_rows, dim)
+        if manifest["current"]:
+            written = written.unionByName(self.read(only="current").where(f"NOT coalesce({dim.current}, false)"))
+        written.withColumn("_part", F.when(F.coalesce(F.col(dim.current), F.lit(False)), "current").otherwise("history")).write.partitionBy("_part").parquet(f"{self.path}/{folder}")
+        parts = {part: [f"{folder}/_part={part}"] if files.exists(self.spark, f"{self.path}/{folder}/_part={part}") else [] for part in ("history", "current")}
+        return self._commit(manifest | {"parent": manifest["version"], "history": manifest["history"] + parts["history"], "current": parts["current"], "batches": manifest["batches"] + [batch] * (batch is not None)})

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import expressions
+from millrace.sources.scratch import scratch_path
 
 
 def select(df: DataFrame, columns: Any = None, filters: Any = None, sort_by: Any = None, limit: int | None = None) -> DataFrame:
@@ -33,17 +34,23 @@ def pages(df: DataFrame, keys: list[str], size: int = 1000) -> DataFrame:
     """Add ``page``, from 0, in the order of ``keys`` (which must be unique for the
     pages to be stable).
 
-    Rows are ranged by the keys and counted by range, so no task numbers all rows:
-    a page is the rows before a row's range plus its place in the range.
+    Rows are ranged by the keys and numbered within their ranges, so no task numbers all
+    rows: a page is the rows before a row's range plus its place in the range. The ranged
+    rows are stored once, for another plan of them, with other columns, may have other
+    ranges.
     """
-    order = expressions.orders(list(keys))
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id())
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    order, spark = expressions.orders(list(keys)), df.sparkSession
+    # The id that Spark gives a row is its partition, and its place there in 33 bits.
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    path = scratch_path(spark, "pages")
+    ranged.write.parquet(path)
+    stored = spark.read.schema(ranged.schema).parquet(path).withColumn("_range", F.shiftright("_at", 33))
+    counts = stored.groupBy("_range").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     # One row per partition of the range exchange, whose number the session sets.
-    numbered = ranged.join(F.broadcast(bases), "_range").withColumn("page", F.floor((F.col("_base") + place) / F.lit(size)).cast("long"))
+    numbered = stored.join(F.broadcast(bases), "_range").withColumn("page", F.floor((F.col("_base") + place) / F.lit(size)).cast("long"))
     return numbered.select(*df.columns, "page")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,38 @@ def drain_batches(df: DataFrame, each: Callable[[DataFrame, int], None], checkpo
     df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
 
 
+def follow_batches(df: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, every: str = "1 second"):
+    """A continuously running query; the caller stops it."""
+    return df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def drain_updates(df: DataFrame, path: str, checkpoint: str) -> None:
+    """The groups of an aggregate that each micro-batch changes, one folder per batch: a
+    replayed batch replaces its own, and with a watermark neither state nor a batch's
+    output grows with all groups ever seen."""
+    drain_batches(df, lambda rows, k: rows.write.mode("overwrite").parquet(f"{path}/batch={k}"), checkpoint, "update")
+
+
+def read_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The latest row of each group that :func:`drain_updates` has written."""
+    rows = spark.read.parquet(path)
+    last = F.max_by(F.struct(*[c for c in rows.columns if c not in (*keys, "batch")]), "batch")
+    return rows.groupBy(*keys).agg(last.alias("last")).select(*keys, "last.*")
+
+
+def in_windows(df: DataFrame, time: str, length: str) -> DataFrame:
+    """Each row with window_start, that of its tumbling window of event time."""
+    return df.withColumn("window_start", F.window(F.col(time).cast("timestamp"), length)["start"])
+
+
+def joined_within(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, within: str) -> DataFrame:
+    """Pairs of two watermarked streams with equal keys, the right one at most ``within``
+    after the left; rows leave the state once the watermarks have passed that time."""
+    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in by]
+    time = [F.col(f"r.{right_time}") >= F.col(f"l.{left_time}"), F.col(f"r.{right_time}") <= F.col(f"l.{left_time}") + F.expr(f"INTERVAL {within}")]
+    return left.alias("l").join(right.alias("r"), reduce(lambda a, b: a & b, same + time))
+
+
 def drain_aggregate(df: DataFrame, path: str, checkpoint: str) -> None:
     """A complete aggregate after all there is now, as Parquet."""
     drain_batches(df, lambda rows, _: rows.write.mode("overwrite").parquet(path), checkpoint, "complete")

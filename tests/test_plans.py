@@ -17,10 +17,10 @@ def chain(*names, **extra):
 
 
 def test_graph():
-    graph = dag.compile_graph(chain("extract", "transform", "load"))
-    assert graph.edges == [("l.extract", "l.transform"), ("l.transform", "l.load")]
-    assert graph.order() == ["l.extract", "l.transform", "l.load"]
-    assert graph.depth() == {"l.extract": 0, "l.transform": 1, "l.load": 2}
+    graph = dag.compile_graph(chain("pick", "wash", "press", "bottle"))
+    assert graph.edges == [("l.pick", "l.wash"), ("l.wash", "l.press"), ("l.press", "l.bottle")]
+    assert graph.order() == ["l.pick", "l.wash", "l.press", "l.bottle"]
+    assert graph.depth() == {"l.pick": 0, "l.wash": 1, "l.press": 2, "l.bottle": 3}
     for empty in ({}, {"layers": []}, {"layers": [{"name": "a"}]}):
         assert dag.compile_graph(empty).nodes == {}
     two = {"layers": [{"name": a, "nodes": [{"name": "n"}]} for a in "ab"]}
@@ -49,7 +49,7 @@ def test_invalid_pipelines(spark, pipeline, part):
 
 def test_yaml(tmp_path):
     with pytest.raises(InvalidPipeline):
-        config.load("layers:\n  - nodes: [unclosed bracket\n")
+        config.load("name: p\nlayers: {name: 'l\n")
     config.save(chain("a"), tmp_path / "p.yml")
     assert config.load(tmp_path / "p.yml") == chain("a")
 
@@ -139,6 +139,10 @@ def test_pipeline_end_to_end(spark, server, tmp_path):
     assert house.sql("SELECT count(*) AS n FROM {c}", c="w.city").first().n == 2
     events = metrics.latest(engine.events(), ["run_id", "node_id"], "at")
     assert events.count() == 6 and events.where("status = 'success'").count() == 6
+    means = {r.node_id: r for r in metrics.node_summary(engine.events().where("status = 'success'")).collect()}
+    assert set(means) == {"bronze.fetch", "silver.city", "gold.hot"} and all(r.batches == 2 and r.sum_post_seconds > 0 for r in means.values())
+    assert metrics.filter_logs(engine.logs(), "info", component="silver.*").count() == 4
+    assert Engine(spark, events_path=f"{lake}/_events").events().count() == engine.events().count()
 
 
 def test_failures(spark, tmp_path):
@@ -156,7 +160,7 @@ def test_failures(spark, tmp_path):
     made = {"outputs": {"methods": []}}
     pipeline = chain("a", "b", "c", a=made | {"on_failure": "retry"}, b=made | {"on_failure": "continue"}, c=made)
     engine = Engine(spark, {"l.a": flaky, "l.b": broken, "l.c": lambda inputs, context: spark.range(1)})
-    assert [s.value for s in engine.run(pipeline).values()] == ["success"] * 3
+    assert [s.value for s in engine.run(pipeline).values()] == ["success", "failed", "success"]
     stopped = Engine(spark, {"l.a": broken, "*": lambda inputs, context: spark.range(1)})
     assert [s.value for s in stopped.run(chain("a", "b", a=made, b=made)).values()] == ["failed", "skipped"]
     failed = stopped.events().where("status = 'failed'").first()
