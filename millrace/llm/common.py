@@ -164,19 +164,31 @@ def _drop(task: int) -> None:
         _give_back()
 
 
+# Functions of this module, which tasks meet by name: what they change is the worker's own.
+
+
+def _begin() -> int:
+    _last["task"] = next(_tasks)
+    return _last["task"]
+
+
+def _end(task: int) -> None:
+    _give_back()
+    idle = threading.Timer(IDLE, _drop, [task])
+    idle.daemon = True
+    idle.start()
+
+
 def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A function on batches for workers that wait for other tasks afterwards: it gives
     free memory back, and later what :func:`per_worker` keeps."""
 
     def wrapped(batches: Iterator) -> Iterator:
-        task = _last["task"] = next(_tasks)
+        task = _begin()
         try:
             yield from run(batches)
         finally:
-            _give_back()
-            idle = threading.Timer(IDLE, _drop, [task])
-            idle.daemon = True
-            idle.start()
+            _end(task)
 
     return wrapped
 
@@ -204,7 +216,7 @@ class TextEncoder:
     #: Bytes that an entry takes besides its word and ids.
     ENTRY = 160
 
-    def __init__(self, path: str, memo_bytes: int = 48 << 20):
+    def __init__(self, path: str, memo_bytes: int = 64 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has the cores
         from tokenizers import Tokenizer
 
