@@ -7,6 +7,7 @@ import ctypes
 import itertools
 import json
 import os
+import re
 import threading
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -200,6 +201,9 @@ def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Itera
 #: composed, lower-cased or matched across white space, which itself gives no ids.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+#: Where ``SPLIT`` cuts anyway, and nothing is composed, white space may be put in: between
+#: a letter of a to z and a mark that ends its word. Few words are then new ones.
+CUT = {"pattern": r"([A-Za-z])([.,;:!?])(\s|$)", "replacement": r"\1 \2\3"}
 BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 
 
@@ -227,7 +231,7 @@ class TextEncoder:
     def by_words(self) -> bool:
         spec = json.loads(self.model.to_str())
         parts = [(spec["normalizer"] or {}).get("normalizers"), (spec["pre_tokenizer"] or {}).get("pretokenizers"), spec["post_processor"], spec["truncation"], spec["padding"], spec["model"].get("dropout")]
-        added = [t for t in spec["added_tokens"] if t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or self.SEPARATOR not in t["content"] or t["content"].split() != [t["content"]]]
+        added = [t for t in spec["added_tokens"] if t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or self.SEPARATOR not in t["content"] or t["content"].split() != [t["content"]] or re.search(r"[A-Za-z][.,;:!?]", t["content"])]
         return parts == [NORMALIZERS, [SPLIT, BYTES], None, None, None, None] and not added and len(self._ids(self.SEPARATOR)) == 1
 
     def _ids(self, text: str) -> list[int]:
@@ -264,7 +268,7 @@ class TextEncoder:
         return found
 
     def _of_words(self, words: list[str]) -> list[bytes]:
-        """Ids of each of distinct words."""
+        """Ids of each word."""
         parts = list(map(self.young.get, words))
         gaps = [k for k, ids in enumerate(parts) if ids is None]
         if gaps:
@@ -287,8 +291,10 @@ class TextEncoder:
         if not self.by_words:
             found = [np.array(self._ids(t) if t else [], dtype="<u4") for t in texts.to_pylist()]
             return np.concatenate([np.empty(0, "<u4"), *found]), np.cumsum([len(ids) for ids in found], dtype=np.int64)
-        words = split_words(texts)
-        ids = pa.array(self._of_words(words.distinct.to_pylist()), pa.binary()).take(pa.array(words.which))
+        words = split_words(pc.replace_substring_regex(texts, **CUT))
+        # Of words of ASCII letters the normalizer changes the case and nothing else.
+        spelled = pc.if_else(pc.ascii_is_alpha(words.distinct), pc.ascii_lower(words.distinct), words.distinct)
+        ids = pa.array(self._of_words(spelled.to_pylist()), pa.binary()).take(pa.array(words.which))
         _, offsets, data = ids.buffers()
         upto = np.frombuffer(offsets, dtype=np.int32, count=len(ids) + 1)
         return np.frombuffer(data or b"", dtype="<u4", count=upto[-1] // 4), upto[words.ends].astype(np.int64) // 4

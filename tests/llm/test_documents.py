@@ -222,6 +222,8 @@ def test_text_encoder_of_random_texts():
     rng = np.random.default_rng(8)
     some = ["".join(rng.choice(letters, int(rng.integers(0, 24)))) for _ in range(50_000)]
     assert all_encoded(TextEncoder(VOCABULARY, 1 << 18), some, 20_000) == [encoded(t, 9) for t in some]
+    marked = ["".join(rng.choice([*"aBzIK.,;:!?'\"|1é \n\x0b\x1c\u2028\xa0\u0307\u0338\u037e", ". ", "'s", "'RE", "<|endoftext|>", "<|ENDOFTEXT|>"], int(rng.integers(0, 24)))) for _ in range(30_000)]
+    assert all_encoded(TextEncoder(VOCABULARY, 1 << 18), marked, 20_000) == [encoded(t, 9) for t in marked]
 
 
 def test_text_encoder_of_another_vocabulary():
