@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import jaccard, licenses, mixing, ogg, packing, quality, sharding, token_planes, toxicity, warc
+from millrace.llm import divergence, jaccard, licenses, mixing, ogg, packing, quality, sharding, token_planes, toxicity, warc
 from millrace.llm.common import table
 
 #: The vocabulary file of the tokenized queries.
@@ -56,9 +56,13 @@ def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.token_plane_table(table(spark, sf_dir, "documents"), TOKENIZER, end_id=2)
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_line_quality, op3_ogg, op4_warc, op5_packing, op6_jaccard, op7_licenses, op8_mixing, op9_toxicity, op10_token_planes, pipeline)}
-ORACLES: dict[str, str] = {"op2_line_quality": quality.oracle(), "op4_warc": warc.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_line_quality, op3_ogg, op4_warc, op5_packing, op6_jaccard, op7_licenses, op8_mixing, op9_toxicity, op10_token_planes, op11_divergence, pipeline)}
+ORACLES: dict[str, str] = {"op2_line_quality": quality.oracle(), "op4_warc": warc.ORACLE, "op11_divergence": divergence.oracle()}
