@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import divergence, jaccard, licenses, mixing, ogg, packing, quality, sharding, token_planes, toxicity, warc
+from millrace.llm import alignment, divergence, jaccard, licenses, mixing, ogg, packing, quality, secret_scan, sharding, token_planes, toxicity, warc
 from millrace.llm.common import table
 
 #: The vocabulary file of the tokenized queries.
@@ -60,9 +60,17 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit_sources(table(spark, sf_dir, "documents"))
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_digests(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_line_quality, op3_ogg, op4_warc, op5_packing, op6_jaccard, op7_licenses, op8_mixing, op9_toxicity, op10_token_planes, op11_divergence, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_line_quality, op3_ogg, op4_warc, op5_packing, op6_jaccard, op7_licenses, op8_mixing, op9_toxicity, op10_token_planes, op11_divergence, op12_secrets, op13_alignment, pipeline)}
 ORACLES: dict[str, str] = {"op2_line_quality": quality.oracle(), "op4_warc": warc.ORACLE, "op11_divergence": divergence.oracle()}
