@@ -2,13 +2,15 @@
 
 Terms are the words of a text in lower case, without punctuation at their ends, and
 their first characters (``PREFIXES`` of them). A model knows the hashed terms that
-the labels of its training rows tell apart, gives each a weight and a vector, and adds
-to the weights of the terms of a text the products of the vectors of every pair of
-them. So it learns that two terms together mean more, or less, than each alone.
+the labels of its training rows tell apart, alone or in pairs, gives each a weight and a
+vector, and adds to the weights of the terms of a text the products of the vectors of
+every pair of them. So it learns that two terms together mean more, or less, than each
+alone. A model has 80 bytes a term; a Python worker holds one.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -83,30 +85,83 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, buckets: np.ndarray, factors: int = 8, epochs: int = 30, batch: int = 256, rate: float = 0.05, decay: float = 1e-5, seed: int = 5) -> Model:
-    """Adam on the logistic loss; x is 0/1 of (rows, features)."""
+def fit(rows: np.ndarray, features: np.ndarray, y: np.ndarray, buckets: np.ndarray, factors: int = 8, epochs: int = 30, batch: int = 256, rate: float = 0.05, decay: float = 1e-5, seed: int = 5) -> Model:
+    """Adam on the logistic loss, by batches that are dealt once and come in a new order
+    in each epoch. ``rows`` (in order) and ``features`` are pairs of a text and a feature
+    that it has, ``y`` the texts' labels."""
     rng = np.random.default_rng(seed)
-    n, m = x.shape
+    n, m = len(y), len(buckets)
     base = (y.sum() + 1) / (n + 2)
-    params = [np.array([np.log(base / (1 - base))]), np.zeros(m), rng.normal(0, 0.05, (m, factors))]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    step = 0
-    for _ in range(epochs):
-        order = rng.permutation(n)
-        for start in range(0, n, batch):
-            rows = order[start : start + batch]
-            xb = x[rows].astype(np.float64)
-            bias, weights, vectors = params
-            sums = xb @ vectors
-            logits = bias[0] + xb @ weights + 0.5 * (sums**2 - xb @ vectors**2).sum(axis=1)
-            error = (_sigmoid(logits) - y[rows]) / len(rows)
-            grads = [np.array([error.sum()]), xb.T @ error + decay * weights, xb.T @ (error[:, None] * sums) - (xb.T @ error)[:, None] * vectors + decay * vectors]
-            step += 1
-            for p, g, f, s in zip(params, grads, first, second, strict=True):
-                f += 0.1 * (g - f)
-                s += 0.001 * (g**2 - s)
-                p -= rate * (f / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
-    return Model(float(params[0][0]), buckets, params[1], params[2])
+    params = np.concatenate([np.zeros((m, 1)), rng.normal(0, 0.05, (m, factors))], axis=1)  # weights, then vectors
+    bias, first, second = np.log(base / (1 - base)), np.zeros_like(params), np.zeros_like(params)
+    bias_first = bias_second = 0.0
+    upto, order, batches = np.searchsorted(rows, np.arange(n + 1)), rng.permutation(n), []
+    for start in range(0, n, batch):
+        chosen = order[start : start + batch]
+        sizes = (upto[1:] - upto[:-1])[chosen]
+        owner = np.repeat(np.arange(len(chosen)), sizes)
+        own = features[np.repeat(upto[chosen] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))]
+        by = np.argsort(own, kind="stable")
+        known, at = np.unique(own[by], return_index=True)
+        batches.append((own, owner, by, known, at, y[chosen]))
+    for step, k in enumerate((k for _ in range(epochs) for k in rng.permutation(len(batches)).tolist()), 1):
+        own, owner, by, known, at, labels = batches[k]
+        values = params[own]
+        sums = np.zeros((len(labels), factors + 1))
+        has, begins = np.unique(owner, return_index=True)
+        if len(own):
+            sums[has] = np.add.reduceat(values, begins, axis=0)
+        squares = np.bincount(owner, (values[:, 1:] ** 2).sum(axis=1), len(labels))
+        error = (_sigmoid(bias + sums[:, 0] + 0.5 * ((sums[:, 1:] ** 2).sum(axis=1) - squares)) - labels) / len(labels)
+        slopes = error[owner][:, None] * np.concatenate([np.ones((len(own), 1)), sums[owner, 1:] - values[:, 1:]], axis=1)
+        gradient = decay * params
+        if len(own):
+            gradient[known] += np.add.reduceat(slopes[by], at, axis=0)
+        scale, root = rate / (1 - 0.9**step), 1 - 0.999**step
+        first += 0.1 * (gradient - first)
+        second += 0.001 * (gradient**2 - second)
+        params -= scale * first / (np.sqrt(second / root) + 1e-8)
+        bias_first += 0.1 * (error.sum() - bias_first)
+        bias_second += 0.001 * (error.sum() ** 2 - bias_second)
+        bias -= scale * bias_first / (np.sqrt(bias_second / root) + 1e-8)
+    return Model(float(bias), buckets, params[:, 0], params[:, 1:])
+
+
+def pair_scores(rows: np.ndarray, features: np.ndarray, y: np.ndarray, m: int, least_rows: int, width: int = 1024) -> np.ndarray:
+    """For each of m features the largest z-score of its pairs: how much the log-odds of
+    label 1 with both differ from what the two alone add up to. Pairs count of which
+    texts with both, with either one alone and with none are ``least_rows`` or more each.
+    Texts with both are counted by products of matrices of at most ``width`` features."""
+    by = np.argsort(features, kind="stable")
+    rows, ends, n, ones = rows[by], np.searchsorted(features[by], np.arange(m + 1)), len(y), y == 1
+    all_of = np.diff(ends).astype(np.float64)
+    toxic_of = np.bincount(features[by], y[rows], m)
+    best = np.zeros(m)
+
+    def block(start: int) -> np.ndarray:
+        part = slice(ends[start], ends[min(start + width, m)])
+        out = np.zeros((n, min(width, m - start)), np.float32)
+        out[rows[part], features[by][part] - start] = 1
+        return out
+
+    def odds(texts: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        inside, outside = toxic + 0.5, texts - toxic + 0.5
+        return np.log(inside / outside), 1 / inside + 1 / outside
+
+    for a in range(0, m, width):
+        left = block(a)
+        for b in range(a, m, width):
+            right = left if a == b else block(b)
+            both, both_toxic = (left.T @ right).astype(np.float64), (left[ones].T @ right[ones]).astype(np.float64)
+            la, lt = all_of[a : a + width, None], toxic_of[a : a + width, None]
+            ra, rt = all_of[None, b : b + width], toxic_of[None, b : b + width]
+            cells = [(both, both_toxic), (la - both, lt - both_toxic), (ra - both, rt - both_toxic), (n - la - ra + both, ones.sum() - lt - rt + both_toxic)]
+            (x, vx), (p, vp), (q, vq), (none, vn) = (odds(*c) for c in cells)
+            z = np.abs(x - p - q + none) / np.sqrt(vx + vp + vq + vn)
+            z[np.minimum.reduce([c for c, _ in cells]) < least_rows] = 0
+            best[a : a + width] = np.maximum(best[a : a + width], z.max(axis=1))
+            best[b : b + width] = np.maximum(best[b : b + width], z.max(axis=0))
+    return best
 
 
 def held_out(doc_id: Column) -> Column:
@@ -114,14 +169,36 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(3)) == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features: int = 512, least_z: float = 4.0, seed: int = 5) -> Model:
+def _taken(known: np.ndarray):
+    """Lists of buckets with only those in ``known`` (sorted), by their places in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            ends, values = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+            at = np.searchsorted(known, values)
+            stays = at < len(known)
+            stays[stays] = known[at[stays]] == values[stays]
+            upto = np.concatenate([[0], np.cumsum(stays)])
+            kept = np.sort(at[stays] + len(known) * np.repeat(np.arange(len(ends) - 1), np.diff(upto[ends]))) % max(1, len(known))
+            found = pa.ListArray.from_arrays(pa.array(upto[ends] - upto[ends[0]], pa.int32()), pa.array(kept[upto[ends[0]] : upto[ends[-1]]], pa.int32()))
+            yield pa.record_batch([batch.column(0), batch.column(1), found], ["doc_id", "toxic", "buckets"])
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, least_z: float = 4.0, least_pair_z: float = 6.0, least_rows: int = 20, seed: int = 5) -> Model:
     """Fit on at most ``max_rows`` labelled documents, those with the lowest hashes of
     their doc_ids among the rows not held out. Of rows with one doc_id, that counts
     whose terms come first; so the bound is one of rows.
 
-    Terms are counted over that sample by Spark; the ``max_features`` whose shares in
-    the two classes differ most, by ``least_z`` standard errors or more, are kept. To
-    the driver come one row per term and the kept terms of each sampled document.
+    A term is kept if its shares in the two classes differ by ``least_z`` standard errors,
+    or if it is in a pair that tells more, or less, than its two terms add up to, by
+    ``least_pair_z`` (:func:`pair_scores`). So a term that says nothing by itself is kept
+    for what it says with another. Pairs are looked at of terms in at least
+    sqrt(``least_rows`` * rows) rows, where two that are independent meet in
+    ``least_rows``. No number of terms is set. Terms are counted over the sample by Spark;
+    to the driver come one row per term and the kept terms of each sampled document.
     Without documents of both classes the model is the smoothed share of label 1.
     """
     spark = docs.sparkSession
@@ -136,28 +213,35 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_featur
                 found = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(buckets, pa.int32()))
                 yield pa.record_batch([part.column(0), part.column(1), found], ["doc_id", "toxic", "buckets"])
 
+    schema = "doc_id long, toxic int, buckets array<int>"
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_rows small rows
-    sample = sample.select("doc_id", F.col("toxic").cast("int"), "text").mapInArrow(releasing(hashed), "doc_id long, toxic int, buckets array<int>")
+    sample = sample.select("doc_id", F.col("toxic").cast("int"), "text").mapInArrow(releasing(hashed), schema)
     sample = sample.groupBy("doc_id", "toxic").agg(F.min("buckets").alias("buckets"))
     sample = materialize(sample.coalesce(1 + max_rows // 2500), "toxicity-sample")
     sizes = {int(r["toxic"]): r["count"] for r in sample.groupBy("toxic").count().collect()}
     none, some = sizes.get(0, 0), sizes.get(1, 0)
     if not none or not some:
+        discard(sample)
         share = (some + 1) / (none + some + 2)
         return Model(float(np.log(share / (1 - share))), np.empty(0, np.int64), np.empty(0), np.empty((0, 1)))
-    counts = sample.select("toxic", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.sum("toxic").alias("ones"), F.count("*").alias("all")).where(F.col("all") >= 3)
-    pooled = F.col("all") / F.lit(float(none + some))
+    n, often = none + some, math.isqrt(least_rows * (none + some))
+    counts = sample.select("toxic", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.sum("toxic").alias("ones"), F.count("*").alias("all")).where((F.col("all") >= 3) & (F.col("all") < n))
+    pooled = F.col("all") / F.lit(float(n))
     z = (F.col("ones") / F.lit(float(some)) - (F.col("all") - F.col("ones")) / F.lit(float(none))) / F.sqrt(pooled * (1 - pooled) * F.lit(1 / some + 1 / none))
-    kept = counts.where(pooled < 1).withColumn("z", F.abs(z)).where(F.col("z") >= least_z).orderBy(F.desc("z"), "bucket").limit(max_features)
-    buckets = np.array(sorted(r["bucket"] for r in kept.select("bucket").collect()), dtype=np.int64)
-    known = F.array(*[F.lit(int(b)) for b in buckets]) if len(buckets) else F.array().cast("array<int>")
-    rows = sample.select("doc_id", "toxic", F.array_intersect("buckets", known).alias("buckets")).toPandas()
-    rows = rows.assign(key=rows["buckets"].map(lambda b: tuple(sorted(b)))).sort_values(["doc_id", "toxic", "key"])
-    x = np.zeros((len(rows), len(buckets)), dtype=np.uint8)
-    for k, found in enumerate(rows["key"]):
-        x[k, np.searchsorted(buckets, np.array(found, dtype=np.int64))] = 1
+    found = counts.select("bucket", (F.abs(z) >= least_z).alias("tells"), F.col("all").between(often, n - least_rows).alias("often")).where("tells OR often").toArrow().sort_by("bucket")
+    buckets, tells, common = (found[c].to_numpy() for c in ("bucket", "tells", "often"))
+    lists = sample.mapInArrow(_taken(buckets), schema).toArrow().sort_by("doc_id")
     discard(sample)
-    return fit(x, rows["toxic"].to_numpy(dtype=np.float64), buckets, seed=seed)
+    y, ends = lists["toxic"].to_numpy().astype(np.float64), np.cumsum(pc.list_value_length(lists["buckets"]).to_numpy())
+    rows, features = np.repeat(np.arange(len(y)), np.diff(ends, prepend=0)), pc.list_flatten(lists["buckets"]).to_numpy().astype(np.int64)
+
+    def only(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = np.cumsum(which) - 1
+        return rows[which[features]], place[features[which[features]]]
+
+    paired = np.zeros(len(buckets), dtype=bool)
+    paired[common] = pair_scores(*only(common), y, int(common.sum()), least_rows) >= least_pair_z
+    return fit(*only(tells | paired), y, buckets[tells | paired].astype(np.int64), seed=seed)
 
 
 def with_scores(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
