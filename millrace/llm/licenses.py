@@ -9,6 +9,8 @@ notice from others, it stands exactly, and the errors are for the words beside i
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -68,13 +70,18 @@ def fold(text: str | None) -> str:
     return f" {b' '.join(words).decode()} " if words else ""
 
 
-def base_places(folded: str) -> list[tuple[int, str]]:
+def gaps(folded: str) -> list[int]:
+    """The places of the spaces: that of number k stands before word k."""
+    return [m.start() for m in re.finditer(" ", folded)]
+
+
+def base_places(folded: str, spaces: list[int]) -> list[tuple[int, str]]:
     """(word, label) for every place where a base phrase stands."""
     found = []
     for phrase, label in BASE:
         at = folded.find(f" {phrase} ")
         while at >= 0:
-            found.append((folded.count(" ", 0, at), label))
+            found.append((bisect_left(spaces, at), label))
             at = folded.find(f" {phrase} ", at + 1)
     return found
 
@@ -95,6 +102,31 @@ def distance(a: str, b: str) -> int:
     return row[-1]
 
 
+def letters_of(phrase: str) -> dict[str, int]:
+    """For each character the bits of the places where the phrase has it."""
+    out: dict[str, int] = {}
+    for k, c in enumerate(phrase):
+        out[c] = out.get(c, 0) | 1 << k
+    return out
+
+
+def near(text: str, letters: dict[str, int], length: int, errors: int) -> bool:
+    """Whether some part of a text is within the errors of a phrase: the differences in
+    a column of the table of distances are the bits of two numbers, a column a character."""
+    every, last = (1 << length) - 1, 1 << (length - 1)
+    more, less, distance = every, 0, length
+    for c in text:
+        equal = letters.get(c, 0)
+        across = (((equal & more) + more) ^ more) | equal
+        up, down = less | ~(across | more) & every, more & across
+        distance += bool(up & last) - bool(down & last)
+        if distance <= errors:
+            return True
+        up, down, held = up << 1 & every, down << 1 & every, equal | less
+        more, less = down | ~(held | up) & every, up & held
+    return False
+
+
 def confusable(a: Notice, b: Notice) -> bool:
     """Whether one text could be within the errors of both notices, although their
     labels differ and no exact word tells them apart."""
@@ -119,6 +151,7 @@ class Searcher:
         others = f"(?: (?:{'|'.join(TELLING)})){{0,{len(TELLING) - 1}}}?"
         exact = [f"{others} {n.telling}(?= )" if telling and n.telling else "" for n in notices]
         self.patterns = [regex.compile(f"(?e)(?:{regex.escape(f, literal_spaces=True)}){{e<={n.errors}}}{x}") for n, f, x in zip(notices, self.fuzzy, exact, strict=True)]
+        self.letters = [letters_of(f) for f in self.fuzzy]
         #: Characters that a match may need beyond its fuzzy part.
         self.beyond = [len(TELLING) * (max(map(len, TELLING)) + 1) + 1 if x else 0 for x in exact]
         seeds: dict[str, list[tuple[int, int]]] = {}
@@ -151,13 +184,15 @@ class Searcher:
             merged[k] = [tuple(s) for s in spans]
         return merged
 
-    def spans(self, folded: str) -> list[tuple[str, int, int, int, float]]:
+    def spans(self, folded: str, spaces: list[int]) -> list[tuple[str, int, int, int, float]]:
         """(label, first word, words, errors, likeness) of every notice found, in
         order of place; likeness is the share of the notice's characters without error."""
         found = []
         for k, parts in self.windows(folded).items():
             notice = self.notices[k]
             for a, b in parts:
+                if not near(folded[a:b], self.letters[k], len(self.fuzzy[k]), notice.errors):
+                    continue
                 while (match := self.patterns[k].search(folded, a, b)) is not None:
                     text = match.group()
                     if not self.exact[k].issubset(folded[max(0, match.start() - 1) : match.end() + 1].split()):
@@ -167,7 +202,7 @@ class Searcher:
                     errors = sum(match.fuzzy_counts)
                     first = match.start() + len(text) - len(text.lstrip())
                     words = len(text.split())
-                    found.append((notice.label, folded.count(" ", 0, first) - 1, words, errors, 1 - errors / len(notice.phrase)))
+                    found.append((notice.label, bisect_left(spaces, first) - 1, words, errors, 1 - errors / len(notice.phrase)))
         return sorted(found, key=lambda s: (s[1], s[0]))
 
 
@@ -182,12 +217,13 @@ SPANS = "array<struct<label:string,first_word:long,words:int,errors:int,likeness
 
 def scan(text: str | None, found: Searcher) -> tuple:
     folded = fold(text)
-    base, spans = base_places(folded), found.spans(folded)
+    spaces = gaps(folded)
+    base, spans = base_places(folded, spaces), found.spans(folded, spaces)
     starts = [word for word, _ in base]
     base_labels = {label for _, label in base}
     labels = base_labels | {s[0] for s in spans}
     score = 1.0 if base else max((s[4] for s in spans), default=0.0)
-    return max(0, folded.count(" ") - 1), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), score, spans
+    return max(0, len(spaces) - 1), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), score, spans
 
 
 def scan_licenses(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES) -> DataFrame:
