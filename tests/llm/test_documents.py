@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -388,7 +389,7 @@ def test_fuzzy_notices_against_a_search_of_the_whole_text():
             text[at : at + (kind != 0)] = [] if kind == 1 else [str(rng.choice(letters))]
         folded = licenses.fold("".join(rng.choice(letters, 60)) + " " + "".join(text) + " " + "".join(rng.choice(letters, 60)))
         brute = {n.label for n in licenses.NOTICES if regex.search(f"(?:{n.phrase}){{e<={n.errors}}}", folded)}
-        assert {s[0] for s in searcher.spans(folded)} == brute
+        assert {s[0] for s in searcher.spans(folded, licenses.gaps(folded))} == brute
 
 
 def scan(text):
@@ -441,6 +442,54 @@ def test_spans_of_telling_words():
         assert [s[:4] for s in scan(f"Foo bar. {line}. All done.")[7]] == spans
 
 
+@pytest.mark.parametrize("unit", ["cc by x ", "all rights reserved ", "permission is hereby granted free of charge to any person "])
+def test_many_places_take_time_in_proportion(unit):
+    n = 160_000 if len(unit) < 10 else 20_000
+    search = licenses.searcher()
+    began = time.monotonic()
+    _, places, first, last, *_ = licenses.scan(unit * n, search)
+    assert time.monotonic() - began < 15
+    if "granted" not in unit:
+        assert (places, first, last) == (n, 0, (n - 1) * len(unit.split()))
+
+
+def test_near_against_the_table_of_distances():
+    rng = np.random.default_rng(12)
+    for _ in range(400):
+        phrase, text = ("".join(rng.choice(list("ab c"), int(rng.integers(1, 12)))) for _ in range(2))
+        for errors in range(4):
+            close = any(licenses.distance(phrase, text[a:b]) <= errors for a in range(len(text) + 1) for b in range(a, len(text) + 1))
+            assert licenses.near(text, licenses.letters_of(phrase), len(phrase), errors) == (close and not (len(phrase) <= errors and not text)), (phrase, text, errors)
+
+
+def test_production_searcher_against_a_search_of_the_whole_text():
+    """Notices with exact and telling words: every span of the text that is within the
+    errors of the phrase's fuzzy part is tried, whatever its seeds."""
+    rng = np.random.default_rng(3)
+    search, letters = licenses.searcher(), list("abcdefg hi")
+    found_any = Counter()
+    for _ in range(250):
+        k = int(rng.integers(len(licenses.NOTICES)))
+        notice = licenses.NOTICES[k]
+        text = list(notice.phrase)
+        for _ in range(int(rng.integers(0, notice.errors + 2))):
+            at = int(rng.integers(len(text)))
+            text[at : at + int(rng.integers(0, 2))] = [str(rng.choice(letters))] * int(rng.integers(0, 2))
+        folded = licenses.fold("".join(rng.choice(letters, 30)) + " " + "".join(text) + " " + "".join(rng.choice(letters, 30)))
+        labels = {s[0] for s in search.spans(folded, licenses.gaps(folded))}
+        for other, n in enumerate(licenses.NOTICES):
+            tail = f"(?: (?:{'|'.join(licenses.TELLING)})){{0,2}}? {n.telling}(?= )" if n.telling else ""
+            close = [m.group() for m in regex.finditer(f"(?e)(?:{n.stem}){{e<={n.errors}}}{tail}", folded, overlapped=True)]
+            starts = {(m.start(), m.end()) for m in regex.finditer(f"(?e)(?:{n.stem}){{e<={n.errors}}}{tail}", folded, overlapped=True)}
+            exact = any(set(n.exact) <= set(folded[max(0, a - 1) : b + 1].split()) for a, b in starts)
+            if close and exact:
+                assert n.label in labels, (folded, n)
+                found_any[n.label] += 1
+            elif not close and n.label not in {x.label for y, x in enumerate(licenses.NOTICES) if y != other}:
+                assert n.label not in labels, (folded, n)
+    assert len(found_any) >= 8
+
+
 def test_own_notices(spark):
     notices = (licenses.Notice("beer", "buy me a beer in return", 2), licenses.Notice("wine", "buy me a wine in return", 2, exact=("wine",)))
     docs = spark.createDataFrame([(1, "You may by me a beer in return."), (2, "Buy me a wine in retur"), (3, "MIT license")], "doc_id long, text string")
@@ -549,26 +598,42 @@ def brute_terms(text):
     return found
 
 
+def pair_z(with_both, with_one, with_other, with_none):
+    """z of the interaction of a pair, from (texts, toxic texts) of its four cells."""
+    odds = [np.log((t + 0.5) / (n - t + 0.5)) for n, t in (with_both, with_one, with_other, with_none)]
+    spread = sum(1 / (t + 0.5) + 1 / (n - t + 0.5) for n, t in (with_both, with_one, with_other, with_none))
+    return abs(odds[0] - odds[1] - odds[2] + odds[3]) / spread**0.5
+
+
 def test_toxicity_against_brute_force(spark, documents):
-    """Terms counted, screened and scored one text at a time; the fit is shared."""
+    """Terms counted, screened alone and in pairs, and scored one text at a time; the fit
+    is shared."""
     rows = toxic_table(600) + [(k + 5000, t, 0) for k, (_, t) in enumerate(texts(documents)[:60]) if "İ" not in (t or "")]
     docs, labels = toxic_docs(spark, rows)
     learn = sorted((r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1), key=lambda r: r[0])
-    ones = sum(r[2] for r in learn)
-    zeros = len(learn) - ones
-    inside, outside = Counter(), Counter()
-    for _, text, toxic in learn:
-        (inside if toxic else outside).update(brute_terms(text))
-    z = {}
-    for b in inside | outside:
-        n = inside[b] + outside[b]
-        if 3 <= n < ones + zeros:
-            p = n / (ones + zeros)
-            z[b] = abs(inside[b] / ones - outside[b] / zeros) / (p * (1 - p) * (1 / ones + 1 / zeros)) ** 0.5
-    known = sorted(b for b, x in z.items() if x >= 4.0)
-    assert 0 < len(known) <= 512
-    x = np.array([[b in brute_terms(r[1]) for b in known] for r in learn], dtype=np.uint8)
-    model = toxicity.fit(x, np.array([r[2] for r in learn], dtype=float), np.array(known))
+    terms = [brute_terms(r[1]) for r in learn]
+    total, ones = len(learn), sum(r[2] for r in learn)
+    of = defaultdict(set)
+    for k, own in enumerate(terms):
+        for b in own:
+            of[b].add(k)
+    toxic = {k for k, r in enumerate(learn) if r[2]}
+    known = set()
+    for b, inside in of.items():
+        p = len(inside) / total
+        if 3 <= len(inside) < total and abs(len(inside & toxic) / ones - len(inside - toxic) / (total - ones)) / (p * (1 - p) * (1 / ones + 1 / (total - ones))) ** 0.5 >= 4.0:
+            known.add(b)
+    singles = len(known)
+    common = [b for b, inside in of.items() if int((20 * total) ** 0.5) <= len(inside) <= total - 20]
+    for k, a in enumerate(common):
+        for b in common[:k]:
+            cells = [of[a] & of[b], of[a] - of[b], of[b] - of[a], set(range(total)) - of[a] - of[b]]
+            if min(map(len, cells)) >= 20 and pair_z(*[(len(c), len(c & toxic)) for c in cells]) >= 6.0:
+                known |= {a, b}
+    known = sorted(known)
+    assert 0 < singles <= len(known)
+    features = [sorted(known.index(b) for b in own if b in known) for own in terms]
+    model = toxicity.fit(np.repeat(np.arange(total), [len(f) for f in features]), np.array([x for f in features for x in f]), np.array([r[2] for r in learn], dtype=float), np.array(known))
     for r in toxicity.score_toxicity(docs, labels).collect():
         own = [k for k, b in enumerate(known) if b in brute_terms(next(t for d, t, _ in rows if d == r.doc_id))]
         pairs = sum(float(model.vectors[a] @ model.vectors[b]) for a in own for b in own if a < b)
@@ -584,13 +649,46 @@ def test_training_rows_are_bounded(spark):
     sizes = []
     own = toxicity.fit
     try:
-        toxicity.fit = lambda x, *a, **b: sizes.append(len(x)) or own(x, *a, **b)
+        toxicity.fit = lambda r, f, y, *a, **b: sizes.append(len(y)) or own(r, f, y, *a, **b)
         scores = [{r.doc_id: r.score for r in toxicity.score_toxicity(d, labels, max_rows=50).collect()} for d in (docs, once)]
     finally:
         toxicity.fit = own
     assert sizes == [50, 50] and scores[0] == scores[1]
 
 
+@pytest.mark.parametrize("kind", ["both", "one"])
+def test_toxicity_that_lies_in_pairs_only(spark, kind):
+    """Two words, each in half of the texts, of which neither says anything by itself:
+    label 1 is for texts with just one of them ("one"), or both are needed ("both")."""
+    rng = np.random.default_rng(8)
+    plain = [f"{a}{b}" for a in ("mel", "tor", "vin", "sal", "ruk") for b in ("a", "ona", "idis", "ure", "antes", "ovi")]
+    rows = []
+    for k in range(6000):
+        has = rng.integers(2), rng.integers(2)
+        words = [*rng.choice(plain, int(rng.integers(5, 20))), *["gnarl"] * has[0], *["wobble"] * has[1]]
+        rng.shuffle(words)
+        rows.append((k, " ".join(words), int(has[0] != has[1] if kind == "one" else all(has))))
+    held = toxicity.score_toxicity(*toxic_docs(spark, rows)).where("held_out").collect()
+    assert len(held) > 1500 and sum((r.score >= 0.5) == rows[r.doc_id][2] for r in held) >= 0.95 * len(held)
+
+
+@pytest.mark.parametrize("width", [2, 3, 64])
+def test_pair_scores(width):
+    rng = np.random.default_rng(width)
+    x = rng.random((400, 7)) < [0.5, 0.5, 0.4, 0.3, 0.6, 0.02, 0.5]
+    y = (x[:, 0] ^ x[:, 1] | (rng.random(400) < 0.1)).astype(float)
+    best = np.zeros(7)
+    for a in range(7):
+        for b in range(a):
+            cells = [(u == s) & (v == t) for u, v in [(x[:, a], x[:, b])] for s, t in ((1, 1), (1, 0), (0, 1), (0, 0))]
+            if min(c.sum() for c in cells) >= 20:
+                z = pair_z(*[(c.sum(), y[c].sum()) for c in cells])
+                best[[a, b]] = np.maximum(best[[a, b]], z)
+    found = toxicity.pair_scores(*np.nonzero(x), y, 7, 20, width)
+    assert np.allclose(found, best) and found[5] == 0 < found[0]
+    assert len(toxicity.pair_scores(np.zeros(0, int), np.zeros(0, int), y, 0, 20)) == 0
+
+
 def test_toxicity_of_odd_rows(odd, clashing, empty, spark):
     labels = spark.createDataFrame([(1, 1), (1, 0), (6, 0), (None, 1), (9, None), (4, 0), (8, 1), (2, 1), (3, 0)], "doc_id long, toxic int")
     for docs in (odd, clashing):
@@ -606,11 +704,11 @@ def test_pairs_are_learned():
     rng = np.random.default_rng(0)
     x = (rng.random((3000, 6)) < 0.5).astype(np.uint8)
     y = (x[:, 0] & x[:, 1]).astype(float)
-    model = toxicity.fit(x, y, np.arange(6))
     rows, features = np.nonzero(x)
+    model = toxicity.fit(rows, features, y, np.arange(6))
     assert ((model.logits(rows, features, len(x)) > 0) == (y > 0)).mean() > 0.99
     exclusive = (x[:, 0] ^ x[:, 1]).astype(float)  # which no sum of two weights gives
-    model = toxicity.fit(x, exclusive, np.arange(6))
+    model = toxicity.fit(rows, features, exclusive, np.arange(6))
     assert ((model.logits(rows, features, len(x)) > 0) == (exclusive > 0)).mean() > 0.99
 
 
