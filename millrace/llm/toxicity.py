@@ -127,40 +127,39 @@ def fit(rows: np.ndarray, features: np.ndarray, y: np.ndarray, buckets: np.ndarr
     return Model(float(bias), buckets, params[:, 0], params[:, 1:])
 
 
-def pair_scores(rows: np.ndarray, features: np.ndarray, y: np.ndarray, m: int, least_rows: int, width: int = 1024) -> np.ndarray:
+def pair_scores(rows: np.ndarray, features: np.ndarray, y: np.ndarray, m: int, least_rows: int, most: int = 4096) -> np.ndarray:
     """For each of m features the largest z-score of its pairs: how much the log-odds of
     label 1 with both differ from what the two alone add up to. Pairs count of which
     texts with both, with either one alone and with none are ``least_rows`` or more each.
-    Texts with both are counted by products of matrices of at most ``width`` features."""
-    by = np.argsort(features, kind="stable")
-    rows, ends, n, ones = rows[by], np.searchsorted(features[by], np.arange(m + 1)), len(y), y == 1
-    all_of = np.diff(ends).astype(np.float64)
-    toxic_of = np.bincount(features[by], y[rows], m)
-    best = np.zeros(m)
-
-    def block(start: int) -> np.ndarray:
-        part = slice(ends[start], ends[min(start + width, m)])
-        out = np.zeros((n, min(width, m - start)), np.float32)
-        out[rows[part], features[by][part] - start] = 1
-        return out
+    A feature's texts are a bit set, those of label 1 in its first words; texts with both
+    are counted of one feature and ``most`` others at a time."""
+    n, ones = len(y), int((y == 1).sum())
+    words = -(-ones // 64)
+    place = np.empty(n, dtype=np.int64)
+    place[y == 1], place[y != 1] = np.arange(ones), 64 * words + np.arange(n - ones)
+    bits = np.zeros((m, words + -(-(n - ones) // 64)), dtype=np.uint64)
+    np.bitwise_or.at(bits, (features, place[rows] >> 6), np.uint64(1) << (place[rows] & 63).astype(np.uint64))
 
     def odds(texts: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         inside, outside = toxic + 0.5, texts - toxic + 0.5
         return np.log(inside / outside), 1 / inside + 1 / outside
 
-    for a in range(0, m, width):
-        left = block(a)
-        for b in range(a, m, width):
-            right = left if a == b else block(b)
-            both, both_toxic = (left.T @ right).astype(np.float64), (left[ones].T @ right[ones]).astype(np.float64)
-            la, lt = all_of[a : a + width, None], toxic_of[a : a + width, None]
-            ra, rt = all_of[None, b : b + width], toxic_of[None, b : b + width]
-            cells = [(both, both_toxic), (la - both, lt - both_toxic), (ra - both, rt - both_toxic), (n - la - ra + both, ones.sum() - lt - rt + both_toxic)]
+    def counted(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        each = np.bitwise_count(some)
+        toxic = each[:, :words].sum(axis=1, dtype=np.int64)
+        return toxic + each[:, words:].sum(axis=1, dtype=np.int64), toxic
+
+    (all_of, toxic_of), best = counted(bits), np.zeros(m)
+    for a in range(m):
+        for b in range(a + 1, m, most):
+            to = slice(b, b + most)
+            both, toxic = counted(bits[a] & bits[to])
+            cells = [(both, toxic), (all_of[a] - both, toxic_of[a] - toxic), (all_of[to] - both, toxic_of[to] - toxic), (n - all_of[a] - all_of[to] + both, ones - toxic_of[a] - toxic_of[to] + toxic)]
             (x, vx), (p, vp), (q, vq), (none, vn) = (odds(*c) for c in cells)
             z = np.abs(x - p - q + none) / np.sqrt(vx + vp + vq + vn)
             z[np.minimum.reduce([c for c, _ in cells]) < least_rows] = 0
-            best[a : a + width] = np.maximum(best[a : a + width], z.max(axis=1))
-            best[b : b + width] = np.maximum(best[b : b + width], z.max(axis=0))
+            best[a] = max(best[a], z.max())
+            best[to] = np.maximum(best[to], z)
     return best
 
 
@@ -233,11 +232,13 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, least_z: f
     lists = sample.mapInArrow(_taken(buckets), schema).toArrow().sort_by("doc_id")
     discard(sample)
     y, ends = lists["toxic"].to_numpy().astype(np.float64), np.cumsum(pc.list_value_length(lists["buckets"]).to_numpy())
-    rows, features = np.repeat(np.arange(len(y)), np.diff(ends, prepend=0)), pc.list_flatten(lists["buckets"]).to_numpy().astype(np.int64)
+    # Four bytes a number: for 20,000 long texts there are ten million of them.
+    rows, features = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(ends, prepend=0)), pc.list_flatten(lists["buckets"]).to_numpy().astype(np.int32)
+    del lists
 
     def only(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        place = np.cumsum(which) - 1
-        return rows[which[features]], place[features[which[features]]]
+        place, stays = np.cumsum(which, dtype=np.int32) - 1, which[features]
+        return rows[stays], place[features[stays]]
 
     paired = np.zeros(len(buckets), dtype=bool)
     paired[common] = pair_scores(*only(common), y, int(common.sum()), least_rows) >= least_pair_z

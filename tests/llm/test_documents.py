@@ -672,9 +672,9 @@ def test_toxicity_that_lies_in_pairs_only(spark, kind):
     assert len(held) > 1500 and sum((r.score >= 0.5) == rows[r.doc_id][2] for r in held) >= 0.95 * len(held)
 
 
-@pytest.mark.parametrize("width", [2, 3, 64])
-def test_pair_scores(width):
-    rng = np.random.default_rng(width)
+@pytest.mark.parametrize("most", [2, 3, 64])
+def test_pair_scores(most):
+    rng = np.random.default_rng(most)
     x = rng.random((400, 7)) < [0.5, 0.5, 0.4, 0.3, 0.6, 0.02, 0.5]
     y = (x[:, 0] ^ x[:, 1] | (rng.random(400) < 0.1)).astype(float)
     best = np.zeros(7)
@@ -684,7 +684,7 @@ def test_pair_scores(width):
             if min(c.sum() for c in cells) >= 20:
                 z = pair_z(*[(c.sum(), y[c].sum()) for c in cells])
                 best[[a, b]] = np.maximum(best[[a, b]], z)
-    found = toxicity.pair_scores(*np.nonzero(x), y, 7, 20, width)
+    found = toxicity.pair_scores(*np.nonzero(x), y, 7, 20, most)
     assert np.allclose(found, best) and found[5] == 0 < found[0]
     assert len(toxicity.pair_scores(np.zeros(0, int), np.zeros(0, int), y, 0, 20)) == 0
 
