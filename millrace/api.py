@@ -4,35 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.sources.store import Table
+from millrace.sources.catalog import Table, create_database
 from millrace.sources.tables import guarded_sql
 
 
 class Warehouse:
-    """Databases are folders under ``path``, tables folders under those."""
+    """Databases of Spark's catalog whose folders are under ``path``."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _folders(self, path: str) -> list[str]:
-        if not self._fs.exists(self._path(path)):
-            return []
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(path)) if s.isDirectory() and not s.getPath().getName().startswith(("_", ".")))
+    def create_database(self, name: str, comment: str | None = None) -> None:
+        create_database(self.spark, name, f"{self.path}/{name}", comment)
 
     def databases(self) -> list[str]:
-        return self._folders(self.path)
+        where = lambda uri: self.spark._jvm.org.apache.hadoop.fs.Path(uri).toUri().getPath()
+        own = where(self.path)
+        return sorted(d.name for d in self.spark.catalog.listDatabases() if where(d.locationUri).startswith(f"{own}/"))
 
     def tables(self, database: str) -> list[str]:
-        return [t for t in self._folders(f"{self.path}/{database}") if self.table(database, t).exists()]
+        return sorted(t.name for t in self.spark.catalog.listTables(database) if not t.isTemporary)
 
     def table(self, database: str, name: str) -> Table:
-        return Table(self.spark, f"{self.path}/{database}/{name}")
+        return Table(self.spark, database, name, f"{self.path}/{database}")
 
     def columns(self, database: str, name: str) -> DataFrame:
-        fields = self.table(database, name).schema().fields
-        return self.spark.createDataFrame([(f.name, f.dataType.simpleString(), f.metadata.get("comment")) for f in fields], "column_name string, data_type string, comment string")
+        return self.table(database, name).columns()
 
     def preview(self, database: str, name: str, rows: int = 20) -> DataFrame:
         """Some rows of a table, to look at."""

@@ -113,9 +113,10 @@ def rewritten(target: DataFrame, batch: DataFrame, dim: Dimension) -> DataFrame:
     """The rows that a batch makes or touches: the target's current rows, ended where the
     batch replaces them, and the batch's new versions, historical and current.
 
-    Each key's latest version meets the target's current row (one at most) in one full
-    outer join, which gives both the row that stays or ends and the new one. Of the
-    target's history only keys and begins are read, to leave out versions it has.
+    Each key's latest version meets the list of the key's current rows in one full outer
+    join, which gives both the rows that stay or end and the new one, which goes in if
+    none of them stays. Of the target's history only keys and begins are read, to leave
+    out versions it has.
     """
     dim = dim.of(batch)
     types = dict(target.dtypes)
@@ -125,20 +126,30 @@ def rewritten(target: DataFrame, batch: DataFrame, dim: Dimension) -> DataFrame:
     current = target.where(now)
     same = reduce(lambda a, b: a & b, [F.col(f"s.{k}") == F.col(f"t.{k}") for k in dim.keys])
 
-    # Latest versions and current rows: each side's rows without a partner stay.
-    met = ranked.where("_rank = 1").withColumn("_is", F.lit(True)).alias("s").join(current.withColumn("_is", F.lit(True)).alias("t"), same, "full")
-    held, fresh = F.col("t._is").isNotNull(), F.col("s._is").isNotNull()
-    replaced = held & fresh & dim.changed("t", "s")
-    if dim.reject_late:
-        replaced = replaced & F.coalesce(F.col(f"s.{dim.event_time}") >= F.col(f"t.{dim.begin}"), F.lit(False))
-    ended = F.col("s._first") if dim.contiguous else F.col(f"s.{dim.event_time}")
-    old = {c: F.col(f"t.{c}") for c in target.columns}
-    old[dim.end] = F.when(replaced, ended.cast(types[dim.end])).otherwise(old[dim.end])
-    old[dim.current] = F.when(replaced, F.lit(False)).otherwise(old[dim.current])
-    new = {c: F.col(f"s.{c}") for c in dim.columns} | {dim.begin: F.col(f"s.{dim.event_time}"), dim.end: F.lit(None), dim.current: F.lit(True)}
-    row = lambda values: F.struct(*[values.get(c, F.lit(None)).cast(types[c]).alias(c) for c in target.columns])
-    rows = F.array_compact(F.array(F.when(held, row(old)), F.when(fresh & (~held | replaced), row(new))))
-    latest = met.select(F.explode(rows).alias("row")).select("row.*")
+    # A key's current rows come as a list, which appends may have made longer than one.
+    # Rows with a null among their keys meet nothing.
+    keyed = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in dim.keys])
+    held = current.where(keyed).groupBy(*dim.keys).agg(F.collect_list(F.struct(*target.columns)).alias("_rows")).alias("t")
+    met = ranked.where("_rank = 1").withColumn("_is", F.lit(True)).alias("s").join(held, same, "full")
+    fresh, rows, time = F.coalesce(F.col("s._is"), F.lit(False)), F.col("t._rows"), F.col(f"s.{dim.event_time}")
+
+    def ends(row: Column) -> Column:
+        differs = [~F.col(f"s.{c}").eqNullSafe(row[c]) if dim.null_safe else F.col(f"s.{c}") != row[c] for c in dim.tracked]
+        out = F.coalesce(reduce(lambda a, b: a | b, differs, F.lit(False)), F.lit(False))
+        return fresh & out & F.coalesce(time >= row[dim.begin], F.lit(False)) if dim.reject_late else fresh & out
+
+    struct = lambda values: F.struct(*[values.get(c, F.lit(None)).cast(types[c]).alias(c) for c in target.columns])
+    ended = F.col("s._first") if dim.contiguous else time
+
+    def kept(row: Column) -> Column:
+        changes = {dim.end: F.when(ends(row), ended.cast(types[dim.end])).otherwise(row[dim.end]), dim.current: F.when(ends(row), F.lit(False)).otherwise(row[dim.current])}
+        return struct({c: row[c] for c in target.columns} | changes)
+
+    new = struct({c: F.col(f"s.{c}") for c in dim.columns} | {dim.begin: time, dim.end: F.lit(None), dim.current: F.lit(True)})
+    none = F.array().cast(f"array<{target.select(F.struct('*').alias('r')).schema[0].dataType.simpleString()}>")
+    stays = F.coalesce(F.exists(rows, lambda r: ~ends(r)), F.lit(False))
+    out = F.concat(F.coalesce(F.transform(rows, kept), none), F.when(fresh & ~stays, F.array(new)).otherwise(none))
+    latest = met.select(F.explode(out).alias("row")).select("row.*").unionByName(current.where(~keyed))
     older = historical(target, ranked, dim)
     return latest.unionByName(older.select(*[(F.col(c) if c in older.columns else F.lit(None)).cast(types[c]).alias(c) for c in target.columns]))
 

@@ -7,6 +7,8 @@ engine's own API with an oracle.
 from __future__ import annotations
 
 import re
+import uuid
+import zlib
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
@@ -17,11 +19,11 @@ from pyspark.sql import types as T
 
 from millrace.functions import types as kinds
 from millrace.functions.expressions import schema_projection
-from millrace.operators import joins, scd2
+from millrace.operators import aggregates, joins, scd2
 from millrace.plans import config, dag, metrics
 from millrace.sources import tables
-from millrace.sources.scratch import scratch_path
-from millrace.sources.store import Table
+from millrace.sources.catalog import Table
+from millrace.sources.scratch import scratch_path, scratch_root
 from millrace.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +34,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch_table(spark: SparkSession, name: str) -> Table:
+    """A table of its own in a database of the scratch folder."""
+    root = scratch_root(spark)
+    return Table(spark, f"scratch_{zlib.crc32(root.encode()):08x}", f"{name}_{uuid.uuid4().hex}", f"{root}/millrace/tables")
+
+
 def query(oracle: str | None = None):
     """Register a function as the query of its name."""
 
@@ -156,7 +164,7 @@ PAGE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity
 
 @query(f"SELECT * FROM ({PAGED}) WHERE page = 2")
 def paginate_page(spark, sf_dir):
-    return tables.pages(read(spark, sf_dir, "lineitem"), PAGE_KEYS, 1000).where("page = 2").select("l_orderkey", "l_linenumber", "l_quantity", "page")
+    return tables.Pages(read(spark, sf_dir, "lineitem"), PAGE_KEYS, 1000).page(2).select("l_orderkey", "l_linenumber", "l_quantity", "page")
 
 
 @query(f"SELECT page, count(*) AS n FROM ({PAGED}) GROUP BY page")
@@ -193,17 +201,23 @@ def staging_values(spark, sf_dir):
 def insert_append(spark, sf_dir):
     nation = read(spark, sf_dir, "nation")
     schema = kinds.schema_of([{"name": "n_nationkey", "type": "int"}, {"name": "n_name", "type": "string"}, {"name": "note", "type": "string"}])
-    table = Table(spark, scratch_path(spark, "append")).create(schema, "nations twice")
+    table = scratch_table(spark, "append").create(schema, "nations twice")
     table.append(nation.select("n_name", "n_nationkey"))
     table.append(nation.select(F.lit("again").alias("note"), (F.col("n_nationkey") + 100).alias("n_nationkey"), "n_name"))
     return table.read()
 
 
-@query("SELECT * FROM (VALUES ('city', 'string', 'name of the city'), ('seen', 'timestamp_ntz', NULL), ('price', 'decimal(18,3)', NULL), ('tags', 'map<string,string>', NULL)) AS t(column_name, data_type, comment)")
+DESCRIBED = {"c_custkey": ("bigint", None), "c_name": ("string", "name of the customer"), "c_acctbal": ("decimal(18,3)", None), "c_mktsegment": ("string", "it's the segment"), "seen": ("timestamp_ntz", None)}
+
+
+@query(" UNION ALL ".join(f"""SELECT '{c}' AS column_name, '{kind}' AS data_type, {"'" + note.replace("'", "''") + "'" if note else "CAST(NULL AS VARCHAR)"} AS comment, {f"count({c})" if c != "seen" else "count(NULL)"} AS filled FROM customer""" for c, (kind, note) in DESCRIBED.items()))
 def ddl_describe(spark, sf_dir):
-    fields = [{"name": "city", "type": "string", "description": "name of the city"}, {"name": "seen", "type": "timestamp"}, {"name": "price", "type": "decimal"}, {"name": "tags", "type": "map<string, string>"}]
-    table = Table(spark, scratch_path(spark, "ddl")).create(kinds.schema_of(fields))
-    return spark.createDataFrame([(f.name, f.dataType.simpleString(), f.metadata.get("comment")) for f in table.schema().fields], "column_name string, data_type string, comment string")
+    """Columns of a table as the catalog describes them, and how many rows fill each."""
+    fields = [{"name": c, "type": kind.removesuffix("(18,3)").removesuffix("_ntz"), **({"description": note} if note else {})} for c, (kind, note) in DESCRIBED.items()]
+    table = scratch_table(spark, "ddl").create(kinds.schema_of(fields), "customers")
+    table.append(read(spark, sf_dir, "customer"))
+    filled = table.read().agg(*[F.count(c).alias(c) for c in DESCRIBED]).unpivot([], list(DESCRIBED), "column_name", "filled")
+    return table.columns().join(filled, "column_name")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
@@ -325,8 +339,8 @@ def scd2_dedup_batch(spark, sf_dir):
 @query(EVENTS_SQL("SELECT * FROM applied"))
 def scd2_stored(spark, sf_dir):
     target, batch = _parts(spark, sf_dir)
-    table = Table(spark, scratch_path(spark, "dimension")).create(target.schema)
-    table.append(target)
+    table = scratch_table(spark, "dimension").create(target.schema, keys=DIM.keys, buckets=8)
+    table.load(target, DIM)
     table.apply_scd2(batch, DIM, batch="first")
     table.apply_scd2(batch, DIM, batch="first")
     return table.read()
@@ -402,18 +416,76 @@ def join_range(spark, sf_dir):
     return joins.range_join(read(spark, sf_dir, "lineitem"), bands, "l_quantity", "low", "high", 10.0).select("l_orderkey", "l_linenumber", "band")
 
 
-@query("""SELECT e.event_id, e.user_id, (SELECT max_by(p.event_id, p.ts) FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase' AND p.ts <= e.ts) AS purchase_id
+@query("""SELECT e.event_id, e.user_id, (SELECT p.event_id FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase' AND p.ts <= e.ts ORDER BY p.ts DESC, p.event_id DESC LIMIT 1) AS purchase_id
 FROM events e WHERE e.event_type = 'view'""")
 def asof_join(spark, sf_dir):
     events = read(spark, sf_dir, "events")
     views = events.where("event_type = 'view'").select("event_id", "user_id", "ts")
     bought = events.where("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("purchase_id"))
-    return joins.asof_join(views, bought, ["user_id"], "ts", "ts", ["purchase_id"]).drop("ts")
+    return joins.asof_join(views, bought, ["user_id"], "ts", "ts", ["purchase_id"], slice_seconds=86_400).drop("ts")
+
+
+SESSIONS_SQL = """marked AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM events),
+numbered AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM marked),
+sessions AS (SELECT user_id, min(ts) AS began, max(ts) AS ended FROM numbered GROUP BY user_id, session)"""
+
+
+@query(f"""WITH {SESSIONS_SQL} SELECT a.user_id, a.began, a.ended, b.began AS other_began, b.ended AS other_ended
+FROM sessions a JOIN sessions b ON b.user_id = a.user_id + 1 AND a.began <= b.ended AND b.began <= a.ended""")
+def join_interval(spark, sf_dir):
+    """Sessions of each user that overlap those of the next."""
+    span = F.session_window("at", "6 hours")
+    events = read(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    sessions = events.groupBy("user_id", span).agg(F.min("ts").alias("began"), F.max("ts").alias("ended")).drop("session_window")
+    others = sessions.select((F.col("user_id") - 1).alias("user_id"), F.col("began").alias("other_began"), F.col("ended").alias("other_ended"))
+    return joins.interval_join(sessions, others, ("began", "ended"), ("other_began", "other_ended"), 3600.0, ["user_id"]).select("user_id", "began", "ended", "other_began", "other_ended")
 
 
-@query()
+both("join_lateral_topk", "SELECT c_custkey, o_orderkey, o_totalprice FROM {customer}, LATERAL (SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 3)")
+
+
+@query("SELECT c_custkey, s_suppkey, CAST(distance AS DOUBLE) AS distance FROM (SELECT c_custkey, s_suppkey, distance, row_number() OVER (PARTITION BY c_custkey ORDER BY distance, s_suppkey) AS k FROM (SELECT c_custkey, s_suppkey, (CAST(c_nationkey AS DOUBLE) - s_nationkey) * (CAST(c_nationkey AS DOUBLE) - s_nationkey) + (c_acctbal - s_acctbal) * (c_acctbal - s_acctbal) AS distance FROM customer, supplier)) WHERE k = 1")
+def nearest_join(spark, sf_dir):
+    found = joins.nearest_join(read(spark, sf_dir, "customer"), read(spark, sf_dir, "supplier"), ("c_nationkey", "c_acctbal"), ("s_nationkey", "s_acctbal"), "s_suppkey", 8.0)
+    return found.select("c_custkey", "s_suppkey", "distance")
+
+
+BOUND_SQL = f"abs(parts - estimate) <= {aggregates.BOUND} * parts"
+
+
+@query("SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, true AS within FROM lineitem GROUP BY 1")
 def agg_approx_distinct(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("parts"))
+    """Whether the estimate is within five of its standard errors of 1 %."""
+    counted = read(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.countDistinct("l_partkey").alias("parts"), F.approx_count_distinct("l_partkey", 0.01).alias("estimate"))
+    return counted.select("l_returnflag", "parts", (F.abs(F.col("parts") - F.col("estimate")) <= F.greatest(F.lit(1), 0.05 * F.col("parts"))).alias("within"))
+
+
+@query("SELECT l_returnflag, count(*) AS n, count(DISTINCT l_partkey) AS parts, true AS within, true AS middle FROM lineitem GROUP BY 1")
+def agg_sketch_distinct(spark, sf_dir):
+    """Sketches by month, stored, and merged to those of a return flag: the estimate of
+    distinct parts is within three standard errors, and the median's rank within 2 %."""
+    items = read(spark, sf_dir, "lineitem")
+    path = scratch_path(spark, "sketches")
+    aggregates.sketched(items, ["l_returnflag", F.trunc("l_shipdate", "month").alias("month")], "l_partkey", "l_extendedprice").write.parquet(path)
+    merged = aggregates.merged(spark.read.parquet(path), ["l_returnflag"]).select("l_returnflag", "n", aggregates.distinct_estimate().alias("estimate"), aggregates.quantile(0.5).alias("median"))
+    exact = items.join(F.broadcast(merged.select("l_returnflag", "median")), "l_returnflag")  # a row per flag
+    exact = exact.groupBy("l_returnflag").agg(F.countDistinct("l_partkey").alias("parts"), F.avg((F.col("l_extendedprice") <= F.col("median")).cast("double")).alias("share"))
+    return merged.join(exact, "l_returnflag").select("l_returnflag", "n", "parts", F.expr(BOUND_SQL).alias("within"), F.col("share").between(0.48, 0.52).alias("middle"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def agg_bitmap_rollup(spark, sf_dir):
+    found = aggregates.distinct_rollup(read(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_partkey")
+    return found.withColumnRenamed("distinct", "parts")
+
+
+@query("""SELECT l_returnflag, min(l_quantity) AS median, any_value(total) AS total FROM (
+SELECT l_returnflag, l_quantity, sum(w) OVER (PARTITION BY l_returnflag ORDER BY l_quantity) AS reached, sum(w) OVER (PARTITION BY l_returnflag) AS total
+FROM (SELECT l_returnflag, l_quantity, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS w FROM lineitem GROUP BY 1, 2)) WHERE 2 * reached >= total GROUP BY 1""")
+def udaf_weighted_median(spark, sf_dir):
+    """The quantity at which half of each return flag's turnover, in cents, is reached."""
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents")
+    return aggregates.weighted_median(read(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", cents), ["l_returnflag"], "l_quantity", "cents")
 
 
 @query("SELECT user_id, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS kinds, list_contains(list(event_type), 'error') AS failed, CAST(len(list(event_type)) AS INTEGER) AS n FROM events GROUP BY user_id")
@@ -451,6 +523,31 @@ def udf_scalar(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", odd("p_size").alias("odd"))
 
 
+@F.udtf(returnType="name: string, content: string")
+class JsonFields:
+    """The fields of a JSON object, a row each; their values as JSON texts."""
+
+    def eval(self, text: str):
+        import json
+
+        for name, content in json.loads(text or "{}").items():
+            yield name, json.dumps(content)
+
+
+@query("SELECT event_id, unnest(json_keys(props)) AS name, CAST(json_extract(props, '$.' || unnest(json_keys(props))) AS VARCHAR) AS content FROM events")
+def udtf_lateral(spark, sf_dir):
+    spark.udtf.register("json_fields", JsonFields)
+    return tables.guarded_sql(spark, "SELECT event_id, f.name, f.content FROM {events}, LATERAL json_fields(props) AS f", events=read(spark, sf_dir, "events"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CAST(NULL AS VARCHAR) AS missing, (SELECT 'OBJECT<k: BIGINT>' FROM events LIMIT 1) AS shape FROM events")
+def variant_props(spark, sf_dir):
+    """Semi-structured columns: texts parsed once, fields by path, and one schema of all."""
+    parsed = read(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").alias("v"))
+    shape = parsed.agg(F.schema_of_variant_agg("v").alias("shape"))
+    return parsed.select("event_id", F.try_variant_get("v", "$.k", "int").alias("k"), F.try_variant_get("v", "$.none", "string").alias("missing")).crossJoin(F.broadcast(shape))  # one row
+
+
 # Streams
 
 
@@ -459,8 +556,19 @@ def _event_stream(spark, sf_dir) -> DataFrame:
     return streams.read_log(spark, f"{sf_dir}/events*.parquet", schema)
 
 
-def _zoned(df: DataFrame) -> DataFrame:
-    return df.withColumn("ts", F.col("ts").cast("timestamp"))
+def _ending(spark, sf_dir, name: str) -> DataFrame:
+    """A stream of the events in the order of their days, in several files, and then two
+    clicks of a user -1, a year later: the first moves the watermark past all others, the
+    second starts the batch that meets it."""
+    log, events = scratch_path(spark, name), read(spark, sf_dir, "events")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    for k in range(3 if first else 0):
+        third = lambda n: first + (last - first) * n / 3  # noqa: E731, B023
+        streams.append_log(events.where((F.col("ts") >= F.lit(third(k))) & ((F.col("ts") < F.lit(third(k + 1))) | F.lit(k == 2))), log, str(k))
+    for k in range(2):
+        end = events.agg((F.max("ts") + F.expr(f"INTERVAL {365 + k} DAYS")).alias("ts"))
+        streams.append_log(end.select(*[F.col("ts") if c == "ts" else F.lit("click" if c == "event_type" else -1 if c in ("event_id", "user_id") else None).cast(t).alias(c) for c, t in events.dtypes]), log, f"end-{k}")
+    return streams.read_log(spark, log, events.schema, files_per_trigger=1)
 
 
 def _drained(spark, df: DataFrame, name: str, aggregate: bool = True) -> DataFrame:
@@ -515,8 +623,21 @@ def stream_join(spark, sf_dir):
 numbered AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM marked)
 SELECT min(ts) AS session_start, user_id, count(*) AS n FROM numbered GROUP BY user_id, session""")
 def stream_session(spark, sf_dir):
-    found = streams.sessions(_zoned(_event_stream(spark, sf_dir)), "ts", "2 hours", ["user_id"], F.count("*").alias("n"))
-    return _drained(spark, found, "sessions").withColumn("session_start", F.col("session_start").cast("timestamp_ntz"))
+    """In append mode: a session is written once, when the watermark has passed it, and
+    leaves the state."""
+    events = streams.timed(_ending(spark, sf_dir, "sessions-log"), "ts", "1 hour")
+    found = streams.sessions(events, "ts", "2 hours", ["user_id"], F.count("*").alias("n"))
+    return _drained(spark, found, "sessions", False).where("user_id >= 0").withColumn("session_start", F.col("session_start").cast("timestamp_ntz"))
+
+
+@query("""SELECT user_id, event_id AS opened, (SELECT p.event_id FROM events p WHERE p.user_id = c.user_id AND p.event_type = 'purchase' AND p.ts > c.ts AND p.ts <= c.ts + INTERVAL 6 HOUR ORDER BY p.ts, p.event_id LIMIT 1) AS answer
+FROM events c WHERE event_type = 'click'""")
+def stream_state_timers(spark, sf_dir):
+    """For each click the user's first purchase within six hours, or an alert without."""
+    rule = streams.Awaited(["user_id"], "event_id", "ts", "event_type", "click", "purchase", 6 * 3_600_000)
+    events = streams.timed(_ending(spark, sf_dir, "timers-log"), "ts", "1 hour")
+    with streams.keyed_state(spark):
+        return _drained(spark, streams.awaited(events, rule), "timers", False).where("user_id >= 0")
 
 
 @query("SELECT event_id, user_id FROM events")
@@ -532,8 +653,8 @@ def stream_dedup(spark, sf_dir):
 def stream_scd2(spark, sf_dir):
     target, batch = _parts(spark, sf_dir)
     path = scratch_path(spark, "stream-scd2")
-    table = Table(spark, f"{path}/table").create(target.schema)
-    table.append(target)
+    table = scratch_table(spark, "stream_dimension").create(target.schema, keys=DIM.keys, buckets=8)
+    table.load(target, DIM)
     streams.append_log(batch, f"{path}/log")
     streams.drain_scd2(streams.read_log(spark, f"{path}/log", batch.schema), table, DIM, f"{path}/checkpoint")
     return table.read()
@@ -608,6 +729,16 @@ def run_metrics_by_node(spark, sf_dir):
     return metrics.node_summary(_node_events(spark, sf_dir), measures=("value",))
 
 
+@query("""SELECT 'rows' AS name, count(*) AS n FROM orders UNION ALL SELECT 'open', count(*) FILTER (o_orderstatus = 'O') FROM orders
+UNION ALL SELECT 'customers', max(o_custkey) FROM orders UNION ALL SELECT 'written', count(*) FILTER (o_orderstatus <> 'P') FROM orders""")
+def observed_counts(spark, sf_dir):
+    """Counts of what is read and of what is written, taken by the job that writes."""
+    orders, seen = metrics.observed(read(spark, sf_dir, "orders"), f"read-{uuid.uuid4().hex}", rows=F.count(F.lit(1)), open=F.count_if(F.col("o_orderstatus") == "O"), customers=F.max("o_custkey"))
+    kept, wrote = metrics.observed(orders.where("o_orderstatus <> 'P'"), f"written-{uuid.uuid4().hex}", written=F.count(F.lit(1)))
+    kept.write.parquet(scratch_path(spark, "observed"))
+    return spark.createDataFrame(list((metrics.observation(seen) | metrics.observation(wrote)).items()), "name string, n long")
+
+
 @query(f"SELECT user_id * 100000 + date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS run_id, CASE WHEN bool_or({STATUS_SQL} = 'failed') THEN 'failed' WHEN user_id % 2 = 0 THEN 'running' WHEN bool_and({STATUS_SQL} = 'success') THEN 'success' ELSE 'unknown' END AS status FROM events GROUP BY user_id, CAST(ts AS DATE)")
 def run_status(spark, sf_dir):
     """A run is a user's day: over all events, nearly every user has failed once."""

@@ -4,10 +4,29 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 MEASURES = ("pre_seconds", "function_seconds", "post_seconds")
+MEMORY = ("pre_mib", "function_mib", "post_mib")
+
+
+def observed(df: DataFrame, name: str, **aggregates: Column) -> tuple[DataFrame, Observation]:
+    """``df`` with aggregates over its rows that the action which computes them brings
+    along: no second job. Ask with :func:`observation`."""
+    seen = Observation(name)
+    return df.observe(seen, *[c.alias(n) for n, c in (aggregates or {"rows": F.count(F.lit(1))}).items()]), seen
+
+
+def observation(seen: Observation) -> dict:
+    """What was observed, once an action has run; empty if the plan had no rows to run."""
+    return dict(seen.get)
+
+
+def ended(events: DataFrame) -> DataFrame:
+    """Of a run's events those that end a batch: an attempt of a batch node, or a
+    micro-batch of a live one. Starts, and the moment a live node goes live, are none."""
+    return events.where((F.col("status").isin("success", "failed") & F.col("pre_seconds").isNotNull()) | F.col("batch").isNotNull())
 
 
 def latest(events: DataFrame, keys: list[str], time: str) -> DataFrame:
@@ -32,11 +51,15 @@ def run_summary(runs: DataFrame) -> DataFrame:
 
 
 def node_summary(checkpoints: DataFrame, node: str = "node_id", measures: tuple[str, ...] = MEASURES) -> DataFrame:
-    """Sums, averages and share of the measures by node, slowest first; nulls are 0."""
+    """Batches, sums and averages of the measures by node, slowest first; nulls are 0. Of
+    an engine's events those count that end a batch, and their records are summed."""
+    extra = []
+    if "batch" in checkpoints.columns:
+        checkpoints, extra = ended(checkpoints), [F.sum(F.coalesce("records", F.lit(0))).alias("sum_records")]
     sums = [F.round(F.sum(F.coalesce(m, F.lit(0.0))), 3).alias(f"sum_{m}") for m in measures]
     averages = [F.round(F.avg(F.coalesce(m, F.lit(0.0))), 3).alias(f"avg_{m}") for m in measures]
     total = reduce(lambda a, b: a + b, [F.col(f"sum_{m}") for m in measures])
-    return checkpoints.groupBy(node).agg(F.count("*").alias("batches"), *sums, *averages).orderBy(total.desc(), node)
+    return checkpoints.groupBy(node).agg(F.count("*").alias("batches"), *extra, *sums, *averages).orderBy(total.desc(), node)
 
 
 def filter_logs(logs: DataFrame, level: str | None = None, since=None, component: str | None = None, message: str | None = None) -> DataFrame:

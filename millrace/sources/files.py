@@ -38,6 +38,47 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(where)
 
 
+def replace(spark: SparkSession, folder: str, names_: list[str], by: str, text: str) -> None:
+    """Put one file in place of several, whose content it has. While that lasts they are in
+    a hidden folder; if it ends half-way, those that are left there are hidden rather than
+    read twice."""
+    aside = f"{folder}/_{by}"
+    make_folder(spark, aside)
+    for name in names_:
+        rename(spark, f"{folder}/{name}", f"{aside}/{name}")
+    write_text(spark, f"{folder}/{by}", text)
+    where, system = _system(spark, aside)
+    system.delete(where, True)
+
+
+def any_file(spark: SparkSession, folder: str, suffix: str = "") -> bool:
+    """Whether a folder, or one in it, has such a file, hidden ones aside."""
+    where, system = _system(spark, folder)
+    if not system.exists(where):
+        return False
+    todo = [where]
+    while todo:
+        for status in system.listStatus(todo.pop()):
+            name = status.getPath().getName()
+            if not name.startswith(("_", ".")):
+                if status.isFile() and name.endswith(suffix):
+                    return True
+                if status.isDirectory():
+                    todo.append(status.getPath())
+    return False
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    where, system = _system(spark, path)
+    system.mkdirs(where)
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    where, system = _system(spark, path)
+    if not system.rename(where, _system(spark, to)[0]):
+        raise OSError(f"{path} can't be renamed to {to}")
+
+
 def write_text(spark: SparkSession, path: str, text: str, replace: bool = False) -> None:
     """Write a file that appears whole or not at all: another name is written first and
     renamed. Unless ``replace``, a file that is there stays and FileExists is raised, so

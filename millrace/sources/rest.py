@@ -15,7 +15,7 @@ import urllib.parse
 import urllib.request
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, SimpleDataSourceStreamReader, WriterCommitMessage
 
 
 def headers_of(options) -> dict[str, str]:
@@ -58,14 +58,19 @@ class RestReader(DataSourceReader):
         return [InputPartition(k) for k in range(int(self.options.get("pages", 1)))]
 
     def read(self, partition):
-        url, param = self.options["url"], self.options.get("page_param")
-        if param:
-            url += ("&" if "?" in url else "?") + urllib.parse.urlencode({param: partition.value})
-        found = request(url, self.options)
-        if self.options.get("selector"):
-            found = found.get(self.options["selector"])
-        for row in found if isinstance(found, list) else [] if found is None else [found]:
-            yield (json.dumps(row),)
+        yield from page_rows(self.options, partition.value)
+
+
+def page_rows(options: dict, page: int):
+    """The rows of a page; of the whole resource, if no parameter names pages."""
+    url, param = options["url"], options.get("page_param")
+    if param:
+        url += ("&" if "?" in url else "?") + urllib.parse.urlencode({param: page})
+    found = request(url, options)
+    if options.get("selector"):
+        found = found.get(options["selector"])
+    for row in found if isinstance(found, list) else [] if found is None else [found]:
+        yield (json.dumps(row),)
 
 
 class RestWriter(DataSourceWriter):
@@ -97,10 +102,46 @@ class RestSource(DataSource):
     def reader(self, schema):
         return RestReader(self.options)
 
+    def simpleStreamReader(self, schema):
+        return RestPages(self.options)
+
     def writer(self, schema, overwrite):
         return RestWriter(self.options)
 
 
+class RestPages(SimpleDataSourceStreamReader):
+    """Pages of a resource as they appear: a micro-batch is the next page, whose number is
+    the offset. The query's checkpoint keeps it, so a query that starts again asks for the
+    first page that it has not finished; an empty page is asked for again at the next
+    trigger."""
+
+    def __init__(self, options):
+        self.options = dict(options)
+
+    def initialOffset(self) -> dict:
+        return {"page": int(self.options.get("first_page", 0))}
+
+    def _rows(self, page: int) -> list[tuple[str]]:
+        return list(page_rows(self.options, page))
+
+    def read(self, start: dict):
+        rows = self._rows(start["page"])
+        return iter(rows), {"page": start["page"] + bool(rows)}
+
+    def readBetweenOffsets(self, start: dict, end: dict):
+        for page in range(start["page"], end["page"]):
+            yield from self._rows(page)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
+def stream_rest(spark: SparkSession, url: str, **options) -> DataFrame:
+    """A stream of the pages of a resource; the driver asks for one page at a time."""
+    spark.dataSource.register(RestSource)
+    return spark.readStream.format("rest_json").options(url=url, **{k: str(v) for k, v in options.items() if v is not None}).load()
+
+
 def read_rest(spark: SparkSession, url: str, **options) -> DataFrame:
     spark.dataSource.register(RestSource)
     return spark.read.format("rest_json").options(url=url, **{k: str(v) for k, v in options.items() if v is not None}).load()

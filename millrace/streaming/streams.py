@@ -2,35 +2,72 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
+from contextlib import contextmanager
+from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
 from millrace.operators import scd2
-from millrace.sources.store import Table
-
-
-def append_log(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+from millrace.sources import files
+from millrace.sources.catalog import Table
+
+
+def append_log(df: DataFrame, path: str, batch: str | None = None, observed: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
+    """Add rows to a log. Those of a ``batch`` appear at once, in a folder of its own, and
+    once only: a batch that is written again leaves what is there. ``observed`` gets the
+    rows if they are written."""
+    if batch is None:
+        observed(df).write.mode("append").parquet(path)
+        return
+    spark, target = df.sparkSession, f"{path}/b-{batch}"
+    if files.exists(spark, target):
+        return
+    # Readers of the log don't look into folders whose names begin with an underscore.
+    written = f"{path}/_writing-{batch}"
+    observed(df).write.mode("overwrite").parquet(written)
+    files.rename(spark, written, target)
 
 
 def read_log(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
     """A stream over a log; each query has its own place in it, kept in its
     checkpoint, so every consumer sees every row."""
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(path)
 
 
+def log_schema(spark: SparkSession, path: str) -> T.StructType | None:
+    """The schema of what is in a log; None if it is empty or not there yet."""
+    if not files.any_file(spark, path, ".parquet"):
+        return None
+    return spark.read.option("recursiveFileLookup", "true").parquet(path).schema
+
+
 def timed(df: DataFrame, column: str, delay: str) -> DataFrame:
     """With an event time that watermarks accept: a zoned timestamp."""
     return df.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, delay)
 
 
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """Queries that start within use the state store that state of one's own needs."""
+    name, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name)
+    spark.conf.set(name, store)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drain_to(df: DataFrame, path: str, checkpoint: str) -> None:
     """Everything there is now, appended to Parquet files exactly once."""
     df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
@@ -40,9 +77,10 @@ def drain_batches(df: DataFrame, each: Callable[[DataFrame, int], None], checkpo
     df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
 
 
-def follow_batches(df: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, every: str = "1 second"):
+def follow_batches(df: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, every: str = "1 second", name: str | None = None):
     """A continuously running query; the caller stops it."""
-    return df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    writer = df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(processingTime=every)
+    return (writer.queryName(name) if name else writer).start()
 
 
 def drain_updates(df: DataFrame, path: str, checkpoint: str) -> None:
@@ -77,11 +115,6 @@ def drain_aggregate(df: DataFrame, path: str, checkpoint: str) -> None:
     drain_batches(df, lambda rows, _: rows.write.mode("overwrite").parquet(path), checkpoint, "complete")
 
 
-def live(df: DataFrame, path: str, checkpoint: str, every: str = "1 second"):
-    """A continuously running query; the caller stops it."""
-    return df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
-
-
 def tumbling(df: DataFrame, time: str, length: str, by: list[str], *aggregates) -> DataFrame:
     return sliding(df, time, length, length, by, *aggregates)
 
@@ -102,6 +135,96 @@ def distinct_within(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def drain_scd2(df: DataFrame, table: Table, dim: scd2.Dimension, checkpoint: str) -> None:
-    """Apply every micro-batch to a dimension; the table's ledger of batch ids makes a
-    replayed one harmless."""
-    drain_batches(df, lambda rows, k: table.apply_scd2(rows, dim, batch=f"{checkpoint}#{k}"), checkpoint)
+    """Apply every micro-batch to a dimension; one that is run again changes nothing."""
+    drain_batches(df, lambda rows, k: table.apply_scd2(rows, dim, batch=batch_name(checkpoint, k)), checkpoint)
+
+
+def batch_name(checkpoint: str, k: int) -> str:
+    """A short name of a micro-batch of the query with this checkpoint."""
+    return f"{zlib.crc32(checkpoint.encode()):08x}-{k}"
+
+
+@dataclass(frozen=True)
+class Awaited:
+    """Rows of a key that may be followed by another kind within a time.
+
+    ``opens`` and ``closes`` are values of the column ``kind``; ``within_ms`` is counted in
+    event time. A row that opens is answered by the first later row that closes, at most
+    that long after it; without one an alert is due at its time plus the limit.
+    """
+
+    keys: list[str]
+    ident: str
+    time: str
+    kind: str
+    opens: str
+    closes: str
+    within_ms: int
+
+
+class _Waiting(StatefulProcessor):
+    """Per key: a list of open rows, ids and times, and one of closing rows that some
+    open row, out of order, may still come before. A timer at each row's limit tells that
+    the watermark has passed it, so no answer can come any more."""
+
+    def __init__(self, rule: Awaited):
+        self.rule = rule
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.opened = handle.getListState("opened", "id long, at long")
+        self.closed = handle.getListState("closed", "id long, at long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        opened, closed = [], []
+        for part in rows:
+            for ident, at, kind in zip(part[self.rule.ident], part["at_micros"], part[self.rule.kind], strict=True):
+                (opened if kind == self.rule.opens else closed).append((int(ident), int(at)))
+                # One millisecond more: a row at the limit itself still answers.
+                self.handle.registerTimer(int(at) // 1000 + self.rule.within_ms + 1)
+        if opened:
+            self.opened.appendList(opened)
+        if closed:
+            self.closed.appendList(closed)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        limit, within = expiredTimerInfo.getExpiryTimeInMs(), 1000 * self.rule.within_ms
+        # In order of time and of ids; a timer settles all whose limit it has reached.
+        opened, closed = sorted(self.opened.get(), key=lambda r: (r[1], r[0])), sorted(self.closed.get(), key=lambda r: (r[1], r[0]))
+        due = [r for r in opened if r[1] // 1000 + self.rule.within_ms < limit]
+        rest = [r for r in opened if r[1] // 1000 + self.rule.within_ms >= limit]
+        found = []
+        for ident, at in due:
+            answer = next((c for c in closed if at < c[1] <= at + within), None)
+            found.append((*key, ident, None if answer is None else answer[0]))
+        self._put(self.opened, rest)
+        self._put(self.closed, [c for c in closed if c[1] // 1000 + self.rule.within_ms >= limit])
+        if found:
+            names = [*self.rule.keys, "opened", "answer"]
+            frame = pd.DataFrame({n: pd.array([f[k] for f in found], dtype="Int64") for k, n in enumerate(names)})
+            yield frame
+
+    @staticmethod
+    def _put(state, rows) -> None:
+        if rows:
+            state.put([tuple(r) for r in rows])
+        else:
+            state.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def awaited(df: DataFrame, rule: Awaited) -> DataFrame:
+    """(keys, opened, answer) of a watermarked stream: each row that opens, with the first
+    row that closes in time, or null as an alert. Ids and keys are whole numbers.
+
+    Only rows of the two kinds move the watermark, for Spark filters before it. State is
+    kept by key in the state store and goes when its timers have expired: a key
+    holds what lies within the limit and the watermark's delay. Rows come out when the
+    watermark has passed their limit.
+    """
+    rows = df.where(F.col(rule.kind).isin(rule.opens, rule.closes)).select(*rule.keys, rule.ident, rule.time, rule.kind, F.unix_micros(rule.time).alias("at_micros"))
+    fields = ", ".join(f"{k} long" for k in [*rule.keys, "opened", "answer"])
+    return rows.groupBy(*rule.keys).transformWithStateInPandas(statefulProcessor=_Waiting(rule), outputStructType=fields, outputMode="append", timeMode="eventTime")

@@ -1,5 +1,6 @@
 import json
 import threading
+import time
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
@@ -104,7 +105,7 @@ def test_rest(spark, server):
 
 def test_pipeline_end_to_end(spark, server, tmp_path):
     lake = str(tmp_path / "lake")
-    method = {"method": "sql", "connection": "lake", "database": "w"}
+    method = {"method": "sql", "connection": "lake", "database": "weather"}
     pipeline = {
         "name": "weather",
         "connections": [{"name": "lake", "type": "warehouse", "path": lake}, {"name": "api", "type": "api", "base_url": server}, {"name": "logs", "type": "stream", "path": f"{lake}/_streams"}],
@@ -132,17 +133,34 @@ def test_pipeline_end_to_end(spark, server, tmp_path):
         assert {n: s.value for n, s in status.items()} == {"bronze.fetch": "success", "silver.city": "success", "silver.off": "skipped", "gold.hot": "success", "gold.below": "skipped"}
     assert Handler.got[-1] == {"data": [{"city": "B", "t": 2.5}]}
     house = Warehouse(spark, lake)
-    assert house.databases() == ["w"] and house.tables("w") == ["city", "raw"]
-    assert {r.city: r.is_current for r in house.table("w", "city").read().collect()} == {"A": True, "B": True}
-    assert house.table("w", "raw").read().count() == 4
-    assert house.columns("w", "city").where("column_name = 'city'").first().comment == "its name"
-    assert house.sql("SELECT count(*) AS n FROM {c}", c="w.city").first().n == 2
+    assert house.databases() == ["weather"] and house.tables("weather") == ["city", "raw"]
+    assert {r.city: r.is_current for r in house.table("weather", "city").read().collect()} == {"A": True, "B": True}
+    assert house.table("weather", "raw").read().count() == 4
+    assert house.columns("weather", "city").where("column_name = 'city'").first().comment == "its name"
+    assert house.sql("SELECT count(*) AS n FROM {c}", c="weather.city").first().n == 2
     events = metrics.latest(engine.events(), ["run_id", "node_id"], "at")
     assert events.count() == 6 and events.where("status = 'success'").count() == 6
-    means = {r.node_id: r for r in metrics.node_summary(engine.events().where("status = 'success'")).collect()}
+    means = {r.node_id: r for r in metrics.node_summary(engine.events()).collect()}
     assert set(means) == {"bronze.fetch", "silver.city", "gold.hot"} and all(r.batches == 2 and r.sum_post_seconds > 0 for r in means.values())
+    assert {n: r.sum_records for n, r in means.items()} == {"bronze.fetch": 4, "silver.city": 2, "gold.hot": 2}
+    assert metrics.node_summary(engine.events(), measures=metrics.MEMORY).where("avg_post_mib > 50").count() == 3
     assert metrics.filter_logs(engine.logs(), "info", component="silver.*").count() == 4
-    assert Engine(spark, events_path=f"{lake}/_events").events().count() == engine.events().count()
+    before = sorted(map(tuple, engine.events().collect()), key=repr)
+    assert sorted(map(tuple, Engine(spark, events_path=f"{lake}/_events").events().collect()), key=repr) == before
+    assert engine.compact() == len(before) == 12 and engine.compact() == 1
+    assert sorted(map(tuple, engine.events().collect()), key=repr) == before
+    spark.sql("DROP DATABASE weather CASCADE")
+
+
+def test_averages_are_of_whole_attempts(spark):
+    def slow(inputs, context):
+        time.sleep(1.0)
+        return spark.range(3)
+
+    engine = Engine(spark, {"*": slow})
+    engine.run(chain("a", a={"outputs": {"methods": []}}))
+    found = metrics.node_summary(engine.events()).first()
+    assert found.batches == 1 and 0.99 < found.avg_function_seconds < 2 and found.sum_function_seconds == found.avg_function_seconds
 
 
 def test_failures(spark, tmp_path):

@@ -1,10 +1,12 @@
 import datetime
+import glob
+import os
 import random
 
 import pytest
 
 from millrace.operators import scd2
-from millrace.sources.store import ConcurrentWrite, Table
+from millrace.sources.catalog import Table
 
 D = lambda day: datetime.datetime(2026, 1, day)
 TARGET = [(1, 10, "x", D(1), D(1), None, True), (2, 20, "x", D(1), D(1), None, True), (4, 40, "x", D(1), D(1), None, True), (5, None, "x", D(1), D(1), None, True), (6, 60, "x", D(5), D(5), None, True)]
@@ -100,17 +102,55 @@ def test_random_batches_against_a_row_loop(spark, seed):
     assert len(current) == len(set(current))
 
 
-def test_stored_dimension(spark, tmp_path):
-    target, batch = frames(spark)
-    table = Table(spark, str(tmp_path / "dim")).create(target.schema, "a dimension")
-    table.append(target)
-    table.apply_scd2(batch, DIM, batch="b1")
-    assert rows(table.read()) == sorted(EXPECTED, key=repr)
-    kept = table.describe()["history"]
-    assert table.apply_scd2(batch, DIM, batch="b1") == 3
-    table.apply_scd2(batch, DIM, batch="b2")
-    assert rows(table.read()) == sorted(EXPECTED, key=repr)
-    assert table.describe()["history"][: len(kept)] == kept
-    assert rows(table.read(version=2)) == sorted(TARGET, key=repr)
-    with pytest.raises(ConcurrentWrite):
-        table._commit(table.describe(2) | {"parent": 2})
+@pytest.fixture
+def dimension(spark, tmp_path):
+    target, _ = frames(spark)
+    table = Table(spark, "dims", "d", str(tmp_path / "dims")).create(target.schema, "a dimension", ["k"], buckets=4)
+    table.load(target, DIM)
+    yield table
+    spark.sql("DROP DATABASE dims CASCADE")
+
+
+def test_stored_dimension(spark, dimension):
+    _, batch = frames(spark)
+    assert dimension.comment() == "a dimension" and dimension.schema().names == [*COLUMNS.replace(",", "").split()[::2], "b", "e", "cur"]
+    dimension.apply_scd2(batch, DIM, batch="b1")
+    assert rows(dimension.read()) == sorted(EXPECTED, key=repr)
+    for name in ("b1", "b2"):
+        dimension.apply_scd2(batch, DIM, batch=name)
+        assert rows(dimension.read()) == sorted(EXPECTED, key=repr)
+    assert dimension.apply_scd2(batch.limit(0), DIM) == []
+    with pytest.raises(ValueError, match="buckets"):
+        dimension.apply_scd2(batch, scd2.Dimension(["u"], "ts", "b", "e", "cur", ["v"]))
+
+
+def test_a_batch_of_one_key_touches_one_bucket(spark, dimension):
+    def stored():
+        return {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{dimension.path}/_bucket=*/**/*.parquet", recursive=True)}
+
+    many = spark.range(100, 180).selectExpr("CAST(id AS INT) AS k", "1 AS v", "'u' AS u", "TIMESTAMP_NTZ'2026-01-01' AS ts")
+    dimension.apply_scd2(many, DIM, "many")
+    before = stored()
+    batch = spark.createDataFrame([(120, 7, "u", D(9))], COLUMNS)
+    (bucket,) = dimension.apply_scd2(batch, DIM, "one")
+    after = stored()
+    assert {f for f in before if f not in after} | {f for f in after if f not in before} <= {f for f in {**before, **after} if f"_bucket={bucket}/" in f}
+    assert len([f for f in before if f in after]) >= 3 and len(before) >= 4
+    # What the batch reads: partitions of that bucket.
+    part = dimension.stored().where(f"_bucket = {bucket}")
+    assert all(f"_bucket={bucket}/" in f for f in part.inputFiles())
+    found = rows(dimension.read().where("k = 120"))
+    assert [(r[1], r[6]) for r in found] == [(1, False), (7, True)]
+
+
+def test_a_key_with_two_current_rows_gets_one_new_version(spark):
+    twice = [(1, 10, "x", D(1), D(1), None, True), (1, 11, "x", D(2), D(2), None, True), (2, 10, "x", D(1), D(1), None, True), (2, 20, "x", D(2), D(2), None, True)]
+    target, batch = frames(spark, twice, [(1, 30, "x", D(3)), (2, 20, "x", D(3))])
+    found = rows(scd2.apply_batch(target, batch, DIM))
+    assert found == sorted([(1, 10, "x", D(1), D(1), D(3), False), (1, 11, "x", D(2), D(2), D(3), False), (1, 30, "x", D(3), D(3), None, True), (2, 10, "x", D(1), D(1), D(3), False), twice[3]], key=repr)
+
+
+def test_null_keys_meet_nothing(spark):
+    target, batch = frames(spark, [(None, 10, "x", D(1), D(1), None, True), TARGET[0]], [(None, 11, "x", D(2))])
+    found = rows(scd2.apply_batch(target, batch, DIM))
+    assert found == sorted([(None, 10, "x", D(1), D(1), None, True), TARGET[0], (None, 11, "x", D(2), D(2), None, True)], key=repr)
