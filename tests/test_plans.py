@@ -142,7 +142,7 @@ def test_pipeline_end_to_end(spark, server, tmp_path):
     assert events.count() == 6 and events.where("status = 'success'").count() == 6
     means = {r.node_id: r for r in metrics.node_summary(engine.events()).collect()}
     assert set(means) == {"bronze.fetch", "silver.city", "gold.hot"} and all(r.batches == 2 and r.sum_post_seconds > 0 for r in means.values())
-    assert {n: r.sum_records for n, r in means.items()} == {"bronze.fetch": 4, "silver.city": 2, "gold.hot": 2}
+    assert {n: r.sum_records for n, r in means.items()} == {"bronze.fetch": 4, "silver.city": 4, "gold.hot": 2}
     assert metrics.node_summary(engine.events(), measures=metrics.MEMORY).where("avg_post_mib > 50").count() == 3
     assert metrics.filter_logs(engine.logs(), "info", component="silver.*").count() == 4
     before = sorted(map(tuple, engine.events().collect()), key=repr)
