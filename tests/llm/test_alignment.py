@@ -34,10 +34,11 @@ def by_hand():
         if b"".join(words_a) != whole or b"".join(words_b) != whole:
             return []
         ends_a, ends_b = np.cumsum([len(w) for w in words_a]).tolist(), np.cumsum([len(w) for w in words_b]).tolist()
-        out, start = [], 0
+        out, i, j = [], 0, 0
         for cut in sorted(set(ends_a) & set(ends_b)):
-            out.append(([k for k, e in zip(ids_a, ends_a, strict=True) if start < e <= cut], [k for k, e in zip(ids_b, ends_b, strict=True) if start < e <= cut]))
-            start = cut
+            upto_a, upto_b = ends_a.index(cut, i) + 1, ends_b.index(cut, j) + 1
+            out.append((ids_a[i:upto_a], ids_b[j:upto_b]))
+            i, j = upto_a, upto_b
         return out
 
     return groups
