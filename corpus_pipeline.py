@@ -22,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that line-first cleaning keeps, without the lines that it removes.
 
     n_chars follows the text; the other columns stay. Null and empty texts go; repeated
-    rows stay alike.
+    rows stay alike; an empty table gives no rows.
     """
     verdict = fresh_name(docs, "_verdict")
     kept = quality.with_verdict(docs, verdict).where(F.col(verdict)["kept"])
@@ -37,7 +37,8 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine, trained on the labelled ones among
-    them, scores below ``TOXIC``. Null texts have only the model's bias."""
+    them, scores below ``TOXIC``. Null texts have only the model's bias; repeated rows get
+    equal scores and stay or go alike; an empty table gives no rows."""
     model, score = toxicity.train(docs, table(spark, sf_dir, "labels")), fresh_name(docs, "_score")
     return toxicity.with_scores(docs, model, score).where(F.col(score) < TOXIC).select(*docs.columns)
 
@@ -55,7 +56,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     The join takes rows, not doc_ids: rows whose texts are unlike stay whether their
     doc_ids are null, the same or different, and copies go likewise. Rows without words
-    are in no group; of those, rows with one doc_id and text become one row.
+    are in no group; of those, rows with one doc_id and text become one row. An empty table
+    gives no rows.
     """
     rows, row = _numbered(docs, "distinct-rows")
     found = jaccard.jaccard_components(rows.select(F.col(row).alias("doc_id"), "text"))
@@ -75,7 +77,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     n_chars follows the text; the other columns of a copy are its document's. Documents
     without words have no place in a mix of words. Rows with null or repeated doc_ids
-    are documents of their own: a placement returns the row that it was made for.
+    are documents of their own: a placement returns the row that it was made for. An empty
+    table gives no rows.
     """
     copies, copy = mixing.mixed_copies(docs)
     return mixing.in_order(_counted(copies), copy).select(*docs.columns)
@@ -83,7 +86,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix packed into sequences of at most 2048 tokens; the columns of
-    :data:`millrace.llm.packing.PIECES`."""
+    :data:`millrace.llm.packing.PIECES`. Null and empty texts are packed as their end id
+    alone; repeated rows and null doc_ids are documents of their own; an empty table gives
+    no rows."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
