@@ -152,7 +152,7 @@ def per_worker(make: Callable, *args):
     return _kept["value"]
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Memory that is free again, to the system."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # of the GNU C library only
@@ -162,7 +162,7 @@ def _give_back() -> None:
 def _drop(task: int) -> None:
     if _last["task"] == task:
         _kept.clear()
-        _give_back()
+        give_back()
 
 
 # Functions of this module, which tasks meet by name: what they change is the worker's own.
@@ -174,7 +174,7 @@ def _begin() -> int:
 
 
 def _end(task: int) -> None:
-    _give_back()
+    give_back()
     idle = threading.Timer(IDLE, _drop, [task])
     idle.daemon = True
     idle.start()

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import discard, materialize, releasing, slices, split_words
+from millrace.llm.common import discard, give_back, materialize, releasing, slices, split_words
 
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6)
@@ -242,7 +242,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, least_z: f
 
     paired = np.zeros(len(buckets), dtype=bool)
     paired[common] = pair_scores(*only(common), y, int(common.sum()), least_rows) >= least_pair_z
-    return fit(*only(tells | paired), y, buckets[tells | paired].astype(np.int64), seed=seed)
+    model = fit(*only(tells | paired), y, buckets[tells | paired].astype(np.int64), seed=seed)
+    del rows, features
+    give_back()  # the driver goes on with other work
+    return model
 
 
 def with_scores(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
