@@ -22,6 +22,12 @@ from millrace.llm.quality import words_of
 
 MOST_REPEATS = 3
 WEIGHTS = (1, 2, 3)
+#: Parts into which a number of their own deals rows alike in source, doc_id and size.
+SALTS = 256
+#: Sources whose quotas are drawn together in a task.
+GROUP_SOURCES = 4096
+#: Blocks of all sources; numpy's draws take fewer than 10^9.
+MOST_BLOCKS = 500_000_000
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
@@ -30,38 +36,46 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     Sources rank by code point, null last, and weigh ``weights`` in turn; together the
     targets are all words. With sources ordered by the share at which they reach
     ``most`` times their size, those before the first that stays below are capped and
-    it and those after share what remains by weight. The windows run over one row per
-    source, not over documents.
+    it and those after share what remains by weight. Sources are ranked in ranges. The
+    share is found over kinds of sources, alike in size and weight: n words have fewer
+    than sqrt(2 n) sizes of sources, so kinds are few however many sources there are.
     """
+    by_name = F.col("source").asc_nulls_last()
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1)
-    capped = ranked.withColumn("weight", weight).withColumn("cap", F.lit(float(most)) * F.col("source_size"))
-    order = Window.orderBy(F.col("cap") / F.col("weight"), "rank")
-    everything = Window.partitionBy()
-    before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    weights_left = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    shared = capped.withColumn("share", (F.sum("source_size").over(everything).cast("double") - before) / weights_left)
-    free = F.first(F.when(F.col("cap") > F.col("share") * F.col("weight"), F.col("share")), ignorenulls=True)
-    shared = shared.withColumn("share", free.over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    target = F.least(F.col("cap"), F.coalesce(F.col("share") * F.col("weight"), F.col("cap")))
-    return shared.select("source", "rank", "source_size", target.alias("target"))
-
-
-def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """Blocks of each source for each shard: (shards, sources), rows nearly equal in
-    sum, columns exactly the quotas."""
+    ranged = materialize(sizes.repartitionByRange(by_name).withColumn("part", F.spark_partition_id()), "mixing-sources")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("base"))
+    rank = F.col("base") + F.row_number().over(Window.partitionBy("part").orderBy(by_name))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int"))
+    weighed = ranged.join(parts, "part").select("source", "source_size", rank.alias("rank")).withColumn("weight", weight)
+
+    cap = F.lit(float(most)) * F.col("source_size")
+    kinds = weighed.groupBy("source_size", "weight").agg(F.count("*").alias("n"))
+    order = Window.orderBy(cap / F.col("weight"), "weight")
+    total = F.sum(F.col("source_size") * F.col("n")).over(Window.partitionBy()).cast("double")
+    before = F.coalesce(F.sum(cap * F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    weights_left = F.sum(F.col("weight") * F.col("n")).over(order.rowsBetween(0, Window.unboundedFollowing))
+    free = kinds.withColumn("share", (total - before) / weights_left).where(cap > F.col("share") * F.col("weight"))
+    share = free.agg(F.min_by("share", F.struct(cap / F.col("weight"), "weight"))).first()[0]
+    target = cap if share is None else F.least(cap, F.lit(share) * F.col("weight"))
+    return weighed.select("source", "rank", "source_size", target.alias("target"))
+
+
+def split_quotas(quotas: np.ndarray, shards: int, seed: int, totals: np.ndarray | None = None, group: int = 0) -> np.ndarray:
+    """Blocks of each source for each shard: (shards, sources), columns exactly the
+    quotas, rows in sum ``totals``, or else nearly equal. A ``group`` of sources has
+    draws of its own."""
     out = np.zeros((shards, len(quotas)), dtype=np.int64)
+    if totals is None:
+        totals = np.diff(np.arange(shards + 1) * int(quotas.sum()) // shards)
 
     def split(left: int, right: int, total: np.ndarray) -> None:
         if right - left == 1:
             out[left] = total
             return
         middle = (left + right) // 2
-        blocks = int(total.sum())
-        draw = blocks * (middle - left) // (right - left)
-        rng = np.random.default_rng([seed, left, right])
-        part = rng.multivariate_hypergeometric(total, draw, method="marginals") if blocks else total
+        rng = np.random.default_rng([seed, group, left, right])
+        part = rng.multivariate_hypergeometric(total, int(totals[left:middle].sum()), method="marginals") if total.any() else total
         split(left, middle, part)
         split(middle, right, total - part)
 
@@ -69,6 +83,33 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
+def source_quotas(targets: DataFrame, shards: int, block_words: int, seed: int) -> tuple[DataFrame, int]:
+    """Of each source its words (the target, rounded), blocks, and upto (blocks in each
+    shard and those before it), with source, source_size and target; and the words of
+    a block, which are more than ``block_words`` where there would be more than
+    ``MOST_BLOCKS`` blocks.
+
+    The tree is split over groups of sources first: the driver draws the quotas of the
+    groups, and a task those of the sources of a group, given the group's. Together
+    that is one multivariate hypergeometric draw over all sources. The driver holds 8
+    bytes a shard for each ``GROUP_SOURCES`` sources.
+    """
+    worded = targets.withColumn("words", F.rint("target").cast("long"))
+    block_words = max(block_words, -(-(worded.agg(F.sum("words")).first()[0] or 0) // MOST_BLOCKS))
+    blocks = F.expr(f"(words + {block_words - 1}L) div {block_words}L")
+    grouped = worded.withColumn("blocks", blocks).withColumn("group", F.expr(f"(rank - 1) div {GROUP_SOURCES}"))
+    totals = grouped.groupBy("group").agg(F.sum("blocks").alias("blocks")).orderBy("group").toPandas()
+    shares = split_quotas(totals["blocks"].to_numpy(np.int64), shards, seed)
+
+    def draw(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("rank")
+        group = int(rows["group"].iloc[0])
+        drawn = split_quotas(rows["blocks"].to_numpy(), shards, seed, shares[:, group], group + 1)
+        return rows.assign(upto=list(np.cumsum(drawn, axis=0).T))
+
+    return grouped.groupBy("group").applyInPandas(draw, grouped.schema.simpleString()[7:-1] + ",upto:array<bigint>").drop("rank", "group"), block_words
+
+
 def permuted(places: np.ndarray, n: np.ndarray, seed: int) -> np.ndarray:
     """Each of 0 to n - 1 at its place in a permutation of them that the seed and n
     decide: a Feistel network over the next power of four, walked until it ends below n.
@@ -104,48 +145,51 @@ def mix_sources(docs: DataFrame, shards: int = 64, block_words: int = 4096, weig
     Null texts have no words, and documents without words no placements; a null source
     is a source of its own, the last; repeated rows are documents of their own; an
     empty table gives no rows; other columns are left out, but for those in ``carry``,
-    which come last and decide ties of doc_id and size. Words before a document in
-    its source's stream are sums over 4096 hash ranges of the source and then within
-    the range, so a source of any size is spread over tasks. The source table itself
-    goes to the driver, which draws the quotas and sends them to the tasks: 8 bytes per
-    source and shard, so 51 MB for 100,000 sources and 64 shards.
+    which come last. A source's stream is in the order of a hash of doc_id, then of
+    sizes; which of several rows alike in both comes first is left to a stored number
+    of the row. Words before a document are sums over 4096 hash ranges of its source,
+    over the kinds of rows (alike in doc_id and size, in ``SALTS`` parts) of the range,
+    and over the rows of the kind, so neither a source nor a doc_id that very many rows
+    share, nor their having none, is one task's.
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = materialize(docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), key.alias("key"), *carry), "mixing-sizes")
-    targets = materialize(source_targets(sized, weights, most).coalesce(1), "mixing-targets")
-    ranged = sized.withColumn("range", F.substring("key", 1, 3))
-    sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("words"))
-    earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("base", F.coalesce(F.sum("words").over(earlier), F.lit(0))).drop("words")
-    sums = sums.join(targets, sums.source.eqNullSafe(targets.source)).drop(targets.source)
-    same = ranged.source.eqNullSafe(sums.source) & (ranged.range == sums.range)
-    joined = ranged.join(sums, same).drop(sums.source).drop(sums.range)
-    within = Window.partitionBy("rank", "range").orderBy("key", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, -1)
-    streamed = joined.withColumn("before", F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-
-    rows = targets.select("rank", "source_size", "target").toPandas().sort_values("rank")
-    words = np.rint(rows["target"].to_numpy()).astype(np.int64)
-    quotas = -(-words // block_words)
-    upto = np.cumsum(split_quotas(quotas, shards, seed), axis=0).T
+    sized = materialize(docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), key.alias("key"), F.monotonically_increasing_id().alias("row"), *carry), "mixing-sizes")
+    drawn, block_words = source_quotas(materialize(source_targets(sized, weights, most), "mixing-targets"), shards, block_words, seed)
+    # A name for every source, null included, that joins can take.
+    stream = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("stream")
+    drawn = materialize(drawn.select(stream, "source_size", "target", "words", "blocks", "upto"), "mixing-quotas")
+
+    alike = ["stream", "key", "size", "salt"]
+    rows = sized.select("*", stream, F.substring("key", 1, 3).alias("range"), F.pmod(F.xxhash64("row"), F.lit(SALTS)).alias("salt"))
+    sums = rows.groupBy("stream", "range").agg(F.sum("size").alias("all"))
+    earlier = Window.partitionBy("stream").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("stream", "range", F.coalesce(F.sum("all").over(earlier), F.lit(0)).alias("base"))
+    kinds = rows.groupBy(*alike, "range").agg(F.sum("size").alias("all"))
+    within = Window.partitionBy("stream", "range").orderBy("key", "size", "salt").rowsBetween(Window.unboundedPreceding, -1)
+    kinds = kinds.withColumn("within", F.coalesce(F.sum("all").over(within), F.lit(0))).join(sums, ["stream", "range"])
+    nth = F.row_number().over(Window.partitionBy(*alike).orderBy("row")) - 1
+    numbered = rows.drop("range").withColumn("nth", nth).join(kinds.select(*alike, (F.col("base") + F.col("within")).alias("first")), alike)
+    streamed = numbered.withColumn("before", F.col("first") + F.col("nth") * F.col("size")).join(drawn, "stream")
 
     @F.pandas_udf(PLACED)
-    def placed(rank: pd.Series, before: pd.Series, size: pd.Series, total: pd.Series, key: pd.Series) -> pd.Series:
+    def placed(before: pd.Series, size: pd.Series, whole: pd.Series, key: pd.Series, words: pd.Series, blocks: pd.Series, upto: pd.Series) -> pd.Series:
         out: list[list[dict]] = [[] for _ in range(len(size))]
-        s, start, n, whole = rank.to_numpy() - 1, before.to_numpy(), size.to_numpy(), total.to_numpy()
+        start, n, whole, words, blocks = (x.to_numpy() for x in (before, size, whole, words, blocks))
         mixed = key.str.slice(3, 15).map(lambda x: int(x, 16)).to_numpy(dtype=np.int64) if len(key) else np.empty(0, np.int64)
         for epoch in range(most):
             first = start + epoch * whole
-            taken = np.clip(words[s] - first, 0, n)
+            taken = np.clip(words - first, 0, n)
             chosen = np.flatnonzero(taken)
             # The block in which a copy begins, at its drawn place among its source's blocks.
-            slots = permuted(first[chosen] // block_words, quotas[s[chosen]], seed)
+            slots = permuted(first[chosen] // block_words, blocks[chosen], seed)
             for k, slot in zip(chosen.tolist(), slots.tolist(), strict=True):
-                shard = int(np.searchsorted(upto[s[k]], slot, "right"))
+                shard = int(np.searchsorted(upto.iat[k], slot, "right"))
                 place = (int(mixed[k]) * 2654435761 + slot * 40503 + epoch * 97) % (1 << 61)
                 out[k].append({"epoch": epoch, "words": int(taken[k]), "shard": shard, "place": place})
         return pd.Series(out)
 
-    return streamed.select("doc_id", "size", "source_size", "target", placed("rank", "before", "size", "source_size", "key").alias("placements"), *carry)
+    placements = placed("before", "size", "source_size", "key", "words", "blocks", "upto").alias("placements")
+    return streamed.select("doc_id", "size", "source_size", "target", placements, *carry)
 
 
 def taken_words(mixed: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import public_tokenizers
 import pytest
@@ -560,6 +562,50 @@ def test_placements(documents):
     assert words.max() < 2 * words.mean()  # blocks are counted by where documents start
 
 
+def test_hot_doc_ids_of_a_mix_are_split(spark):
+    """Rows without a doc_id, alike in all else or only in size, end in many tasks."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        n = 20_000
+        text = F.when(F.col("id") % 2 == 0, "one and the same text").otherwise(F.concat_ws(" ", F.lit("text of four"), "id"))
+        docs = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), text.alias("text"), F.when(F.col("id") % 10 > 0, "a").alias("source"))
+        mixed = mixing.taken_words(mixing.mix_sources(docs)).withColumn("task", F.spark_partition_id())
+        tasks = mixed.groupBy("task").agg(F.count("*").alias("n")).toPandas()
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert tasks.n.sum() == n and len(tasks) == parts and tasks.n.max() < 1.5 * n / parts
+        words = mixed.groupBy("target").agg(F.sum("taken").alias("taken")).collect()
+        assert len(words) == 2 and all(r.taken == round(r.target) for r in words)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_mix_of_many_sources(spark, monkeypatch):
+    """More sources than a task draws for, in more blocks than may be."""
+    monkeypatch.setattr(mixing, "GROUP_SOURCES", 512)
+    rng = np.random.default_rng(3)
+    rows = pd.DataFrame({"doc_id": np.arange(6000), "source": [f"s{k}" for k in rng.integers(0, 2000, 6000)]})
+    rows["text"] = ["w " * int(k) for k in rng.pareto(1.0, 6000) * 5 + 1]
+    docs = spark.createDataFrame(rows)
+    database = duckdb.connect()
+    database.register("documents", rows)
+    mixed = mixing.mix_sources(docs, shards=8, block_words=16)
+    columns = ["doc_id", "size", "source_size", "target", "taken"]
+    same(mixing.taken_words(mixed).select(*columns).toPandas(), database.sql(mixing.oracle()).df())
+
+    targets = mixing.source_targets(docs.select("source", F.size(F.split("text", " ")).cast("long").alias("size"))).toPandas()
+    assert targets.sort_values("rank").source.tolist() == sorted(set(rows.source))
+    assert sorted(targets["rank"]) == list(range(1, len(targets) + 1))
+
+    quotas, block_words = mixing.source_quotas(spark.createDataFrame(targets), 8, 16, 11)
+    quotas = quotas.toPandas()
+    upto = np.stack(quotas.upto)
+    assert block_words == 16 and (upto[:, -1] == quotas.blocks).all() and (np.diff(upto, axis=1) >= 0).all()
+    assert (quotas.blocks == -(-quotas.words // 16)).all() and np.ptp(np.diff(upto, axis=1, prepend=0).sum(axis=0)) <= 1
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 100)
+    _, wider = mixing.source_quotas(spark.createDataFrame(targets), 8, 16, 11)
+    assert wider == -(-int(quotas.words.sum()) // 100)
+
+
 # 9
 
 
