@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from millrace.llm.common import materialize
+from millrace.llm.common import discard, fresh_name, materialize
 
 LOWEST = -(2**63)
 
@@ -106,7 +106,7 @@ def choose_ranges(sized: DataFrame, ranges: int, sample_rows: int, seed: int, mo
     return splitters, stats
 
 
-def shard_records(docs: DataFrame, shards: int = 16, ranges_per_shard: int = 64, sample_rows: int = 32_768, seed: int = 17) -> DataFrame:
+def shard_records(docs: DataFrame, shards: int = 16, ranges_per_shard: int = 64, sample_rows: int = 32_768, seed: int = 17, carry: tuple[str, ...] = ()) -> DataFrame:
     """Put every row into one of ``shards`` shards of nearly equal bytes.
 
     One row per row of ``docs``: doc_id, size (UTF-8 bytes of the text plus 1),
@@ -114,13 +114,13 @@ def shard_records(docs: DataFrame, shards: int = 16, ranges_per_shard: int = 64,
     null grown_shard, which only laws by key have. Null texts have size 1 and the
     crc32 of nothing; null doc_ids sort first; repeated rows are rows of their own, and
     a shard's boundary may lie among them; an empty table gives no rows; other columns
-    are left out.
+    are left out, but for those in ``carry``, which come last.
 
     A shard misses the mean by about one range, a 64th of a shard, or by one document
     where that is larger.
     """
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.select("doc_id", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("h"), F.coalesce("doc_id", F.lit(LOWEST)).alias("i"), F.monotonically_increasing_id().alias("row"))
+    keyed = docs.select("doc_id", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("h"), F.coalesce("doc_id", F.lit(LOWEST)).alias("i"), F.monotonically_increasing_id().alias("row"), *carry)
     keyed = materialize(keyed, "sharding-keys")
     splitters, stats = choose_ranges(keyed, shards * ranges_per_shard, sample_rows, seed)
     before = stats["bytes"].cumsum() - stats["bytes"]
@@ -130,11 +130,17 @@ def shard_records(docs: DataFrame, shards: int = 16, ranges_per_shard: int = 64,
     small = docs.sparkSession.createDataFrame([tuple(map(int, r)) for r in plan.itertuples(index=False)], "range int, shard int, base long")
     place = Window.partitionBy("range").orderBy(*KEY)
     ranged = keyed.withColumn("range", _range_of(splitters)).join(F.broadcast(small), "range")  # one row per range, whose number is a parameter
-    return ranged.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.row_number().over(place) - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return ranged.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.row_number().over(place) - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *carry)
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:
-    """Write every row of ``docs`` (doc_ids must be unique) once, as one folder per
-    shard, ordered by slot within it; ``options`` are those of :func:`shard_records`."""
-    placed = docs.join(shard_records(docs, **options).select("doc_id", "shard", "slot"), "doc_id")
-    placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write every row of ``docs`` once, as one folder per shard, ordered by slot within
+    it; ``options`` are those of :func:`shard_records`. Rows are met by a number of their
+    own, so null and repeated doc_ids are rows like others. The columns shard and slot
+    get a leading underscore where ``docs`` has such columns."""
+    row, shard, slot = (fresh_name(docs, name) for name in ("_row", "shard", "slot"))
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "sharding-rows")
+    places = shard_records(rows, carry=(row,), **options).select(row, F.col("shard").alias(shard), F.col("slot").alias(slot))
+    placed = rows.join(places, row).drop(row)
+    placed.repartitionByRange(shard, slot).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
+    discard(rows)

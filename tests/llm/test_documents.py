@@ -95,6 +95,17 @@ def test_splitters_locate_like_a_sorted_list():
     assert splitters.locate(probe).tolist() == [sum(s <= tuple(k) for s in keys[::3]) for k in probe.tolist()]
 
 
+def test_write_shards_of_null_and_repeated_ids(spark, clashing, tmp_path):
+    """Every row once, with its columns, whatever its doc_id."""
+    sharding.write_shards(clashing, str(tmp_path / "odd"), shards=3)
+    found = spark.read.parquet(str(tmp_path / "odd"))
+    assert Counter(map(tuple, found.select(*clashing.columns).collect())) == Counter(map(tuple, clashing.collect()))
+    slots = defaultdict(list)
+    for r in found.select("_shard", "slot").collect():
+        slots[r[0]].append(r.slot)
+    assert all(sorted(own) == list(range(len(own))) for own in slots.values())
+
+
 def test_write_shards(documents, tmp_path):
     sharding.write_shards(documents, str(tmp_path / "shards"), shards=4)
     stored = documents.sparkSession.read.parquet(str(tmp_path / "shards"))
