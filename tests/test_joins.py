@@ -96,6 +96,16 @@ def test_sketches_of_batches_merge(spark):
     assert row.n == 15_000 and abs(row.d - 11_000) <= aggregates.BOUND * 11_000 and 4500 < row.m < 6500
 
 
+def test_estimates_of_distinct_parts_keep_registers_by_flag_only(spark, tmp_path, capsys):
+    rows = [("A", 1), ("A", 1), ("A", None), ("B", None), (None, 5), (None, 6), (None, 5), *[("C", k % 700) for k in range(2000)]]
+    spark.createDataFrame(rows, "l_returnflag string, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = catalogue.QUERIES["agg_approx_distinct"](spark, str(tmp_path))
+    assert {tuple(r) for r in found.collect()} == {("A", 1, True), ("B", 0, True), (None, 2, True), ("C", 700, True)}
+    found.explain()
+    # Registers stand in no aggregate whose keys include the part.
+    assert not [line for line in capsys.readouterr().out.splitlines() if "approx_count_distinct" in line and "l_partkey" in line.split("functions=")[0]]
+
+
 def test_bitmaps_of_large_numbers_and_nulls(spark):
     rows = [(k % 3, k % 2, v) for k in range(60) for v in (k * 40_000 % 100_003, None)]
     found = {(r.a, r.b): r.distinct for r in aggregates.distinct_rollup(spark.createDataFrame(rows, "a int, b int, v long"), ["a", "b"], "v").collect()}
