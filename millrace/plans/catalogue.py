@@ -559,19 +559,29 @@ def _event_stream(spark, sf_dir) -> DataFrame:
     return streams.read_log(spark, f"{sf_dir}/events*.parquet", schema)
 
 
-def _ending(spark, sf_dir, name: str) -> DataFrame:
-    """A stream of the events in the order of their days, in several files, and then two
-    clicks of a user -1, a year later: the first moves the watermark past all others, the
-    second starts the batch that meets it."""
-    log, events = scratch_path(spark, name), read(spark, sf_dir, "events")
+def _ending(spark, sf_dir, name: str, found: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``found`` makes of a stream of the events in the order of their days, and then
+    two clicks of a user -1, a year later: the first moves the watermark past all others,
+    the second starts the batch that meets it.
+
+    The stream is drained whenever a part of it, a third of the days or a click, has
+    arrived, so each is a micro-batch of its own however many files it has: these are in
+    no order of time, and a batch of some of them would make the others' rows late.
+    """
+    path, events = scratch_path(spark, name), read(spark, sf_dir, "events")
+
+    def arrives(rows: DataFrame, part: str) -> None:
+        streams.append_log(rows, f"{path}/log", part)
+        streams.drain_to(found(streams.read_log(spark, f"{path}/log", events.schema)), f"{path}/rows", f"{path}/checkpoint")
+
     first, last = events.agg(F.min("ts"), F.max("ts")).first()
     for k in range(3 if first else 0):
         third = lambda n: first + (last - first) * n / 3  # noqa: E731, B023
-        streams.append_log(events.where((F.col("ts") >= F.lit(third(k))) & ((F.col("ts") < F.lit(third(k + 1))) | F.lit(k == 2))), log, str(k))
+        arrives(events.where((F.col("ts") >= F.lit(third(k))) & ((F.col("ts") < F.lit(third(k + 1))) | F.lit(k == 2))), str(k))
     for k in range(2):
         end = events.agg((F.max("ts") + F.expr(f"INTERVAL {365 + k} DAYS")).alias("ts"))
-        streams.append_log(end.select(*[F.col("ts") if c == "ts" else F.lit("click" if c == "event_type" else -1 if c in ("event_id", "user_id") else None).cast(t).alias(c) for c, t in events.dtypes]), log, f"end-{k}")
-    return streams.read_log(spark, log, events.schema, files_per_trigger=1)
+        arrives(end.select(*[F.col("ts") if c == "ts" else F.lit("click" if c == "event_type" else -1 if c in ("event_id", "user_id") else None).cast(t).alias(c) for c, t in events.dtypes]), f"end-{k}")
+    return spark.read.parquet(f"{path}/rows")
 
 
 def _drained(spark, df: DataFrame, name: str, aggregate: bool = True) -> DataFrame:
@@ -628,9 +638,8 @@ SELECT min(ts) AS session_start, user_id, count(*) AS n FROM numbered GROUP BY u
 def stream_session(spark, sf_dir):
     """In append mode: a session is written once, when the watermark has passed it, and
     leaves the state."""
-    events = streams.timed(_ending(spark, sf_dir, "sessions-log"), "ts", "1 hour")
-    found = streams.sessions(events, "ts", "2 hours", ["user_id"], F.count("*").alias("n"))
-    return _drained(spark, found, "sessions", False).where("user_id >= 0").withColumn("session_start", F.col("session_start").cast("timestamp_ntz"))
+    found = lambda events: streams.sessions(streams.timed(events, "ts", "1 hour"), "ts", "2 hours", ["user_id"], F.count("*").alias("n"))
+    return _ending(spark, sf_dir, "sessions", found).where("user_id >= 0").withColumn("session_start", F.col("session_start").cast("timestamp_ntz"))
 
 
 @query("""SELECT user_id, event_id AS opened, (SELECT p.event_id FROM events p WHERE p.user_id = c.user_id AND p.event_type = 'purchase' AND p.ts > c.ts AND p.ts <= c.ts + INTERVAL 6 HOUR ORDER BY p.ts, p.event_id LIMIT 1) AS answer
@@ -638,9 +647,8 @@ FROM events c WHERE event_type = 'click'""")
 def stream_state_timers(spark, sf_dir):
     """For each click the user's first purchase within six hours, or an alert without."""
     rule = streams.Awaited(["user_id"], "event_id", "ts", "event_type", "click", "purchase", 6 * 3_600_000)
-    events = streams.timed(_ending(spark, sf_dir, "timers-log"), "ts", "1 hour")
     with streams.keyed_state(spark):
-        return _drained(spark, streams.awaited(events, rule), "timers", False).where("user_id >= 0")
+        return _ending(spark, sf_dir, "timers", lambda events: streams.awaited(streams.timed(events, "ts", "1 hour"), rule)).where("user_id >= 0")
 
 
 @query("SELECT event_id, user_id FROM events")

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -163,68 +164,81 @@ class Awaited:
 
 
 class _Waiting(StatefulProcessor):
-    """Per key: a list of open rows, ids and times, and one of closing rows that some
-    open row, out of order, may still come before. A timer at each row's limit tells that
-    the watermark has passed it, so no answer can come any more."""
+    """Per bucket of keys: a list of chunks of rows, Arrow streams of keys, ids, times and
+    whether they open, of which those that close stay while some open row, out of order,
+    may still come before. One timer at the earliest limit of what is held tells that the
+    watermark has passed it; it settles all rows whose limit the watermark has passed, for
+    no answer can come for them any more."""
 
     def __init__(self, rule: Awaited):
         self.rule = rule
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.opened = handle.getListState("opened", "id long, at long")
-        self.closed = handle.getListState("closed", "id long, at long")
+        self.held = handle.getListState("held", "chunk binary")
+
+    def _limit(self, at: pd.Series) -> pd.Series:
+        return at // 1000 + self.rule.within_ms
+
+    def _append(self, rows: pd.DataFrame) -> None:
+        table = pa.Table.from_pandas(rows, preserve_index=False)
+        for k in range(0, table.num_rows, CHUNK):
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, table.schema) as writer:
+                writer.write_table(table.slice(k, CHUNK))
+            self.held.appendValue((out.getvalue().to_pybytes(),))
+        # One millisecond more: a row at the limit itself still answers.
+        self.handle.registerTimer(int(self._limit(rows["at"]).min()) + 1)
 
     def handleInputRows(self, key, rows, timerValues):
-        opened, closed = [], []
-        for part in rows:
-            for ident, at, kind in zip(part[self.rule.ident], part["at_micros"], part[self.rule.kind], strict=True):
-                (opened if kind == self.rule.opens else closed).append((int(ident), int(at)))
-                # One millisecond more: a row at the limit itself still answers.
-                self.handle.registerTimer(int(at) // 1000 + self.rule.within_ms + 1)
-        if opened:
-            self.opened.appendList(opened)
-        if closed:
-            self.closed.appendList(closed)
+        by = [*self.rule.keys, "nulls"]
+        fresh = pd.concat([part[[*by, "id", "at", "opens"]] for part in rows])
+        self._append(fresh.astype({c: "int64" for c in (*by, "id", "at")}))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        limit, within = expiredTimerInfo.getExpiryTimeInMs(), 1000 * self.rule.within_ms
-        # In order of time and of ids; a timer settles all whose limit it has reached.
-        opened, closed = sorted(self.opened.get(), key=lambda r: (r[1], r[0])), sorted(self.closed.get(), key=lambda r: (r[1], r[0]))
-        due = [r for r in opened if r[1] // 1000 + self.rule.within_ms < limit]
-        rest = [r for r in opened if r[1] // 1000 + self.rule.within_ms >= limit]
-        found = []
-        for ident, at in due:
-            answer = next((c for c in closed if at < c[1] <= at + within), None)
-            found.append((*key, ident, None if answer is None else answer[0]))
-        self._put(self.opened, rest)
-        self._put(self.closed, [c for c in closed if c[1] // 1000 + self.rule.within_ms >= limit])
-        if found:
-            names = [*self.rule.keys, "opened", "answer"]
-            frame = pd.DataFrame({n: pd.array([f[k] for f in found], dtype="Int64") for k, n in enumerate(names)})
-            yield frame
-
-    @staticmethod
-    def _put(state, rows) -> None:
-        if rows:
-            state.put([tuple(r) for r in rows])
-        else:
-            state.clear()
+        by, passed = [*self.rule.keys, "nulls"], timerValues.getCurrentWatermarkInMs()
+        chunks = [pa.ipc.open_stream(chunk).read_all() for (chunk,) in self.held.get()]
+        if not chunks:
+            return
+        rows = pa.concat_tables(chunks).to_pandas().sort_values(["at", "id"])
+        over = self._limit(rows["at"]) < passed
+        if not over.any():
+            return
+        due = rows[over & rows["opens"]]
+        # Of rows that close at one time the one with the smallest id answers; a null key meets none.
+        closed = rows[~rows["opens"] & (rows["nulls"] == 0)].drop_duplicates([*by, "at"])
+        self.held.clear()
+        if not over.all():
+            self._append(rows[~over])
+        if len(due):
+            answers = closed[[*by, "at", "id"]].rename(columns={"id": "answer"}).astype({"answer": "Int64"})
+            met = pd.merge_asof(due[[*by, "at", "id"]], answers, on="at", by=by, direction="forward", allow_exact_matches=False, tolerance=1000 * self.rule.within_ms)
+            keys = {k: met[k].astype("Int64").mask(met["nulls"] // 2**n % 2 == 1) for n, k in enumerate(self.rule.keys)}
+            yield pd.DataFrame({**keys, "opened": met["id"].astype("Int64"), "answer": met["answer"].astype("Int64")})
 
     def close(self) -> None:
         pass
 
 
-def awaited(df: DataFrame, rule: Awaited) -> DataFrame:
+#: Rows of a chunk of state.
+CHUNK = 50_000
+
+
+def awaited(df: DataFrame, rule: Awaited, buckets: int = 256) -> DataFrame:
     """(keys, opened, answer) of a watermarked stream: each row that opens, with the first
     row that closes in time, or null as an alert. Ids and keys are whole numbers.
 
     Only rows of the two kinds move the watermark, for Spark filters before it. State is
-    kept by key in the state store and goes when its timers have expired: a key
-    holds what lies within the limit and the watermark's delay. Rows come out when the
-    watermark has passed their limit.
+    kept in the state store by ``buckets`` of keys, each of which is called once a
+    micro-batch, for a call costs milliseconds, however few rows it has. It goes when its
+    timers have expired: a bucket holds what lies within the limit and the watermark's
+    delay, in the memory of its task while it is settled. The number of buckets belongs to
+    the checkpoint. Rows come out when the watermark has passed their limit; those with a
+    null key as alerts.
     """
-    rows = df.where(F.col(rule.kind).isin(rule.opens, rule.closes)).select(*rule.keys, rule.ident, rule.time, rule.kind, F.unix_micros(rule.time).alias("at_micros"))
+    nulls = reduce(lambda a, b: a + b, [F.col(k).isNull().cast("long") * 2**n for n, k in enumerate(rule.keys)])
+    keys = [F.coalesce(F.col(k).cast("long"), F.lit(0)).alias(k) for k in rule.keys]
+    rows = df.where(F.col(rule.kind).isin(rule.opens, rule.closes)).select(F.pmod(F.xxhash64(*rule.keys), F.lit(buckets)).alias("_bucket"), *keys, nulls.alias("nulls"), F.col(rule.ident).alias("id"), F.unix_micros(rule.time).alias("at"), (F.col(rule.kind) == rule.opens).alias("opens"), F.col(rule.time).alias("_time"))
     fields = ", ".join(f"{k} long" for k in [*rule.keys, "opened", "answer"])
-    return rows.groupBy(*rule.keys).transformWithStateInPandas(statefulProcessor=_Waiting(rule), outputStructType=fields, outputMode="append", timeMode="eventTime")
+    return rows.groupBy("_bucket").transformWithStateInPandas(statefulProcessor=_Waiting(rule), outputStructType=fields, outputMode="append", timeMode="eventTime")

@@ -9,6 +9,7 @@ import time
 from http.server import BaseHTTPRequestHandler, HTTPServer
 from urllib.parse import parse_qs, urlparse
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from millrace.plans.runner import Engine
 from millrace.sources import tables
 from millrace.sources.catalog import Table
 from millrace.streaming import streams
+from tests.oracle import same
 
 
 def test_pages_with_other_columns(spark):
@@ -251,6 +253,57 @@ def test_keyed_state_over_batches_and_a_restart(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
 
 
+def test_timers_are_called_by_bucket_not_by_row(spark, tmp_path, monkeypatch):
+    start = datetime.datetime(2026, 1, 1)
+    at = lambda m: start + datetime.timedelta(minutes=m)
+    # Users with many rows, ties of closing rows, and no user at all; the last rows end the stream.
+    rows = [(2 * k + 1, (k % 7) or None, "click" if k % 3 else "buy", at(k // 2)) for k in range(300)] + [(2 * k, 3, "buy", at(k)) for k in range(20, 40)] + [(77_000, 3, "buy", at(25)), (2**60 + 1, 2**60 + 3, "click", at(0))]
+    for name, part in (("0", rows[::2]), ("1", rows[1::2]), ("2", [(9_001, -1, "click", at(9_000))]), ("3", [(9_003, -1, "click", at(9_100))])):
+        streams.append_log(spark.createDataFrame(part, "id long, u long, kind string, ts timestamp_ntz").coalesce(1), str(tmp_path / "log"), name)
+    log = streams.read_log(spark, str(tmp_path / "log"), spark.read.parquet(str(tmp_path / "log" / "b-0")).schema, files_per_trigger=1)
+    rule = streams.Awaited(["u"], "id", "ts", "kind", "click", "buy", 10 * 60_000)
+    registered, fresh = str(tmp_path / "registered"), streams._Waiting.init
+
+    def init(self, handle):
+        fresh(self, handle)
+        self.handle, register = handle, handle.registerTimer
+
+        def noted(time):
+            with open(registered, "a") as file:
+                file.write("x")
+            register(time)
+
+        handle.registerTimer = noted
+
+    monkeypatch.setattr(streams._Waiting, "init", init)
+    monkeypatch.setattr(streams._Waiting, "__module__", "__main__")  # pickled by value, with the method above
+    with streams.keyed_state(spark):
+        streams.drain_to(streams.awaited(streams.timed(log, "ts", "1 day"), rule, buckets=2), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    found = sorted((r.u, r.opened, r.answer) for r in spark.read.parquet(str(tmp_path / "out")).where("u IS NULL OR u >= 0").selectExpr("coalesce(u, -9) AS u", "opened", "coalesce(answer, -9) AS answer").collect())
+    expected = []
+    for i, u, kind, t in rows:
+        if kind == "click":
+            later = [(s, j) for j, v, k, s in rows if k == "buy" and u is not None and v == u and t < s <= t + datetime.timedelta(minutes=10)]
+            expected.append((-9 if u is None else u, i, min(later)[1] if later else -9))
+    assert found == sorted(expected)
+    # Two buckets, at most a timer for each batch and one for what stays; there were 320 for the rows.
+    assert len(open(registered).read()) <= 16
+
+
+@pytest.mark.parametrize("name", ["stream_state_timers", "stream_session"])
+def test_no_row_is_late_when_a_part_of_a_stream_has_several_files(spark, sf_dir, tmp_path, name):
+    # Files that don't follow each other in time.
+    spark.read.parquet(f"{sf_dir}/events.parquet").repartition(4, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # a task for each file
+    try:
+        same(catalogue.QUERIES[name](spark, str(tmp_path)).toPandas(), con.sql(catalogue.ORACLES[name]).df())
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+
+
 def test_sessions_leave_the_state(spark, tmp_path):
     start = datetime.datetime(2026, 1, 1)
     for k in range(6):
