@@ -136,6 +136,11 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
     return met.where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("_at")
 
 
+#: Right points in the cell of one, itself included, on average; and the least width of a
+#: cell as a share of the longest way: numbers of cells stay exact in doubles.
+CROWD, FINEST = 4, 2.0**-48
+
+
 def nearest_join(left: DataFrame, right: DataFrame, left_at: tuple[str, str], right_at: tuple[str, str], key: str, cell: float) -> DataFrame:
     """Each left row with the ``key`` of the right row nearest to its point, the smallest
     of several, and the squared distance; nulls for a point with a null coordinate, or if
@@ -146,7 +151,10 @@ def nearest_join(left: DataFrame, right: DataFrame, left_at: tuple[str, str], ri
     can be nearer. Cells are doubled for the others, so rounds grow with the logarithm of
     the longest way, and each has fewer points. Only different points are looked up, and
     their number goes to the driver. Right points that share a cell are all compared with
-    the left ones around it: ``cell`` should hold a few.
+    the left ones around it, so ``cell`` is halved first until a right point shares its
+    cell with ``CROWD`` at most, on average over the points: dense places decide, and pairs
+    grow with the points. Left points that lie apart from a dense place, but nearer to it
+    than to anything else, still meet all of it.
     """
     spark, width = left.sparkSession, float(cell)
     x, y = (F.col(c).cast("double") for c in left_at)
@@ -160,11 +168,19 @@ def nearest_join(left: DataFrame, right: DataFrame, left_at: tuple[str, str], ri
         low = places.agg(F.min("_x"), F.max("_x"), F.min("_y"), F.max("_y")).first()
         edges = [z for z in (*bounds, *low) if z is not None]
         reach = 2 * max(map(abs, edges)) + width
+        cell_of = lambda c, step: F.floor(F.col(c) / F.lit(step)).cast("long")
+        spot = scratch_path(spark, "nearest-points")
+        there.write.parquet(spot)
+        there = spark.read.parquet(spot)
+        while width > reach * FINEST:
+            held = there.groupBy(cell_of("_u", width), cell_of("_v", width)).count().agg(F.sum(F.col("count") * F.col("count").cast("double")) / F.sum("count"))
+            if held.first()[0] <= CROWD:
+                break
+            width /= 2
         while True:
-            cell_of = lambda c, step=width: F.floor(F.col(c) / F.lit(step)).cast("long")
             around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-            probes = todo.withColumn("_d", F.explode(around)).select("_x", "_y", (cell_of("_x") + F.col("_d.i")).alias("_i"), (cell_of("_y") + F.col("_d.j")).alias("_j"))
-            met = probes.join(there.withColumn("_i", cell_of("_u")).withColumn("_j", cell_of("_v")), ["_i", "_j"])
+            probes = todo.withColumn("_d", F.explode(around)).select("_x", "_y", (cell_of("_x", width) + F.col("_d.i")).alias("_i"), (cell_of("_y", width) + F.col("_d.j")).alias("_j"))
+            met = probes.join(there.withColumn("_i", cell_of("_u", width)).withColumn("_j", cell_of("_v", width)), ["_i", "_j"])
             dx, dy = F.col("_x") - F.col("_u"), F.col("_y") - F.col("_v")
             best = met.groupBy("_x", "_y").agg(F.min(F.struct((dx * dx + dy * dy).alias("distance"), F.col("_key").alias("key"))).alias("_best"))
             path = scratch_path(spark, "nearest")

@@ -55,6 +55,27 @@ def test_nearest_of_tables(spark):
     assert {(r.key, r.distance) for r in joins.nearest_join(a, b.limit(0), ("x", "y"), ("u", "v"), "key", 1.0).collect()} == {(None, None)}
 
 
+def test_nearest_compares_few_points_however_dense(spark, monkeypatch):
+    rng = random.Random(4)
+    # All right points within one cell of the given width, and some of them far denser than the others.
+    right = [(k, rng.random() * rng.choice([1, 1e-3]), rng.random() * rng.choice([1, 1e-3])) for k in range(1500)]
+    left = [(k, rng.random() * rng.choice([1, 1e-3]), rng.random() * rng.choice([1, 1e-3])) for k in range(300)]
+    pairs, joined = [], type(spark.range(0)).join
+
+    def join(self, other, on=None, how=None):
+        out = joined(self, other, on, how)
+        if on == ["_i", "_j"]:
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(spark.range(0)), "join", join)
+    found = joins.nearest_join(spark.createDataFrame(left, "i int, x double, y double"), spark.createDataFrame(right, "key int, u double, v double"), ("x", "y"), ("u", "v"), "key", 8.0)
+    got = {r.i: (r.key, r.distance) for r in found.collect()}
+    for i, x, y in left:
+        assert got[i] == min(((x - u) * (x - u) + (y - v) * (y - v), k) for k, u, v in right)[::-1]
+    assert sum(pairs) < len(left) * len(right) / 5  # with cells of 8 all pairs met
+
+
 def test_plans_have_no_cross_join(spark, sf_dir, capsys):
     for name in ("nearest_join", "join_interval", "join_range", "join_lateral_topk"):
         catalogue.QUERIES[name](spark, sf_dir).explain()
