@@ -154,3 +154,14 @@ def test_null_keys_meet_nothing(spark):
     target, batch = frames(spark, [(None, 10, "x", D(1), D(1), None, True), TARGET[0]], [(None, 11, "x", D(2))])
     found = rows(scd2.apply_batch(target, batch, DIM))
     assert found == sorted([(None, 10, "x", D(1), D(1), None, True), TARGET[0], (None, 11, "x", D(2), D(2), None, True)], key=repr)
+
+
+def test_a_second_application_does_not_run_the_first_in_its_stages(spark, sf_dir, capsys):
+    from millrace.plans import catalogue
+
+    target, batch = catalogue._parts(spark, sf_dir)
+    scd2.apply_batch(spark.createDataFrame([], target.schema), batch, catalogue.DIM).explain()
+    once = capsys.readouterr().out
+    catalogue.QUERIES["scd2_idempotent"](spark, sf_dir).explain()
+    twice = capsys.readouterr().out
+    assert 0 < twice.count("Window [") <= max(once.count("Window ["), 4)
